@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,35 +90,61 @@ def prefix_sums(df: DataFrame, key: str, value: str, out: str, bits: int = 16) -
 # ------------------------------------------------------------------ tokenizer
 
 
+class _Words(dict):
+    """Word -> its ids as little-endian 32-bit bytes; an unknown word is encoded when first asked for."""
+
+    def __init__(self, tokenizer, plain: bool, limit: int):
+        super().__init__()
+        self.tokenizer, self.model, self.plain, self.limit = tokenizer, tokenizer.model, plain, limit
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        # the byte-level alphabet: visible bytes stand for themselves, the others for code points from 256 on
+        self.bytes_as_text = dict(zip((b for b in range(256) if b not in visible), range(256, 512), strict=False))
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain and word.isalpha():
+            # a run of lower-case letters is one piece for the pre-tokenizer, so the model alone is needed
+            piece = word.encode().decode("latin-1").translate(self.bytes_as_text)
+            ids = [t.id for t in self.model.tokenize(piece)]
+        elif self.plain and word[-1] in ".," and word[:-1].isalpha():
+            # a stop or comma behind letters is a piece of its own
+            self[word] = out = self[word[:-1]] + self[word[-1]]
+            return out
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+_NO_SPACE = re.compile("[\x1c-\x1f]")
+
+
 class WordTokenizer:
     """Whole-text encoding through a cache of white-space words.
 
-    For a tokenizer whose pre-tokenizer never joins text across white space, a text's ids are the ids of its words in a row,
-    so a word is encoded once and later only looked up. ``encode`` returns the ids as little-endian unsigned 32-bit bytes.
+    The pre-tokenizer of ``word_bpe_49k.json`` never joins text across white space, so a text's ids are those of its words in a
+    row, and a word is encoded once and later only looked up. Texts of Latin-1 characters are lowered first, as the tokenizer's
+    normalizer does, so that runs of letters need the model alone; other texts go word by word through the whole tokenizer, and
+    texts with separators that only Python takes for space go as they are. ``encode`` returns little-endian unsigned 32-bit ids.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
+        self.plain = _Words(self.tokenizer, True, cache_words)
+        self.other = _Words(self.tokenizer, False, cache_words // 4)
 
     def encode(self, text: str) -> bytes:
-        import numpy as np
-
-        words = text.split()
-        cache = self.cache
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > self.cache_words:
-                cache.clear()
-                missing = list(dict.fromkeys(words))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        if _NO_SPACE.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.other.__getitem__, text.split()))
+        return b"".join(map(self.plain.__getitem__, text.lower().split()))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
