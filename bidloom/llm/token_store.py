@@ -31,21 +31,27 @@ WINDOW = 16
 #: Ids a manifest shard covers, as a power of two.
 SHARD_BITS = 22
 
-_GEAR = np.random.default_rng(7).integers(0, 2**63, 65536, dtype=np.uint64)
-
-
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; where a cut falls depends on the last WINDOW ids alone, within the least and the most size."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    gear = _GEAR[ids & 0xFFFF]
-    h = gear.copy()
-    for j in range(1, WINDOW):
-        h[j:] += gear[:-j] << np.uint64(j)
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(2**MEAN_BITS - 1) == 0) + 1
+_GEAR = np.random.default_rng(7).integers(0, 2**32, 65536, dtype=np.uint32)
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash of the last WINDOW ids allows a cut.
+
+    The sum of gear values, each shifted by its distance, is built by doubling the window. Several documents may lie in one array:
+    the first LEAST ids of a document never end a chunk, so no window that decides reaches into another document.
+    """
+    h, reach = _GEAR[ids & 0xFFFF], 1
+    while reach < WINDOW:
+        longer = h.copy()
+        longer[reach:] += h[:-reach] << np.uint32(reach)
+        h, reach = longer, 2 * reach
+    return np.flatnonzero((h >> np.uint32(20)) & np.uint32(2**MEAN_BITS - 1) == 0) + 1
+
+
+def cut_points(allowed: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids, from the places where a cut is allowed, within the least and the most size."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in allowed:
         while m - last > MOST:
             last += MOST
             ends.append(last)
@@ -108,20 +114,25 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int | N
                 v.append(row.get(k))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), scalars(batch.column(1)), strict=True):
-                raw = encode(text or "") + tail
-                ids = np.frombuffer(raw, "<u4")
-                at, keys, lens = 0, [], []
-                for end in cut_points(ids) if len(ids) else []:
-                    part = raw[4 * at : 4 * end]
-                    key = content_key(part)
-                    if key not in seen:
-                        seen.add(key)
-                        put(key=key, kind="chunk", n=end - at, body=ids[at:end].astype(f"<u{width}").tobytes())
-                    keys.append(key)
-                    lens.append(end - at)
-                    at = end
-                put(key=content_key(b"%r %d" % (doc_id, len(keys))), kind="doc", doc_id=doc_id, n=len(ids), keys=keys, lens=lens, root=merkle_root(keys))
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                streams = [encode(text or "") + tail for text in scalars(part.column(1))]
+                flat = np.frombuffer(b"".join(streams), "<u4")
+                slim, allowed = flat.astype(f"<u{width}").tobytes(), marks(flat)
+                lengths = [len(raw) // 4 for raw in streams]
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                bounds = np.searchsorted(allowed, offsets, "right").tolist()
+                for i, (doc_id, raw) in enumerate(zip(part.column(0).to_pylist(), streams, strict=True)):
+                    offset, at, keys, lens = int(offsets[i]), 0, [], []
+                    for end in cut_points((allowed[bounds[i] : bounds[i + 1]] - offset).tolist(), lengths[i]):
+                        key = content_key(raw[4 * at : 4 * end])
+                        if key not in seen:
+                            seen.add(key)
+                            put(key=key, kind="chunk", n=end - at, body=slim[width * (offset + at) : width * (offset + end)])
+                        keys.append(key)
+                        lens.append(end - at)
+                        at = end
+                    put(key=content_key(b"%r %d" % (doc_id, len(keys))), kind="doc", doc_id=doc_id, n=lengths[i], keys=keys, lens=lens, root=merkle_root(keys))
                 if len(out["key"]) >= 2000:
                     yield out
                     out = {k: [] for k in out}
