@@ -8,7 +8,8 @@ sequence where there are fewer words). Documents link when 100 * |intersection|
 2. Two linking sets share a shingle among the first n - ceil(0.75 n) + 1 of each. Documents of equal size and equal prefix form
    one group; a task emits a group's prefix once. One shuffle by shingle finds the shingles that more than one group holds.
 3. Runs (the groups that share a shingle) with the same members are taken once, and expanded to their classes of equal sets.
-   In each run a batch of leaders meets all other members; pairs of admissible size are verified on whole sets; links are merged
+   In each run a batch of leaders meets all other members. A pair of admissible size first compares parity sketches, whose
+   differing bits bound the sets' difference from below, so only true or nearly true links are verified on whole sets. Links merge
    into components; then only members outside a run's largest component can still bring news, and become the next leaders. Pairs
    inside one component are never asked for, so a group of thousands of near copies costs one star, not all its pairs.
    The rounds end when every such member has led: no link between different components can be missed.
@@ -70,6 +71,24 @@ def signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - 2**63
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of about n buckets."""
+    buckets = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference: a bucket of differing parity holds at least one of it."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        a = (a >> bits) ^ (a & ((1 << bits) - 1))
+    return (a ^ b).bit_count()
+
+
 def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles (ascending hashes) and their ranks; counted in every task's buffers, summed over all."""
 
@@ -111,23 +130,24 @@ def _postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = {k: [] for k in ("doc_id", "n", "vid", "gkey", "prefix")}
+                out = {k: [] for k in ("doc_id", "n", "vid", "gkey", "sketch", "prefix")}
                 for text in scalars(part.column(1)):
                     s = shingles(text or "")
                     prefix = in_order(s, *shared.value)[: prefix_length(len(s))]
                     gkey = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - 2**63
                     out["n"].append(len(s))
                     out["vid"].append(signature(s))
+                    out["sketch"].append(parity_sketch(s))
                     out["gkey"].append(gkey)
                     out["prefix"].append([] if gkey in seen else prefix.view(np.int64))
                     seen.add(gkey)
                 yield out | {"doc_id": part.column(0)}
 
-    mapped = map_arrow(docs, rows, "doc_id long, n long, vid long, gkey long, prefix array<long>")
+    mapped = map_arrow(docs, rows, "doc_id long, n long, vid long, gkey long, sketch binary, prefix array<long>")
     token = F.explode(F.concat(F.array(F.lit(None).cast("long")), "prefix")).alias("token")
-    rows_ = mapped.select(token, "gkey", "n", "doc_id", "vid")
+    rows_ = mapped.select(token, "gkey", "n", "doc_id", "vid", "sketch")
     doc = F.col("token").isNull()
-    rows_ = rows_.select("token", "gkey", "n", F.when(doc, F.col("doc_id")).alias("doc_id"), F.when(doc, F.col("vid")).alias("vid"), F.coalesce("token", F.xxhash64("doc_id", "vid")).alias("meet"))
+    rows_ = rows_.select("token", "gkey", "n", F.when(doc, F.col("doc_id")).alias("doc_id"), F.when(doc, F.col("vid")).alias("vid"), F.when(doc, F.col("sketch")).alias("sketch"), F.coalesce("token", F.xxhash64("doc_id", "vid")).alias("meet"))
     w = Window.partitionBy("meet", "token")
     half = lambda seed: F.shiftright(F.xxhash64("gkey", F.lit(seed)), 22)
     kept = rows_.withColumn("members", F.count("*").over(w)).where("token IS NULL OR members > 1")
@@ -135,6 +155,23 @@ def _postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFram
     return kept.drop("meet")
 
 
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sketches leave room for a link."""
+
+    def rows(batches):
+        for batch in batches:
+            out = {"a": [], "b": []}
+            for a, b, n, x, y in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (100 + SHARE) * least_difference(x, y) <= (100 - SHARE) * n:
+                    out["a"].append(a)
+                    out["b"].append(b)
+            yield out
+
+    end = lambda name: classes.select(F.col("vid").alias(name), F.col("sketch").alias(f"x_{name}"), F.col("n").alias(f"n_{name}"))
+    both = pairs.join(end("b"), "b").join(end("a"), "a").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x_a", "x_b")
+    return map_arrow(both, rows, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link."""
 
@@ -174,8 +211,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """One row a document: its id, n_shingles, its class of equal sets, and component_id, the smallest id reachable by links."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     postings = stage_table(_postings(docs, heavy_shingles(docs)), "postings")
-    members = postings.where("token IS NULL").select("doc_id", "n", "vid", "gkey")
-    classes = stage_table(members.where("n > 0").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gkey").alias("gkey")).where("rep IS NOT NULL"), "classes")
+    members = postings.where("token IS NULL").select("doc_id", "n", "vid")
+    classes = stage_table(postings.where("token IS NULL AND n > 0").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL"), "classes")
 
     shared = postings.where("token IS NOT NULL").select("token", "gkey", "members", "run1", "run2")
     one = shared.groupBy("members", "run1", "run2").agg(F.min("token").alias("token")).where("run1 IS NOT NULL AND run2 IS NOT NULL").select("token")
@@ -201,9 +238,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         led = led_now if led is None else stage_table(led.unionByName(led_now), "led")
         met = now.select("run", F.col("vid").alias("b"), "comp", F.col("n").alias("nb")).join(leaders, "run").where((F.col("ca") != F.col("comp")) & (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")))
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = stage_table(_near(pairs, classes), "near")
+        wanted = near.select(F.col("a").alias("vid")).unionByName(near.select(F.col("b").alias("vid"))).distinct()
+        wanted = stage_table(wanted if sets is None else wanted.join(sets.select("vid"), "vid", "left_anti"), "wanted")
+        if wanted.limit(1).count():
+            more = _sets(docs, classes, wanted)
+            sets = more if sets is None else sets.unionByName(more)
         if sets is None:
-            sets = _sets(docs, classes, run_members)
-        found = stage_table(_verified(pairs, sets), "found")
+            continue
+        found = stage_table(_verified(near, sets), "found")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     of_class = classes.select("vid", "rep")
@@ -214,9 +257,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("vid").alias("class_id"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, run_members: DataFrame) -> DataFrame:
-    """(vid, set) of every class in a run, from the text of its first document."""
-    wanted = stage_table(classes.join(run_members.select("vid").distinct(), "vid", "left_semi").select(F.col("rep").alias("doc_id"), "vid"), "wanted")
+def _sets(docs: DataFrame, classes: DataFrame, vids: DataFrame) -> DataFrame:
+    """(vid, set) of the classes asked for, from the text of their first documents."""
+    wanted = stage_table(classes.join(vids, "vid", "left_semi").select(F.col("rep").alias("doc_id"), "vid"), "firsts")
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
