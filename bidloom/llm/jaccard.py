@@ -247,6 +247,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         if sets is None:
             continue
         found = stage_table(_verified(near, sets), "found")
+        if not found.limit(1).count():
+            continue
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     of_class = classes.select("vid", "rep")
