@@ -7,12 +7,15 @@ sequence where there are fewer words). Documents link when 100 * |intersection|
    decides how much work is done, never the result, so the list of such shingles may be bounded (``HEAVY_MOST``).
 2. Two linking sets share a shingle among the first n - ceil(0.75 n) + 1 of each. Documents of equal size and equal prefix form
    one group; a task emits a group's prefix once. One shuffle by shingle finds the shingles that more than one group holds.
-3. Runs (the groups that share a shingle) with the same members are taken once, and expanded to their classes of equal sets.
-   In each run a batch of leaders meets all other members. A pair of admissible size first compares parity sketches, whose
+   If the first shingle that two sets share stands at place i of n, they share n - i at most; so a place tells the largest set
+   that may link there (``reach``), and two members of a run meet only where each lies within the reach of the other.
+3. Runs (the groups that share a shingle) with the same members are taken once, by their earliest shingle, and expanded to their
+   classes of equal sets. First every class meets one leader only, the least of those its runs have. In later rounds a batch of
+   leaders of each run meets all other members. A pair first compares parity sketches, whose
    differing bits bound the sets' difference from below, so only true or nearly true links are verified on whole sets. Links merge
-   into components; then only members outside a run's largest component can still bring news, and become the next leaders. Pairs
-   inside one component are never asked for, so a group of thousands of near copies costs one star, not all its pairs.
-   The rounds end when every such member has led: no link between different components can be missed.
+   into components; then only members outside a run's largest component can still bring news, and become the next leaders, twice
+   as many in each round. Pairs inside one component are never asked for, so a group of thousands of near copies costs one star,
+   not all its pairs. The rounds end when every such member has led: no link between different components can be missed.
 
 Null or empty texts have an empty set and link with nothing. Equal texts are one class; copies are never expanded into pairs.
 Ids may be null or repeat; a class with no id but null takes no part in links with other texts.
@@ -30,7 +33,7 @@ from .common import map_arrow, scalars, stage_table, table
 WORDS, SHARE = 5, 75
 #: A shingle is counted as heavy from this many occurrences on; at most so many are kept for the order.
 HEAVY_LEAST, HEAVY_MOST = 16, 200_000
-#: Leaders of a run in one round.
+#: Leaders of a run in the second round; each later one has twice as many.
 LEADERS = 32
 #: Candidate ids that are broadcast at most (8 bytes each); beyond this they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -57,6 +60,11 @@ def prefix_length(n: int) -> int:
     return n - -(-SHARE * n // 100) + 1 if n else 0
 
 
+def reach(n, place):
+    """The largest set that may link with one of size n (columns or numbers) whose first shared shingle stands at this place."""
+    return ((100 * n - (100 + SHARE) * place) / SHARE).cast("long")
+
+
 def in_order(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set in global order: light shingles by hash, then heavy ones from the rarest to the most frequent."""
     if not len(heavy):
@@ -144,13 +152,15 @@ def _postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFram
                 yield out | {"doc_id": part.column(0)}
 
     mapped = map_arrow(docs, rows, "doc_id long, n long, vid long, gkey long, sketch binary, prefix array<long>")
-    token = F.explode(F.concat(F.array(F.lit(None).cast("long")), "prefix")).alias("token")
+    token = F.posexplode(F.concat(F.array(F.lit(None).cast("long")), "prefix")).alias("place", "token")
     rows_ = mapped.select(token, "gkey", "n", "doc_id", "vid", "sketch")
     doc = F.col("token").isNull()
-    rows_ = rows_.select("token", "gkey", "n", F.when(doc, F.col("doc_id")).alias("doc_id"), F.when(doc, F.col("vid")).alias("vid"), F.when(doc, F.col("sketch")).alias("sketch"), F.coalesce("token", F.xxhash64("doc_id", "vid")).alias("meet"))
+    rows_ = rows_.select("token", "gkey", "n", reach(F.col("n"), F.col("place") - 1).alias("reach"), F.when(doc, F.col("doc_id")).alias("doc_id"), F.when(doc, F.col("vid")).alias("vid"), F.when(doc, F.col("sketch")).alias("sketch"), F.coalesce("token", F.xxhash64("doc_id", "vid")).alias("meet"))
     w = Window.partitionBy("meet", "token")
     half = lambda seed: F.shiftright(F.xxhash64("gkey", F.lit(seed)), 22)
-    kept = rows_.withColumn("members", F.count("*").over(w)).where("token IS NULL OR members > 1")
+    # a member stays if some size in its run is within its reach and some reach covers its size
+    kept = rows_.withColumn("least", F.min("n").over(w)).withColumn("most", F.max("reach").over(w)).where("token IS NULL OR (reach >= least AND n <= most)").drop("least", "most")
+    kept = kept.withColumn("members", F.count("*").over(w)).where("token IS NULL OR members > 1").withColumn("reaches", F.sum("reach").over(w))
     kept = kept.withColumn("run1", F.when(F.col("token").isNotNull(), F.try_sum(half(1)).over(w))).withColumn("run2", F.when(F.col("token").isNotNull(), F.try_sum(half(2)).over(w)))
     return kept.drop("meet")
 
@@ -214,29 +224,39 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     members = postings.where("token IS NULL").select("doc_id", "n", "vid")
     classes = stage_table(postings.where("token IS NULL AND n > 0").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL"), "classes")
 
-    shared = postings.where("token IS NOT NULL").select("token", "gkey", "members", "run1", "run2")
-    one = shared.groupBy("members", "run1", "run2").agg(F.min("token").alias("token")).where("run1 IS NOT NULL AND run2 IS NOT NULL").select("token")
+    shared = postings.where("token IS NOT NULL").select("token", "gkey", "reach", "reaches", "members", "run1", "run2")
+    # of runs with the same members the earliest shingle has the widest reach of each of them
+    one = shared.groupBy("members", "run1", "run2").agg(F.max(F.struct("reaches", "token")).alias("top")).where("run1 IS NOT NULL AND run2 IS NOT NULL").select("top.token")
     one = one.unionByName(shared.where("run1 IS NULL OR run2 IS NULL").select("token")).distinct()
-    runs = shared.select("token", "gkey").join(one, "token", "left_semi").distinct()
+    runs = shared.select("token", "gkey", "reach").join(one, "token", "left_semi").distinct()
     # classes that share a whole prefix and size meet in their group, which is a run of its own
-    grouped = classes.withColumn("c", F.count("*").over(Window.partitionBy("gkey"))).where("c > 1").select(F.col("gkey").alias("run"), "vid", "n")
-    run_members = runs.join(classes, "gkey").select(F.col("token").alias("run"), "vid", "n").unionByName(grouped).distinct()
-    run_members = stage_table(run_members.withColumn("c", F.count("*").over(Window.partitionBy("run"))).where("c > 1").select("run", "vid", "n"), "runs")
+    grouped = classes.withColumn("c", F.count("*").over(Window.partitionBy("gkey"))).where("c > 1").select(F.col("gkey").alias("run"), "vid", "n", reach(F.col("n"), F.lit(0)).alias("reach"))
+    run_members = runs.join(classes, "gkey").select(F.col("token").alias("run"), "vid", "n", "reach").unionByName(grouped)
+    run_members = stage_table(run_members.withColumn("c", F.count("*").over(Window.partitionBy("run"))).where("c > 1").select("run", "vid", "n", "reach"), "runs")
     labels, links, sets = None, None, None
     led = None
     for turn in range(1_000_000):
-        now = run_members.withColumn("comp", F.col("vid")) if labels is None else run_members.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-        sizes = now.groupBy("run", "comp").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("run").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("top"), F.count("*").alias("k"))
-        now = now.join(largest.where("k > 1").select("run", F.negative("top.m").alias("main")), "run")
-        waiting = now if turn == 0 else now.where("comp <> main").join(led, ["run", "vid"], "left_anti")
+        if turn == 0:
+            now = run_members.withColumn("comp", F.col("vid"))
+            waiting, most = now, 1
+        else:
+            now = run_members.withColumn("comp", F.col("vid")) if labels is None else run_members.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+            sizes = now.groupBy("run", "comp").agg(F.count("*").alias("c"))
+            largest = sizes.groupBy("run").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("top"), F.count("*").alias("k"))
+            now = now.join(largest.where("k > 1").select("run", F.negative("top.m").alias("main")), "run")
+            waiting, most = now.where("comp <> main"), LEADERS << (turn - 1)
+            waiting = waiting if led is None else waiting.join(led, ["run", "vid"], "left_anti")
         order = Window.partitionBy("run").orderBy("vid")
-        leaders = stage_table(waiting.withColumn("r", F.row_number().over(order)).where(F.col("r") <= (1 if turn == 0 else LEADERS)).select("run", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), "leaders")
-        if not leaders.limit(1).count():
-            break
-        led_now = leaders.select("run", F.col("a").alias("vid"))
-        led = led_now if led is None else stage_table(led.unionByName(led_now), "led")
-        met = now.select("run", F.col("vid").alias("b"), "comp", F.col("n").alias("nb")).join(leaders, "run").where((F.col("ca") != F.col("comp")) & (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")))
+        leaders = waiting.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("run", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("reach").alias("ra"))
+        if turn:
+            leaders = stage_table(leaders, "leaders")
+            if not leaders.limit(1).count():
+                break
+            led_now = leaders.select("run", F.col("a").alias("vid"))
+            led = led_now if led is None else stage_table(led.unionByName(led_now), "led")
+        met = now.select("run", F.col("vid").alias("b"), "comp", F.col("n").alias("nb"), F.col("reach").alias("rb")).join(leaders, "run").where((F.col("ca") != F.col("comp")) & (F.col("na") <= F.col("rb")) & (F.col("nb") <= F.col("ra")))
+        # the first round asks one question a class, so its leaders have not yet met all of their runs and may lead again
+        met = met.groupBy("b").agg(F.min("a").alias("a")) if turn == 0 else met
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = stage_table(_near(pairs, classes), "near")
         wanted = near.select(F.col("a").alias("vid")).unionByName(near.select(F.col("b").alias("vid"))).distinct()
