@@ -203,18 +203,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(right.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y"), rows, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(vid, comp): the least id reachable by links, for every id that has a link; minimum labels with pointer jumping."""
-    both = stage_table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("vid"), F.least("a", "m").alias("comp")), "labels")
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df`` where its counted rows are few enough; beyond that it is shuffled."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
+def components(links: DataFrame) -> tuple[DataFrame, int]:
+    """(vid, comp), the least id reachable by links, for every id that has a link, and their number; minimum labels with pointer jumping."""
+    both = stage_table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(_files(links.count())), "links")
+    rows = both.select("a").distinct().count()
+    files = _files(rows)
+    labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("vid"), F.least("a", "m").alias("comp")).coalesce(files), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("vid", "b"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "vid")
-        lower = labels.join(near, "vid").select("vid", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
+        near = both.join(_small(labels.withColumnRenamed("vid", "b"), rows), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "vid")
+        lower = near.join(_small(labels, rows), "vid").select("vid", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         # what a label points to may itself have a lower label by now
         jump = labels.select(F.col("vid").alias("comp"), F.col("comp").alias("next"))
-        labels = stage_table(lower.join(jump, "comp", "left").select("vid", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
+        labels = stage_table(lower.join(_small(jump, rows), "comp", "left").select("vid", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")).coalesce(files), "labels")
         if not labels.where("was <> comp").limit(1).count():
-            return labels.select("vid", "comp")
+            return labels.select("vid", "comp"), rows
+
+
+def _files(rows: int) -> int:
+    """Files of a staged table of so many narrow rows; grows with the rows."""
+    return 6 + rows // 200_000
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,30 +245,26 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     grouped = classes.withColumn("c", F.count("*").over(Window.partitionBy("gkey"))).where("c > 1").select(F.col("gkey").alias("run"), "vid", "n", reach(F.col("n"), F.lit(0)).alias("reach"))
     run_members = runs.join(classes, "gkey").select(F.col("token").alias("run"), "vid", "n", "reach").unionByName(grouped)
     run_members = stage_table(run_members.withColumn("c", F.count("*").over(Window.partitionBy("run"))).where("c > 1").select("run", "vid", "n", "reach"), "runs")
-    labels, links, sets = None, None, None
-    led = None
+    members_of_runs = run_members.count()
+    labels, links, sets, labelled = None, None, None, 0
+    state = run_members.withColumn("led", F.lit(False))
     for turn in range(1_000_000):
         if turn == 0:
-            now = run_members.withColumn("comp", F.col("vid"))
-            waiting, most = now, 1
+            # the least leader of all its runs is what each class asks first; these may lead again
+            first = run_members.groupBy("run").agg(F.min(F.struct("vid", "n", "reach")).alias("l"))
+            met = run_members.join(first, "run").where("l.vid <> vid AND l.n <= reach AND n <= l.reach").groupBy(F.col("vid").alias("b")).agg(F.min("l.vid").alias("a"))
         else:
-            now = run_members.withColumn("comp", F.col("vid")) if labels is None else run_members.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-            sizes = now.groupBy("run", "comp").agg(F.count("*").alias("c"))
-            largest = sizes.groupBy("run").agg(F.max(F.struct("c", F.negative("comp").alias("m"))).alias("top"), F.count("*").alias("k"))
-            now = now.join(largest.where("k > 1").select("run", F.negative("top.m").alias("main")), "run")
-            waiting, most = now.where("comp <> main"), LEADERS << (turn - 1)
-            waiting = waiting if led is None else waiting.join(led, ["run", "vid"], "left_anti")
-        order = Window.partitionBy("run").orderBy("vid")
-        leaders = waiting.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("run", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("reach").alias("ra"))
-        if turn:
-            leaders = stage_table(leaders, "leaders")
-            if not leaders.limit(1).count():
+            now = state.withColumn("comp", F.col("vid")) if labels is None else state.join(_small(labels, labelled), "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+            run, same = Window.partitionBy("run"), Window.partitionBy("run", "comp")
+            now = now.select("run", "vid", "n", "reach", "led", "comp").repartition("run").withColumn("c", F.count("*").over(same)).withColumn("main", F.negative(F.max(F.struct("c", F.negative("comp").alias("m"))).over(run)["m"]))
+            now = now.withColumn("waits", ~F.col("led") & (F.col("comp") != F.col("main"))).withColumn("r", F.row_number().over(run.orderBy(F.desc("waits"), "vid")))
+            now = now.withColumn("leads", F.col("waits") & (F.col("r") <= LEADERS << min(turn - 1, 20))).withColumn("open", F.max("leads").over(run)).where("open")
+            now = stage_table(now.select("run", "vid", "n", "reach", "led", "comp", "leads").coalesce(_files(members_of_runs)), "leaders")
+            if not now.limit(1).count():
                 break
-            led_now = leaders.select("run", F.col("a").alias("vid"))
-            led = led_now if led is None else stage_table(led.unionByName(led_now), "led")
-        met = now.select("run", F.col("vid").alias("b"), "comp", F.col("n").alias("nb"), F.col("reach").alias("rb")).join(leaders, "run").where((F.col("ca") != F.col("comp")) & (F.col("na") <= F.col("rb")) & (F.col("nb") <= F.col("ra")))
-        # the first round asks one question a class, so its leaders have not yet met all of their runs and may lead again
-        met = met.groupBy("b").agg(F.min("a").alias("a")) if turn == 0 else met
+            state = now.select("run", "vid", "n", "reach", (F.col("led") | F.col("leads")).alias("led"))
+            leaders = now.where("leads").select("run", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("reach").alias("ra"))
+            met = now.select("run", F.col("vid").alias("b"), "comp", F.col("n").alias("nb"), F.col("reach").alias("rb")).join(leaders, "run").where((F.col("ca") != F.col("comp")) & (F.col("na") <= F.col("rb")) & (F.col("nb") <= F.col("ra")))
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = stage_table(_near(pairs, classes), "near")
         wanted = near.select(F.col("a").alias("vid")).unionByName(near.select(F.col("b").alias("vid"))).distinct()
@@ -270,7 +278,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         if not found.limit(1).count():
             continue
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels, labelled = components(links)
     of_class = classes.select("vid", "rep")
     if labels is not None:
         named = of_class.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
