@@ -1,70 +1,98 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's words are hashed; a k-mer of ``K`` words is an anchor when, of its inner ``S``-word substrings, the one with the least
-hash lies at either edge. Whether a k-mer is an anchor depends on its own words alone, so an edit moves no anchor outside it. A
-fingerprint holds the ``SKETCH`` anchors of least hash with the place of their first word, as ``hash@place`` in hex, joined by
-dots; likeness is the Jaccard coefficient of the anchor sets as such a bottom sketch estimates it.
-
-Texts of fewer than K words have one anchor, the hash of the whole text; null counts as empty. Equal texts have equal
-fingerprints. Repeated ids are put in order of their texts, null ids come first. One shuffle moves the texts: documents meet in
-buckets of neighbouring ids, and each bucket also gets a copy of the first document of the next one.
+A text's units are hashed; a k-mer of ``K`` units is an anchor when, of its inner ``S``-unit substrings, the one with the least
+hash lies at either edge. Whether a k-mer is an anchor depends on its own units alone, so an edit moves no anchor outside it.
+Units are the words; of a word longer than ``LONG`` characters each character is a unit. Texts of fewer than ``2 * K`` units also
+have the anchors of their characters (words joined by one space), so that short texts compare with each other and with those of
+``K`` words and more. Where nothing is an anchor, as in texts of fewer than K characters, the hash of the whole text is the one.
+
+A fingerprint holds every anchor with the place of its first unit, as ``hash@place`` in hex, joined by dots, by hash and then
+place; places among characters of short texts have bit 26 set. Likeness is the exact Jaccard coefficient of all anchors: those of
+equal hash are matched one to one in order of their places, so a passage that stands once in one text and three times in the other
+is shared once.
+
+Null counts as empty. Equal texts have equal fingerprints. Repeated ids are put in order of their texts, null ids come first. One
+shuffle moves the texts: documents meet in buckets of neighbouring ids, and each bucket also gets a copy of the first document of
+the next one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-K, S, SKETCH = 5, 2, 64
+K, S = 5, 2
+#: A longer word is taken by characters.
+LONG = 32
 #: Ids that share a bucket, as a power of two.
 BUCKET_BITS = 10
-#: Bits of an anchor kept for its place.
-PLACE_BITS = 24
+#: Bits of an anchor kept for its place, the highest of them for places among characters; no row can hold 2**26 units.
+PLACE_BITS = 27
+_PLACE = (1 << PLACE_BITS) - 1
 
 
-def anchors(text: Column) -> Column:
-    """All anchors of a text as longs, ascending: 39 bits of hash above the place of the first word."""
-    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
-    mask = F.lit((1 << 39) - 1)
-    place = F.lit((1 << PLACE_BITS) - 1)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _units(words: Column) -> Column:
+    cut = F.transform(words, lambda w: F.when(F.char_length(w) > LONG, F.split(w, "")).otherwise(F.array(w)))
+    return F.when(F.exists(words, lambda w: F.char_length(w) > LONG), F.flatten(cut)).otherwise(words)
+
+
+def _syncmers(units: Column, kind: int = 0) -> Column:
+    """The anchors among hashed units, in order of place."""
 
     def pick(h: Column) -> Column:
-        # inner[i] covers words i and i+1; a k-mer at i has inner hashes i to i+K-S
+        # inner[i] covers units i and i+1; a k-mer at i has inner hashes i to i+K-S
         inner = F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))
-        return F.transform(F.array(inner), lambda m: select(h, m))[0]
+        return _let(inner, lambda m: select(h, m))
 
     def select(h: Column, m: Column) -> Column:
         def edge(x, i):
             last = F.get(m, i + (K - S))
             middle = F.least(*[F.get(m, i + j) for j in range(1, K - S)])
-            return F.when((i <= F.size(h) - K) & ((x <= F.least(middle, last)) | (last <= F.least(middle, x))), F.shiftleft(F.xxhash64(*[F.get(h, i + j) for j in range(K)]).bitwiseAND(mask), PLACE_BITS).bitwiseOR(i.cast("long").bitwiseAND(place)))
+            return F.when((i <= F.size(h) - K) & ((x <= F.least(middle, last)) | (last <= F.least(middle, x))), F.shiftleft(F.xxhash64(*[F.get(h, i + j) for j in range(K)]), PLACE_BITS).bitwiseOR(i.cast("long").bitwiseOR(F.lit(kind << (PLACE_BITS - 1)))))
 
         return F.filter(F.transform(m, edge), lambda x: x.isNotNull())
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    found = F.transform(F.array(hashed), pick)[0]
-    whole = F.array(F.shiftleft(F.xxhash64(text).bitwiseAND(mask), PLACE_BITS))
-    return F.transform(F.array(found), lambda a: F.when(F.size(a) > 0, F.array_sort(a)).otherwise(whole))[0]
+    return _let(F.transform(units, lambda u: F.xxhash64(u)), pick)
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH distinct anchors of least hash, each at its first place."""
-    distinct = lambda a: F.filter(a, lambda x, i: (i == 0) | (F.shiftright(x, PLACE_BITS) != F.shiftright(F.get(a, i - 1), PLACE_BITS)))
-    return F.slice(F.transform(F.array(anchors(text)), distinct)[0], 1, SKETCH)
+def anchors(text: Column) -> Column:
+    """All anchors of a text as longs, ascending: 37 bits of hash above the place of the first unit."""
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+
+    def found(ws: Column) -> Column:
+        short = lambda us: F.when(F.size(us) < 2 * K, _syncmers(F.split(F.array_join(ws, " "), ""), 1)).otherwise(F.array().cast("array<bigint>"))
+        return _let(_units(ws), lambda us: F.concat(_syncmers(us), short(us)))
+
+    whole = F.array(F.shiftleft(F.xxhash64(text), PLACE_BITS))
+    return F.sort_array(_let(_let(words, found), lambda a: F.when(F.size(a) > 0, a).otherwise(whole)))
 
 
 def as_text(a: Column) -> Column:
-    place = F.lit((1 << PLACE_BITS) - 1)
-    return F.array_join(F.transform(a, lambda x: F.concat(F.lower(F.hex(F.shiftright(x, PLACE_BITS))), F.lit("@"), F.lower(F.hex(x.bitwiseAND(place))))), ".")
+    return F.lower(F.array_join(F.transform(a, lambda x: F.concat(F.hex(F.shiftrightunsigned(x, PLACE_BITS)), F.lit("@"), F.hex(x.bitwiseAND(F.lit(_PLACE))))), "."))
+
+
+def numbered(a: Column) -> Column:
+    """Ascending anchors with their number among those of equal hash, in order of place, instead of the place."""
+    bare = F.transform(a, lambda x: x.bitwiseAND(F.lit(~_PLACE)))
+    starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.shiftright(F.get(a, i), PLACE_BITS) != F.shiftright(F.get(a, i - 1), PLACE_BITS)))
+    run = lambda i, end: F.transform(F.sequence(i, end - 1), lambda j: F.get(a, i).bitwiseAND(F.lit(~_PLACE)).bitwiseOR((j - i).cast("long")))
+    counted = _let(starts, lambda s: F.flatten(F.transform(s, lambda i, k: run(i, F.coalesce(F.get(s, k + 1), F.size(a))))))
+    return F.when(F.size(F.array_distinct(bare)) == F.size(a), bare).otherwise(counted)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard coefficient of two anchor sets, estimated from the least SKETCH hashes of their union."""
-    ha, hb = (F.transform(c, lambda x: F.shiftright(x, PLACE_BITS)) for c in (a, b))
-    both = F.slice(F.array_sort(F.array_union(ha, hb)), 1, SKETCH)
-    return F.size(F.array_intersect(both, F.array_intersect(ha, hb))) / F.size(both)
+    """Jaccard coefficient of two whole anchor lists, anchors of equal hash matched one to one in order of place."""
+    shared = F.size(F.array_intersect(numbered(a), numbered(b)))
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def next_bucket(buckets: DataFrame) -> DataFrame:
@@ -99,9 +127,9 @@ def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and ``anchors``: the sketch of every document."""
+    """doc_id, text and ``anchors``: all anchors of every document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return documents.select(id_col, text_col, sketch(text).alias("anchors"))
+    return documents.select(id_col, text_col, anchors(text).alias("anchors"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +138,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) AS INT))"), F.expr("substring(next_text, 1, cast(floor(char_length(text) / 4) AS INT))"))
     rows = with_next(table(spark, sf_dir, "documents")).select("bucket", "doc_id", "key", "guest", "text", n.cast("long").alias("n_chars"), quarter.alias("q"), F.coalesce(edited, F.lit("")).alias("edited"))
-    rows = rows.withColumn("fp", sketch(F.col("text"))).withColumn("next_fp", F.lead("fp").over(w)).where("guest = 0").withColumn("edited_fp", sketch(F.col("edited")))
+    rows = rows.withColumn("fp", anchors(F.col("text"))).withColumn("next_fp", F.lead("fp").over(w)).where("guest = 0").withColumn("edited_fp", anchors(F.col("edited")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),

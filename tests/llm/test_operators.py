@@ -297,3 +297,53 @@ def test_sketch_bounds_difference():
     for _ in range(200):
         x, y = (np.unique(r.integers(0, 3000, int(r.integers(1, 900))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         assert jaccard.least_difference(jaccard.parity_sketch(x), jaccard.parity_sketch(y)) <= len(np.setxor1d(x, y))
+
+
+def plain_units(text):
+    words = [w for w in re.split(r"[ \t-\r]+", text or "") if w]
+    return words, [u for w in words for u in (w if len(w) > syncmers.LONG else [w])]
+
+
+def test_syncmers_keep_every_anchor(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(50)]
+    long = [f"w{i}" for i in r.integers(0, 10**6, 6000)]
+    other = [f"v{i}" for i in r.integers(0, 10**6, 300)]
+    chars = lambda n: "".join(chr(0x4E00 + int(c)) for c in r.integers(0, 3000, n))
+    cjk = chars(400)
+    texts = [
+        " ".join(long), " ".join(long[:3000] + passage + long[3000:]), " ".join(other + passage), cjk, cjk[:300] + chars(100), "one two three four", "one two three fourth five", "abc", "", "word " * 500, "word " * 250, "x " + "y" * 400 + " " + cjk,
+        cjk[:30], cjk[:34],
+    ]
+    rows = syncmers.fingerprints(spark.createDataFrame([(i, t, "", "", 0, "") for i, t in enumerate(texts)], DOCS)).withColumn("shown", syncmers.as_text(F.col("anchors"))).collect()
+    fps = [r["anchors"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    # brute force over words or characters: which k-mers repeat an anchor's hash, and how many anchors there are
+    hashes = {u: h for u, h in spark.createDataFrame([(u,) for u in {u for t in texts for u in [*plain_units(t)[1], *" ".join(plain_units(t)[0])]}], "u string").select("u", F.xxhash64("u")).collect()}
+    pairs = sorted({(a, b) for t in texts for us in (plain_units(t)[1], list(" ".join(plain_units(t)[0]))) for a, b in zip(us, us[1:], strict=False)})
+    inner = dict(zip(pairs, (h for h, in spark.createDataFrame([(i, hashes[a], hashes[b]) for i, (a, b) in enumerate(pairs)], "i int, a long, b long").orderBy("i").select(F.xxhash64("a", "b")).collect()), strict=True))
+
+    def places(us):
+        out = []
+        for i in range(len(us) - 4):
+            m = [inner[us[i + j], us[i + j + 1]] for j in range(4)]
+            out += [i] if m[0] == min(m) or m[3] == min(m) else []
+        return out
+
+    for t, fp in zip(texts, fps, strict=True):
+        words, us = plain_units(t)
+        want = places(us) + ([(1 << 26) + i for i in places(" ".join(words))] if len(us) < 10 else [])
+        assert sorted(x & (2**27 - 1) for x in fp) == (want or [0])
+    assert len(fps[0]) > 2000 and all(r["shown"].count("@") == len(r["anchors"]) for r in rows)
+    pair = spark.createDataFrame([(i, j, fps[i], fps[j]) for i in range(len(texts)) for j in range(len(texts))], "i int, j int, a array<long>, b array<long>")
+    like = {(r["i"], r["j"]): r["x"] for r in pair.select("i", "j", syncmers.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+
+    def plain(a, b):
+        from collections import Counter
+
+        a, b = (Counter(x >> 27 for x in c) for c in (a, b))
+        return (a & b).total() / (a | b).total()
+
+    assert all(v == pytest.approx(plain(fps[i], fps[j]), abs=1e-12) for (i, j), v in like.items())
+    assert like[1, 2] > 0 and like[0, 1] > 0.97 and like[3, 4] > 0.5 and like[5, 6] > 0.3 and 0.45 < like[9, 10] < 0.55 and like[12, 13] > 0.5
