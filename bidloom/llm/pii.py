@@ -45,6 +45,8 @@ _PROPOSE = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
+#: What every match of the e-mail generator holds, so texts without it are not scanned.
+_AT = re.compile(r"\((?:at|AT|@)\)|\[(?:at|AT|@)\]| at ")
 #: Words that announce a kind, in English, German, French and Spanish.
 CUES = {
     "email": ("mail", "contact", "kontakt", "correo", "courriel", "write to"),
@@ -99,7 +101,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     out = []
     if _NUMERIC.search(text):
         out = [(kind, m.start(), m.end()) for kind in ("card", "phone", "ssn", "iban") for m in _PROPOSE[kind].finditer(text)]
-    if "dot" in text or "DOT" in text or "(at)" in text or "[at]" in text:
+    if _AT.search(text):
         out += [("email", m.start(), m.end()) for m in _PROPOSE["email"].finditer(text)]
     return out
 
@@ -122,7 +124,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(end - start), float(len(digits)), len(digits) / (end - start), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[-1]), float(sizes[0]),
         float(len(set(digits))), float(span.count("-")), float(span.count(".")), float(span.count(" ")), float("(" in span), float("/" in span),
         float(len(digits) >= 12 and luhn(digits)), float(kind == "iban" and _mod97(span)),
-        float("(at)" in span.lower() or "[at]" in span.lower()), float("dot" in span.lower()),
+        float(any(a in span.lower() for a in ("(at)", "[at]", "(@)", "[@]"))), float("dot" in span.lower()),
         float(own), float(other), float(sum(c in before for c in PLAIN)), float(any(c in before[-3:] + after[:3] for c in "$€£%")), float(before[-2:].strip().endswith(":")),
         float(bool(_DIGITS.search(before[-12:]))), float(bool(_DIGITS.search(after[:8]))), float(1 <= int(groups[0] if sizes[0] <= 4 and groups else 0) <= 31), float(any(len(g) == 4 and g[:2] in ("19", "20") for g in groups)),
     ]
@@ -130,8 +132,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
 
 def labelled(rows: int, seed: int = 11) -> Iterator[tuple[str, str, int, int, int]]:
     """Generated labelled candidates (text, kind, start, end, label): true forms in varied contexts, and look-alikes."""
-    r = np.random.default_rng(seed)
+    r, forms = np.random.default_rng(seed), np.random.default_rng(seed + 1)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
+    form = lambda *xs: xs[int(forms.integers(len(xs)))]
+    at = lambda: form("(at)", "(AT)", "(@)", "[at]", "[AT]", "[@]")
     num = lambda k: "".join(map(str, r.integers(0, 10, k)))
     filler = ["the", "und", "que", "on", "is", "para", "les", "of", "von", "see", "with", "a", "to", "der", "est", "por"]
 
@@ -147,14 +151,14 @@ def labelled(rows: int, seed: int = 11) -> Iterator[tuple[str, str, int, int, in
         return f"{country}{value if good else (value + 7) % 97:02d}{body}"
 
     true = {
-        "email": lambda: f"{word()}{pick(['.', '_', ''])}{word()} (at) {word()} (dot) {pick(['com', 'org', 'net', 'de'])}" if r.random() < 0.7 else f"{word()}[at]{word()}.{pick(['com', 'org'])}",
+        "email": lambda: f"{word()}{pick(['.', '_', ''])}{word()} {at()} {word()}{form(' (dot) ', ' (DOT) ', ' [dot] ', ' [DOT] ', '.')}{pick(['com', 'org', 'net', 'de'])}" if r.random() < 0.7 else f"{word()}{at()}{word()}.{pick(['com', 'org'])}",
         "card": lambda: check(pick("3456") + num(pick([12, 13]))) if r.random() < 0.4 else "{}.{}.{}.{}".format(*re.findall("....", check(pick("456") + num(14)))),
         "phone": lambda: pick(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(str(r.integers(200, 999)), num(3), num(4)),
         "ssn": lambda: f"{int(r.integers(1, 665)):03d}-{int(r.integers(1, 99)):02d}-{int(r.integers(1, 9999)):04d}",
         "iban": lambda: iban(True),
     }
     false = {
-        "email": lambda: f"{word()} at {word()} dot {word()}",
+        "email": lambda: f"{word()} at {word()}{form(' dot ', '.')}{word()}",
         "card": lambda: pick([lambda: num(16), lambda: f"2024{num(2)}{num(2)}{num(6)}", lambda: f"{num(4)} {num(4)} {num(3)}", lambda: f"{num(4)}-{num(3)}-{num(4)}-{num(2)}"])(),
         "phone": lambda: pick([lambda: f"{int(r.integers(1, 31)):02d}.{int(r.integers(1, 12)):02d}.20{num(2)}", lambda: f"20{num(2)}-{int(r.integers(1, 12)):02d}-{int(r.integers(1, 31)):02d}", lambda: f"{num(3)} {num(3)}", lambda: f"{num(2)}.{num(2)}.{num(2)}", lambda: f"{num(4)}-{num(4)}-{num(4)}", lambda: f"{num(5)}/{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(3)}.{num(2)}"])(),
         "ssn": lambda: f"9{num(2)}-{num(2)}-{num(4)}",
@@ -181,10 +185,10 @@ def model() -> tuple[BoostedTrees, dict[str, float]]:
     p, thresholds = trees.probability(x[~half]), {}
     for kind in CUES:
         mine = kinds[~half] == kind
-        order = np.argsort(-p[mine])
-        score, right = p[mine][order], y[~half][mine][order]
-        good = np.flatnonzero(right.cumsum() / np.arange(1, len(right) + 1) >= PRECISION)
-        thresholds[kind] = float(max(score[good[-1]], 0.5)) if len(good) else 1.1
+        score, right = p[mine], y[~half][mine]
+        # rows of equal score are taken or left together
+        reached = [t for t in (0.5, *np.unique(score[score > 0.5]).tolist()) if (score >= t).any() and right[score >= t].mean() >= PRECISION]
+        thresholds[kind] = reached[0] if reached else 1.1
     return trees, thresholds
 
 

@@ -76,6 +76,24 @@ def test_pii_leaves_plain_numbers_alone(spark):
     assert pii.digest(pii.pii_spans(docs).drop("text")).first()["spans"] == ""
 
 
+def test_pii_thresholds_reach_the_precision():
+    trees, thresholds = pii.model()
+    held = [r for i, r in enumerate(pii.labelled(pii.LABELLED_ROWS)) if i // len(pii.CUES) % 2]
+    p = trees.probability(np.array([pii.features(*r[:4]) for r in held]))
+    for kind, t in thresholds.items():
+        right = [r[4] for r, score in zip(held, p, strict=True) if r[1] == kind and score >= t]
+        assert not right or np.mean(right) >= pii.PRECISION
+
+
+@pytest.mark.parametrize("at", ["(at)", "(AT)", "(@)", "[at]", "[AT]", "[@]"])
+@pytest.mark.parametrize("text", ["jo.doe {} example.com", "jo_doe{}example.org"])
+def test_pii_every_form_of_an_at(spark, at, text):
+    docs = spark.createDataFrame([(1, f"please write to {text.format(at)} today", "e", "s", 1, "x"), (2, "we look at home.then we go", "e", "s", 1, "x")], DOCS)
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert got == {1: "please write to [EMAIL] today", 2: "we look at home.then we go"}
+    assert {r["doc_id"]: r["spans"] for r in pii.digest(pii.pii_spans(docs).drop("text")).collect()} == {1: f"email:16:{16 + len(text.format(at))}", 2: ""}
+
+
 def test_secrets():
     tlv = lambda t, b: bytes([t, len(b)]) + b
     key = tlv(0x30, tlv(0x02, b"\0") + b"".join(tlv(0x02, bytes([i + 1] * 5)) for i in range(8)))
