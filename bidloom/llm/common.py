@@ -125,8 +125,8 @@ class WordTokenizer:
 
     The pre-tokenizer of ``word_bpe_49k.json`` never joins text across white space, so a text's ids are those of its words in a
     row, and a word is encoded once and later only looked up. Texts of Latin-1 characters are lowered first, as the tokenizer's
-    normalizer does, so that runs of letters need the model alone; other texts go word by word through the whole tokenizer, and
-    texts with separators that only Python takes for space go as they are. ``encode`` returns little-endian unsigned 32-bit ids.
+    normalizer does, so that runs of letters need the model alone; other texts, and those that may hold added tokens, go word by
+    word and unlowered through the whole tokenizer, and texts with separators that only Python takes for space go as they are. ``encode`` returns little-endian unsigned 32-bit ids.
     """
 
     def __init__(self, path: str, cache_words: int = 900_000):
@@ -140,6 +140,9 @@ class WordTokenizer:
         if _NO_SPACE.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
+        if "<|" in text:
+            # added tokens are matched before the normalizer, so only the text as it stands tells them from upper-case look-alikes
+            return b"".join(map(self.other.__getitem__, text.split()))
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:

@@ -127,6 +127,18 @@ def test_token_store(spark, awkward, tokenizer, tmp_path):
     assert spark.read.parquet(f"{path}/blobs/kind=chunk").groupBy("key").count().where("count > 1").count() == 0
 
 
+def test_added_tokens_are_matched_as_they_stand(spark, tokenizer):
+    from bidloom.llm.common import word_tokenizer
+
+    texts = ["a <|ENDOFTEXT|> b", "A<|EndOfText|>B, <|StartOfText|> x.", "a <|endoftext|> <|STARTOFTEXT|><|startoftext|> B", "Ж <|EndOfText|>", "<|", "<| endoftext|>", "<|endofTEXT|>\xa0<|endoftext|>\x85É", "<<|ENDOFTEXT|>\x1c Y"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [320, 27, 347, 40786, 4160, 91, 285, 321] and 49407 in want[2]
+    assert [word_tokenizer(vocabulary()).encode(t) for t in texts] == [struct.pack(f"<{len(x)}I", *x) for x in want]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
+    packed = packing.pack(docs, vocabulary()).toPandas().set_index("doc_id")
+    assert [packed["length"][i] for i in range(len(texts))] == [len(x) + 1 for x in want]
+
+
 def test_store_notices_damage(spark, awkward, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(awkward.where("doc_id = 1"), path, vocabulary())
