@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of a labelled sample recognises exactly the sample's substrings. A text is parsed greedily
-into longest matches; the language in whose automaton it needs the fewest phrases a symbol wins.
+into longest matches; the language in whose automaton it needs the fewest phrases a symbol wins. Symbols are the UTF-8 bytes of
+all lower-cased letters, of any script, and 0 for everything else; every label is learned.
 
 Fitting: at most ``TRAIN_DOCS`` documents a language, those of least id hash, ``TRAIN_CHARS`` symbols of each language after parts
 that another language explains better are dropped (labelled documents hold foreign passages). The sample, not the automata,
@@ -14,6 +15,7 @@ Null texts and texts without a letter are ``und``, and so is everything where no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,33 +25,28 @@ from .common import scalars, table
 
 #: Bounds of the labelled sample: documents a language, symbols taken of each, symbols kept for the automaton.
 TRAIN_DOCS, DOC_CHARS, TRAIN_CHARS = 120, 1500, 20_000
-#: Languages at most (a label that is not among the most frequent ones is not learned).
-LANGUAGES = 64
-ALPHABET, LANE, PAD, OTHER = 48, 256, 46, 47
+#: PAD fills lanes; no UTF-8 text holds that byte.
+LANE, PAD = 256, 255
 
-_LETTER = np.array([chr(c).isalpha() for c in range(65536)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-class Alphabet:
-    """Symbols: 0 separates (all that is no letter), 1.. the sample's letters, OTHER the remaining letters, PAD fills lanes."""
+def symbols_of(text: str) -> np.ndarray:
+    """UTF-8 bytes of the lower-cased letters; 0 separates (each character that is no letter)."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.frombuffer(np.where(_LETTER[codes], codes, 0).astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
-    def __init__(self, texts: list[str]):
-        codes = np.frombuffer("".join(texts).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        seen, n = np.unique(codes[(codes < 65536) & _LETTER[np.minimum(codes, 65535)]], return_counts=True)
-        self.table = np.where(_LETTER, OTHER, 0).astype(np.uint8)
-        for k, c in enumerate(seen[np.argsort(-n, kind="stable")][: PAD - 1].tolist()):
-            self.table[c] = k + 1
 
-    def symbols(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.table[np.minimum(codes, 65535)]
-        for i in np.flatnonzero(codes > 65535).tolist():
-            out[i] = OTHER if chr(codes[i]).isalpha() else 0
-        return out
+class Automaton(NamedTuple):
+    """Step table: entry [state * width + column] is the next state, plus 2**30 where a phrase ends; ``columns`` has each byte's column."""
 
+    table: np.ndarray
+    columns: np.ndarray
+    width: int
 
-def automaton(symbols: list[int]) -> np.ndarray:
-    """Suffix automaton as a flat step table: entry [state * ALPHABET + symbol] is the next state, plus 2**30 where a phrase ends."""
+
+def automaton(symbols: list[int]) -> Automaton:
+    """Suffix automaton of a sample; a column for each byte in it, one for all bytes it lacks and one for PAD."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -75,26 +72,31 @@ def automaton(symbols: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    out = np.empty((len(step), ALPHABET), np.int32)
-    out[:] = [step[0].get(c, 0) + (1 << 30) for c in range(ALPHABET)]
+    own = sorted(step[0])
+    columns = np.full(256, len(own), np.int32)
+    columns[own] = range(len(own))
+    columns[PAD] = len(own) + 1
+    at = dict(zip(own, range(len(own)), strict=True))
+    out = np.empty((len(step), len(own) + 2), np.int32)
+    out[:] = [*(step[0][c] + (1 << 30) for c in own), 1 << 30, 0]
     for s, moves in enumerate(step):
         for c, t in moves.items():
-            out[s, c] = t
-        out[s, PAD] = s
-    return out.ravel()
+            out[s, at[c]] = t
+        out[s, -1] = s
+    return Automaton(out.ravel(), columns, len(own) + 2)
 
 
-def count_phrases(lanes: np.ndarray, step: np.ndarray) -> np.ndarray:
+def count_phrases(lanes: np.ndarray, step: Automaton) -> np.ndarray:
     """Phrases that each lane (a column of symbols) needs."""
     state, found = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
     for row in lanes:
-        v = step.take(state * ALPHABET + row)
+        v = step.table.take(state * step.width + step.columns.take(row))
         found += v >> 30
         state = v & ((1 << 30) - 1)
     return found
 
 
-def phrase_rates(texts: list[np.ndarray], steps: list[np.ndarray]) -> np.ndarray:
+def phrase_rates(texts: list[np.ndarray], steps: list[Automaton]) -> np.ndarray:
     """Phrases a symbol of each text (rows) in each automaton (columns)."""
     n = np.array([len(t) for t in texts])
     lanes_of = -(-n // LANE)
@@ -117,8 +119,7 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        self.alphabet = Alphabet([t for ts in samples.values() for t in ts])
-        joined = {k: [self.alphabet.symbols(t) for t in samples[k]] for k in self.languages}
+        joined = {k: [symbols_of(t) for t in samples[k]] for k in self.languages}
         self.kept = [np.concatenate([*joined[k], np.zeros(1, np.uint8)])[:TRAIN_CHARS] for k in self.languages]
         if len(self.languages) > 1:
             # parts that another language's automaton explains better leave the sample
@@ -130,18 +131,18 @@ class Model:
                     rates = phrase_rates(parts, steps)
                     good = [p for p, r in zip(parts, rates, strict=True) if r.argmin() == k]
                     self.kept[k] = np.concatenate([*good[::-1], np.zeros(1, np.uint8)])[:TRAIN_CHARS] if good else self.kept[k]
-        self._steps: list[np.ndarray] | None = None
+        self._steps: list[Automaton] | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"_steps": None}
 
-    def steps(self) -> list[np.ndarray]:
+    def steps(self) -> list[Automaton]:
         if self._steps is None:
             self._steps = [automaton(s.tolist()) for s in self.kept]
         return self._steps
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        symbols = [self.alphabet.symbols(t or "") for t in texts]
+        symbols = [symbols_of(t or "") for t in texts]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         told = [i for i, s in enumerate(symbols) if s.any()] if self.languages else []
         if told:
@@ -161,11 +162,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on a bounded sample of the labelled rows that are not held out: first ids by hash, then only those rows' texts."""
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = usable.select("id", "lang").join(frequent.select("lang"), "lang", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_DOCS)
-    ids = [r[0] for r in picked.select("id").distinct().collect()]
-    rows = usable.where(F.col("id").isin(ids)).select("id", "lang", F.substring("text", 1, DOC_CHARS).alias("text")).orderBy(F.xxhash64("id"), "id", "text").limit(TRAIN_DOCS * LANGUAGES).collect() if ids else []
+    picked = usable.select("id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= TRAIN_DOCS)
+    texts = usable.join(F.broadcast(picked.select("id").distinct()), "id", "left_semi").select("id", "lang", F.substring("text", 1, DOC_CHARS).alias("text"))
+    # ids may repeat, so the rows of each language are bounded once more
+    bounded = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))).where(F.col("r") <= TRAIN_DOCS)
+    rows = sorted(bounded.collect(), key=lambda r: (r["lang"], r["r"]))
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["lang"], []).append(r["text"])
@@ -179,7 +181,7 @@ def _cached(model: Model) -> Model:
     """The worker's own copy, so that automata are built once a worker and not once a task."""
     import hashlib
 
-    key = hashlib.blake2b(b"".join(s.tobytes() for s in model.kept) + model.alphabet.table.tobytes()).digest()
+    key = hashlib.blake2b(repr(model.languages).encode() + b"".join(s.tobytes() for s in model.kept)).digest()
     if key not in _built:
         _built.clear()
         _built[key] = model

@@ -217,6 +217,25 @@ def test_language(spark, awkward):
     assert language.predict(awkward, language.Model({})).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_of_other_scripts_and_many_labels(spark):
+    r = np.random.default_rng(8)
+
+    def tongue(low, high):
+        words = ["".join(chr(int(c)) for c in r.integers(low, high, int(r.integers(2, 7)))) for _ in range(60)]
+        return lambda n: " ".join(r.choice(words, n))
+
+    # two tongues a script, so that the script alone does not tell, and more labels than 64
+    tongues = {f"{k}{i}": tongue(low, high) for k, low, high in (("cyrillic", 0x430, 0x450), ("greek", 0x3B1, 0x3CA), ("cjk", 0x4E00, 0x5E00), ("gothic", 0x10330, 0x10340), ("latin", 0x61, 0x7B)) for i in range(2)}
+    tongues |= {f"more{i}": tongue(0x61, 0x7B) for i in range(60)}
+    docs = [(i * len(tongues) + j, t(40), lang, "s", 0, "x") for i in range(12) for j, (lang, t) in enumerate(tongues.items())]
+    df = spark.createDataFrame(docs, DOCS)
+    model = language.fit(df)
+    assert model.languages == sorted(tongues)
+    fresh = spark.createDataFrame([(j, t(40), lang, "s", 0, "x") for j, (lang, t) in enumerate(tongues.items())], DOCS)
+    found = language.predict(fresh, model).toPandas()
+    assert (found["lang"] == found["lang_pred"]).all()
+
+
 def test_automaton_knows_just_the_substrings():
     word = [1, 2, 1, 3, 1, 2]
     step = language.automaton(word)
