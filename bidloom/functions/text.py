@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .money import strip_ws
 
 #: Fixed values.
+LIMIT_MB = 50
 ALLOWED_SUFFIXES = (".pdf", ".jpg", ".jpeg", ".png", ".webp", ".tiff", ".bmp", ".heic")
 MIME_BY_SUFFIX = {".pdf": "application/pdf", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".tiff": "image/tiff", ".bmp": "image/bmp"}
 METHOD_OF_ENGINE = {"paddleocr": "ocr_paddleocr", "easyocr": "ocr_easyocr", "tesseract": "ocr_tesseract", "gemini_vision": "gemini_vision"}
@@ -27,7 +28,7 @@ def allowed(name: Column) -> Column:
     return suffix(name).isin(*ALLOWED_SUFFIXES)
 
 
-def small_enough(n_bytes: Column, limit_mb: float = 50) -> Column:
+def small_enough(n_bytes: Column, limit_mb: float = LIMIT_MB) -> Column:
     return n_bytes / 1048576.0 <= limit_mb
 
 

@@ -7,17 +7,23 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def intake(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path, size, MIME type and whether suffix and size are admissible."""
+    """Path, size, MIME type and whether suffix and size are admissible. Content over the size gate is never read: its type is told by name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return files.select("path", name.alias("name"), "length", T.mime_type(name, F.col("content")).alias("mime"), (T.allowed(name) & T.small_enough(F.col("length"))).alias("admitted"), T.job_id(F.col("path")).alias("job_id"))
+    # in bytes, as the reader takes only plain comparisons of the length
+    within = F.col("length") <= T.LIMIT_MB * 1048576
+
+    def rows(chosen: DataFrame, mime: Column) -> DataFrame:
+        return chosen.select("path", name.alias("name"), "length", mime.alias("mime"), (T.allowed(name) & T.small_enough(F.col("length"))).alias("admitted"), T.job_id(F.col("path")).alias("job_id"))
+
+    return rows(files.where(within), T.mime_type(name, F.col("content"))).unionByName(rows(files.where(~within), T.mime_type(name)))
 
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
