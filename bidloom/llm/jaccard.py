@@ -4,21 +4,26 @@ Words are runs of non-space characters with A-Z lowered; a document's set holds
 sequence where there are fewer words). Documents link when 100 * |intersection| >= 75 * |union|.
 
 1. Shingles that many documents hold are counted over all texts; they come last in the global order of shingles. The order
-   decides how much work is done, never the result, so the list of such shingles may be bounded (``HEAVY_MOST``).
+   decides how much work is done, never the result, so the list of such shingles may be bounded (``HEAVY_MOST``), and a task's
+   buffer may leave out what it holds fewer than three times.
 2. Two linking sets share a shingle among the first n - ceil(0.75 n) + 1 of each. Documents of equal size and equal prefix form
-   one group; a task emits a group's prefix once. One shuffle by shingle finds the shingles that more than one group holds.
+   one group; a task emits a group's prefix once. One shuffle by shingle finds the light shingles that more than one group
+   holds; heavy ones, whose runs may hold a third of all rows, are summed by partial aggregates instead and never meet in a task.
    If the first shingle that two sets share stands at place i of n, they share n - i at most; so a place tells the largest set
-   that may link there (``reach``), and two members of a run meet only where each lies within the reach of the other.
-3. Runs (the groups that share a shingle) with the same members are taken once, by their earliest shingle, and expanded to their
-   classes of equal sets. First every class meets one leader only, the least of those its runs have. In later rounds a batch of
-   leaders of each run meets all other members. A pair first compares parity sketches, whose
-   differing bits bound the sets' difference from below, so only true or nearly true links are verified on whole sets. Links merge
-   into components; then only members outside a run's largest component can still bring news, and become the next leaders, twice
-   as many in each round. Pairs inside one component are never asked for, so a group of thousands of near copies costs one star,
-   not all its pairs. The rounds end when every such member has led: no link between different components can be missed.
+   that may link there (``reach``), and two groups of a run pair up only where each lies within the reach of the other.
+3. Runs (the groups that share a shingle) with the same groups are taken once, by their earliest shingle; the classes of equal
+   sets in a group are a run of their own. First every group meets one leader, the least of those its runs have. A run is dealt
+   into cells of about ``CELL`` groups. In each later round a group outside a run's largest component asks some further cells,
+   ``GROWTH`` times as many as in the round before; what it meets there within both reaches are the group pairs.
+   They are expanded to pairs of classes, each asked once: parity sketches, whose differing bits bound the sets' difference from
+   below, then whole sets. Links merge into components. A group waits no more when it lies in the largest component of its run or
+   has asked all cells; when none waits, no link between different components can be missed. So a group of thousands of near
+   copies costs a star and a few questions for each member that the star leaves out, not all its pairs.
 
 Null or empty texts have an empty set and link with nothing. Equal texts are one class; copies are never expanded into pairs.
-Ids may be null or repeat; a class with no id but null takes no part in links with other texts.
+Repeated rows each give a row. Ids may be null or repeat; a class with no id but null takes no part in links with other texts, and
+its rows have a null component_id. Ties do not arise: the least id names a component. Very long texts are taken whole, one at a
+time. An empty table gives an empty result. Only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scalars, stage_table, table
+from .common import kept_in_worker, map_arrow, scalars, stage_counted, stage_table, table
 
 WORDS, SHARE = 5, 75
 #: A shingle is counted as heavy from this many occurrences on; at most so many are kept for the order.
 HEAVY_LEAST, HEAVY_MOST = 16, 200_000
-#: Leaders of a run in the second round; each later one has twice as many.
-LEADERS = 32
+#: Groups in a cell of a run on average; cells a group asks in the first round after the leaders, and how that grows.
+CELL, FIRST_CELLS, GROWTH = 8, 1, 8
 #: Candidate ids that are broadcast at most (8 bytes each); beyond this they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -65,18 +70,19 @@ def reach(n, place):
     return ((100 * n - (100 + SHARE) * place) / SHARE).cast("long")
 
 
-def in_order(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The set in global order: light shingles by hash, then heavy ones from the rarest to the most frequent."""
+def in_order(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set in global order, light shingles by hash, then heavy ones from the rarest to the most frequent; and how many are light."""
     if not len(heavy):
-        return s
+        return s, len(s)
     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
     place = np.where(heavy[at] == s, rank[at] + 1, 0)
-    return s[np.lexsort((s, place))]
+    return s[np.lexsort((s, place))], int((place == 0).sum())
 
 
-def signature(s: np.ndarray) -> int:
-    """64 bits that name the set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - 2**63
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name the set, as two longs."""
+    wide = xxhash.xxh3_128_intdigest(s.tobytes(), seed=len(s))
+    return (wide >> 64) - 2**63, (wide & (2**64 - 1)) - 2**63
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -101,6 +107,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles (ascending hashes) and their ranks; counted in every task's buffers, summed over all."""
 
     def rows(batches):
+        kept_in_worker("jaccard")
         held, size = [], 0
 
         def counted():
@@ -130,41 +137,64 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows of two kinds: a document (token null) with size and class, and a shingle that more than one group holds in its prefix."""
+    """Rows of three kinds: documents (0), light prefix shingles that more than one group holds (1), heavy prefix shingles (2)."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def rows(batches):
         seen: set[int] = set()
+        count = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = {k: [] for k in ("doc_id", "n", "vid", "gkey", "sketch", "prefix")}
+                out = {k: [] for k in ("at", "n", "v1", "v2", "gkey", "sketch", "prefix", "light")}
                 for text in scalars(part.column(1)):
                     s = shingles(text or "")
-                    prefix = in_order(s, *shared.value)[: prefix_length(len(s))]
+                    ordered, light = in_order(s, *shared.value)
+                    prefix = ordered[: prefix_length(len(s))]
                     gkey = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=len(s)) - 2**63
+                    for k, v in zip(("v1", "v2"), signature(s), strict=True):
+                        out[k].append(v)
+                    out["at"].append(count)
                     out["n"].append(len(s))
-                    out["vid"].append(signature(s))
                     out["sketch"].append(parity_sketch(s))
                     out["gkey"].append(gkey)
                     out["prefix"].append([] if gkey in seen else prefix.view(np.int64))
+                    out["light"].append(light)
                     seen.add(gkey)
+                    count += 1
                 yield out | {"doc_id": part.column(0)}
 
-    mapped = map_arrow(docs, rows, "doc_id long, n long, vid long, gkey long, sketch binary, prefix array<long>")
+    mapped = map_arrow(docs, rows, "doc_id long, at long, n long, v1 long, v2 long, gkey long, sketch binary, prefix array<long>, light int")
     token = F.posexplode(F.concat(F.array(F.lit(None).cast("long")), "prefix")).alias("place", "token")
-    rows_ = mapped.select(token, "gkey", "n", "doc_id", "vid", "sketch")
-    doc = F.col("token").isNull()
-    rows_ = rows_.select("token", "gkey", "n", reach(F.col("n"), F.col("place") - 1).alias("reach"), F.when(doc, F.col("doc_id")).alias("doc_id"), F.when(doc, F.col("vid")).alias("vid"), F.when(doc, F.col("sketch")).alias("sketch"), F.coalesce("token", F.xxhash64("doc_id", "vid")).alias("meet"))
-    w = Window.partitionBy("meet", "token")
-    half = lambda seed: F.shiftright(F.xxhash64("gkey", F.lit(seed)), 22)
-    # a member stays if some size in its run is within its reach and some reach covers its size
-    kept = rows_.withColumn("least", F.min("n").over(w)).withColumn("most", F.max("reach").over(w)).where("token IS NULL OR (reach >= least AND n <= most)").drop("least", "most")
-    kept = kept.withColumn("members", F.count("*").over(w)).where("token IS NULL OR members > 1").withColumn("reaches", F.sum("reach").over(w))
-    kept = kept.withColumn("run1", F.when(F.col("token").isNotNull(), F.try_sum(half(1)).over(w))).withColumn("run2", F.when(F.col("token").isNotNull(), F.try_sum(half(2)).over(w)))
+    rows_ = mapped.select(token, "gkey", "n", "doc_id", "at", "v1", "v2", "sketch", "light")
+    kind = F.when(F.col("token").isNull(), 0).when(F.col("place") <= F.col("light"), 1).otherwise(2).cast("byte")
+    of_doc = [F.when(F.col("token").isNull(), F.col(c)).alias(c) for c in ("doc_id", "v1", "v2", "sketch")]
+    # only light shingles meet; all other rows are spread by a key of their own
+    meet = F.when(kind == 1, F.col("token")).otherwise(F.xxhash64("at", "place", "v1"))
+    rows_ = rows_.select(kind.alias("kind"), "token", "gkey", "n", reach(F.col("n"), F.col("place") - 1).alias("reach"), *of_doc, meet.alias("meet"))
+    w = Window.partitionBy("meet", "kind")
+    # a group stays if some size in its run is within its reach and some reach covers its size
+    kept = rows_.withColumn("least", F.min("n").over(w)).withColumn("most", F.max("reach").over(w)).where("kind <> 1 OR (reach >= least AND n <= most)").drop("least", "most")
+    kept = kept.withColumn("members", F.count("*").over(w)).where("kind <> 1 OR members > 1").withColumn("reaches", F.sum("reach").over(w))
+    for run, seed in (("run1", 1), ("run2", 2)):
+        kept = kept.withColumn(run, F.when(F.col("kind") == 1, F.try_sum(_half(seed)).over(w)))
     return kept.drop("meet")
 
 
+def _half(seed: int):
+    """A share of the bits that name a run's groups, small enough that sums do not overflow."""
+    return F.shiftright(F.xxhash64("gkey", F.lit(seed)), 22)
+
+
+def _heavy_runs(postings: DataFrame) -> DataFrame:
+    """The heavy postings that may pair up, with the sums that the light ones have; at most ``HEAVY_MOST`` shingles are broadcast."""
+    rows = postings.where("kind = 2").select("token", "gkey", "n", "reach")
+    span = rows.groupBy("token").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    rows = rows.join(F.broadcast(span), "token").where("reach >= least AND n <= most").drop("least", "most")
+    sums = rows.groupBy("token").agg(F.count("*").alias("members"), F.sum("reach").alias("reaches"), F.try_sum(_half(1)).alias("run1"), F.try_sum(_half(2)).alias("run2"))
+    return rows.join(F.broadcast(sums.where("members > 1")), "token")
+
+
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose sketches leave room for a link."""
 
@@ -177,7 +207,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                     out["b"].append(b)
             yield out
 
-    end = lambda name: classes.select(F.col("vid").alias(name), F.col("sketch").alias(f"x_{name}"), F.col("n").alias(f"n_{name}"))
+    end = lambda name: classes.select(F.col("cid").alias(name), F.col("sketch").alias(f"x_{name}"), F.col("n").alias(f"n_{name}"))
     both = pairs.join(end("b"), "b").join(end("a"), "a").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "x_a", "x_b")
     return map_arrow(both, rows, "a long, b long")
 
@@ -199,8 +229,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out["b"].append(b)
             yield out
 
-    right = pairs.join(sets.select(F.col("vid").alias("b"), F.col("set").alias("y")), "b")
-    return map_arrow(right.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y"), rows, "a long, b long")
+    right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+    return map_arrow(right.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y"), rows, "a long, b long")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -208,20 +238,20 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def components(links: DataFrame) -> tuple[DataFrame, int]:
-    """(vid, comp), the least id reachable by links, for every id that has a link, and their number; minimum labels with pointer jumping."""
-    both = stage_table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().coalesce(_files(links.count())), "links")
-    rows = both.select("a").distinct().count()
-    files = _files(rows)
-    labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("vid"), F.least("a", "m").alias("comp")).coalesce(files), "labels")
+def components(links: DataFrame, files: int) -> tuple[DataFrame, int]:
+    """(cid, comp), the least id reachable by links, for every id that has a link, and their number; minimum labels with pointer jumping."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels, rows = stage_counted(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("comp")).coalesce(files), "labels")
     while True:
-        near = both.join(_small(labels.withColumnRenamed("vid", "b"), rows), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "vid")
-        lower = near.join(_small(labels, rows), "vid").select("vid", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
+        near = both.join(_small(labels.withColumnRenamed("cid", "b"), rows), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "cid")
+        lower = near.join(_small(labels, rows), "cid").select("cid", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         # what a label points to may itself have a lower label by now
-        jump = labels.select(F.col("vid").alias("comp"), F.col("comp").alias("next"))
-        labels = stage_table(lower.join(_small(jump, rows), "comp", "left").select("vid", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")).coalesce(files), "labels")
-        if not labels.where("was <> comp").limit(1).count():
-            return labels.select("vid", "comp"), rows
+        jump = labels.select(F.col("cid").alias("comp"), F.col("comp").alias("next"))
+        lower = lower.join(_small(jump, rows), "comp", "left").select("cid", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp"))
+        labels, moved = stage_counted(lower.coalesce(files), "labels", "was <> comp")
+        labels = labels.select("cid", "comp")
+        if not moved:
+            return labels, rows
 
 
 def _files(rows: int) -> int:
@@ -229,79 +259,123 @@ def _files(rows: int) -> int:
     return 6 + rows // 200_000
 
 
+def _runs(postings: DataFrame, classes: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
+    """(run, unit, n, reach, cells, cell), the units of each run: groups by their shingles and classes within their group; and their number."""
+    columns = ("token", "gkey", "n", "reach", "reaches", "members", "run1", "run2")
+    shared = postings.where("kind = 1").select(*columns).unionByName(stage_table(_heavy_runs(postings).select(*columns), "heavy"))
+    # of runs with the same groups the earliest shingle has the widest reach of each of them
+    one = shared.groupBy("members", "run1", "run2").agg(F.max(F.struct("reaches", "token")).alias("top")).where("run1 IS NOT NULL AND run2 IS NOT NULL").select("top.token")
+    one = one.unionByName(shared.where("run1 IS NULL OR run2 IS NULL").select("token").distinct())
+    runs = shared.join(one, "token", "left_semi").select("token", "gkey", "n", "reach").distinct()
+    across = runs.join(groups, ["gkey", "n"]).select(F.col("token").alias("run"), F.col("gid").alias("unit"), "n", "reach")
+    within = classes.join(groups.where("classes > 1"), ["gkey", "n"]).select(F.col("gid").alias("run"), F.col("cid").alias("unit"), "n", reach(F.col("n"), F.lit(0)).alias("reach"))
+    rows = stage_table(across.unionByName(within), "run-units")
+    sizes = rows.groupBy("run").count().where("count > 1").select("run", F.ceil(F.col("count") / CELL).cast("int").alias("cells"))
+    return stage_counted(rows.join(sizes, "run").withColumn("cell", F.pmod(F.xxhash64("unit", "run"), F.col("cells")).cast("int")), "runs")
+
+
+def _waiting(state: DataFrame, units: DataFrame, labels: DataFrame | None, cells: int) -> DataFrame:
+    """The open runs with each unit's component (null where its classes lie in several) and the number of cells it asks now."""
+    of = units if labels is None else units.join(labels, "cid", "left").select("unit", F.coalesce("comp", "cid").alias("cid"))
+    comps = of.groupBy("unit").agg(F.min("cid").alias("comp"), F.max("cid").alias("last"))
+    now = state.join(comps.select("unit", F.when(F.col("comp") == F.col("last"), F.col("comp")).alias("comp")), "unit")
+    # a run is open while a unit outside its largest component has cells left to ask
+    counted = now.groupBy("run", "comp").agg(F.count("*").alias("c"), F.max((F.col("done") < F.col("cells")).cast("int")).alias("more"))
+    top = F.max(F.when(F.col("comp").isNotNull(), F.struct("c", F.negative("comp").alias("m"), "more")))
+    main = counted.groupBy("run").agg(F.sum("more").alias("more"), top.alias("top")).where("more > coalesce(top.more, 0)").select("run", F.negative("top.m").alias("main"))
+    waits = (F.col("done") < F.col("cells")) & F.coalesce(F.col("comp") != F.col("main"), F.lit(True))
+    now = now.join(main, "run").withColumn("left", F.when(waits, F.col("cells") - F.col("done")).otherwise(0))
+    # a unit asks its smallest runs first; it has at most as many runs as its prefix has shingles
+    before = F.coalesce(F.sum("left").over(Window.partitionBy("unit").orderBy("cells", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asks = F.greatest(F.lit(0), F.least(F.col("left"), F.lit(cells) - before)).cast("int")
+    return now.withColumn("asks", asks).select("run", "unit", "n", "reach", "cells", "cell", "done", "comp", "asks")
+
+
+def _asked(now: DataFrame) -> DataFrame:
+    """The unit pairs (a, b) that the questions of this round meet within both reaches and outside one component."""
+    to = F.explode(F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda i: F.pmod(F.col("cell") + F.col("done") + i, F.col("cells")))).alias("cell")
+    askers = now.where("asks > 0").select("run", F.col("unit").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("comp").alias("ca"), to)
+    others = now.select("run", "cell", F.col("unit").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("comp").alias("cb"))
+    apart = F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))
+    met = askers.join(others, ["run", "cell"]).where((F.col("a") != F.col("b")) & apart & (F.col("na") <= F.col("rb")) & (F.col("nb") <= F.col("ra")))
+    return met.select("a", "b")
+
+
+def _led(runs: DataFrame) -> DataFrame:
+    """One unit pair for each unit: with the least leader of its runs."""
+    leaders = runs.groupBy("run").agg(F.min(F.struct("unit", "n", "reach")).alias("l"))
+    met = runs.join(leaders, "run").where("l.unit <> unit AND l.n <= reach AND n <= l.reach")
+    return met.groupBy(F.col("unit").alias("b")).agg(F.min("l.unit").alias("a"))
+
+
+def _expanded(met: DataFrame, units: DataFrame) -> DataFrame:
+    """The class pairs (a, b), a < b, of unit pairs."""
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    end = lambda name: units.select(F.col("unit").alias(name), F.col("cid").alias(f"c{name}"))
+    both = met.join(end("a"), "a").join(end("b"), "b").where("ca <> cb")
+    return both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: its id, n_shingles, its class of equal sets, and component_id, the smallest id reachable by links."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     postings = stage_table(_postings(docs, heavy_shingles(docs)), "postings")
-    members = postings.where("token IS NULL").select("doc_id", "n", "vid")
-    classes = stage_table(postings.where("token IS NULL AND n > 0").groupBy("vid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL"), "classes")
-
-    shared = postings.where("token IS NOT NULL").select("token", "gkey", "reach", "reaches", "members", "run1", "run2")
-    # of runs with the same members the earliest shingle has the widest reach of each of them
-    one = shared.groupBy("members", "run1", "run2").agg(F.max(F.struct("reaches", "token")).alias("top")).where("run1 IS NOT NULL AND run2 IS NOT NULL").select("top.token")
-    one = one.unionByName(shared.where("run1 IS NULL OR run2 IS NULL").select("token")).distinct()
-    runs = shared.select("token", "gkey", "reach").join(one, "token", "left_semi").distinct()
-    # classes that share a whole prefix and size meet in their group, which is a run of its own
-    grouped = classes.withColumn("c", F.count("*").over(Window.partitionBy("gkey"))).where("c > 1").select(F.col("gkey").alias("run"), "vid", "n", reach(F.col("n"), F.lit(0)).alias("reach"))
-    run_members = runs.join(classes, "gkey").select(F.col("token").alias("run"), "vid", "n", "reach").unionByName(grouped)
-    run_members = stage_table(run_members.withColumn("c", F.count("*").over(Window.partitionBy("run"))).where("c > 1").select("run", "vid", "n", "reach"), "runs")
-    members_of_runs = run_members.count()
-    labels, links, sets, labelled = None, None, None, 0
-    state = run_members.withColumn("led", F.lit(False))
-    for turn in range(1_000_000):
-        if turn == 0:
-            # the least leader of all its runs is what each class asks first; these may lead again
-            first = run_members.groupBy("run").agg(F.min(F.struct("vid", "n", "reach")).alias("l"))
-            met = run_members.join(first, "run").where("l.vid <> vid AND l.n <= reach AND n <= l.reach").groupBy(F.col("vid").alias("b")).agg(F.min("l.vid").alias("a"))
-        else:
-            now = state.withColumn("comp", F.col("vid")) if labels is None else state.join(_small(labels, labelled), "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-            run, same = Window.partitionBy("run"), Window.partitionBy("run", "comp")
-            now = now.select("run", "vid", "n", "reach", "led", "comp").repartition("run").withColumn("c", F.count("*").over(same)).withColumn("main", F.negative(F.max(F.struct("c", F.negative("comp").alias("m"))).over(run)["m"]))
-            now = now.withColumn("waits", ~F.col("led") & (F.col("comp") != F.col("main"))).withColumn("r", F.row_number().over(run.orderBy(F.desc("waits"), "vid")))
-            now = now.withColumn("leads", F.col("waits") & (F.col("r") <= LEADERS << min(turn - 1, 20))).withColumn("open", F.max("leads").over(run)).where("open")
-            now = stage_table(now.select("run", "vid", "n", "reach", "led", "comp", "leads").coalesce(_files(members_of_runs)), "leaders")
-            if not now.limit(1).count():
-                break
-            state = now.select("run", "vid", "n", "reach", (F.col("led") | F.col("leads")).alias("led"))
-            leaders = now.where("leads").select("run", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("reach").alias("ra"))
-            met = now.select("run", F.col("vid").alias("b"), "comp", F.col("n").alias("nb"), F.col("reach").alias("rb")).join(leaders, "run").where((F.col("ca") != F.col("comp")) & (F.col("na") <= F.col("rb")) & (F.col("nb") <= F.col("ra")))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = stage_table(_near(pairs, classes), "near")
-        wanted = near.select(F.col("a").alias("vid")).unionByName(near.select(F.col("b").alias("vid"))).distinct()
-        wanted = stage_table(wanted if sets is None else wanted.join(sets.select("vid"), "vid", "left_anti"), "wanted")
-        if wanted.limit(1).count():
-            more = _sets(docs, classes, wanted)
-            sets = more if sets is None else sets.unionByName(more)
-        if sets is None:
-            continue
-        found = stage_table(_verified(near, sets), "found")
-        if not found.limit(1).count():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels, labelled = components(links)
-    of_class = classes.select("vid", "rep")
+    members = postings.where("kind = 0").select("doc_id", "n", "v1", "v2")
+    classes = postings.where("kind = 0 AND n > 0").groupBy("v1", "v2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gkey").alias("gkey"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL")
+    # odd numbers name classes, even ones groups; they hold from here on, as the table is written
+    classes = stage_table(classes.withColumn("cid", 2 * F.monotonically_increasing_id() + 1), "classes")
+    groups = stage_table(classes.groupBy("gkey", "n").agg(F.count("*").alias("classes"), (F.min("cid") - 1).alias("gid")), "groups")
+    runs, n_runs = _runs(postings, classes, groups)
+    files = _files(n_runs)
+    grouped = classes.select("gkey", "n", "cid").join(groups, ["gkey", "n"])
+    units = grouped.select(F.col("gid").alias("unit"), "cid").unionByName(grouped.where("classes > 1").select(F.col("cid").alias("unit"), "cid"))
+    units = stage_table(units.join(runs.select("unit").distinct(), "unit", "left_semi"), "units")
+
+    labels, links, sets, asked, labelled = None, None, None, None, 0
+    state, cells, met = runs.withColumn("done", F.lit(0)), FIRST_CELLS, _led(runs)
+    while True:
+        pairs = _expanded(met, units)
+        pairs, n_pairs = stage_counted((pairs if asked is None else pairs.join(asked, ["a", "b"], "left_anti")).coalesce(files), "pairs")
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        near, n_near = stage_counted(_near(pairs, classes).coalesce(files), "near") if n_pairs else (pairs, 0)
+        if n_near:
+            wanted = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+            wanted = wanted if sets is None else wanted.join(sets.select("cid"), "cid", "left_anti")
+            wanted, n_wanted = stage_counted(classes.join(wanted, "cid").select(F.col("rep").alias("doc_id"), "v1", "v2", "cid").coalesce(files), "wanted")
+            if n_wanted:
+                more = _sets(docs, wanted, n_wanted)
+                sets = more if sets is None else sets.unionByName(more)
+            found, n_found = stage_counted(_verified(near, sets).coalesce(files), "found")
+            if n_found:
+                links = found if links is None else links.unionByName(found)
+                labels, labelled = components(links, files)
+        now, n_now = stage_counted(_waiting(state, units, None if labels is None else _small(labels, labelled), min(cells, 1 << 30)).coalesce(files), "round")
+        if not n_now:
+            break
+        state, cells, met = now.withColumn("done", F.col("done") + F.col("asks")).drop("comp", "asks"), cells * GROWTH, _asked(now)
+    of_class = classes.select("v1", "v2", "cid", "rep")
     if labels is not None:
-        named = of_class.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
-        of_class = named.join(named.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("vid", F.col("least").alias("rep"))
-    joined = members.join(of_class, "vid", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("vid").alias("class_id"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        named = of_class.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        of_class = named.join(named.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("v1", "v2", F.col("least").alias("rep"))
+    joined = members.join(of_class.select("v1", "v2", "rep"), ["v1", "v2"], "left")
+    named_set = F.concat_ws("-", F.hex("v1"), F.hex("v2"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), named_set.alias("class_id"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, vids: DataFrame) -> DataFrame:
-    """(vid, set) of the classes asked for, from the text of their first documents."""
-    wanted = stage_table(classes.join(vids, "vid", "left_semi").select(F.col("rep").alias("doc_id"), "vid"), "firsts")
-    ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """(cid, set) of the classes asked for, from the text of their first documents."""
+    ids = _small(wanted.select("doc_id").distinct(), n_wanted)
 
     def rows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [shingles(t or "") for t in scalars(batch.slice(at, 256).column(1))]
-                yield {"vid": [signature(s) for s in sets], "set": [s.tobytes() for s in sets]}
+                named = [signature(s) for s in sets]
+                yield {"v1": [v[0] for v in named], "v2": [v[1] for v in named], "set": [s.tobytes() for s in sets]}
 
-    sets = map_arrow(docs.join(ids, "doc_id", "left_semi"), rows, "vid long, set binary")
+    sets = map_arrow(docs.join(ids, "doc_id", "left_semi"), rows, "v1 long, v2 long, set binary")
     # an id that repeats with other texts brings other sets along; equal ones are needed once
-    return stage_table(sets.join(wanted.select("vid"), "vid", "left_semi").dropDuplicates(["vid"]), "sets")
+    return stage_table(sets.join(wanted.select("v1", "v2", "cid"), ["v1", "v2"]).select("cid", "set").dropDuplicates(["cid"]), "sets")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
