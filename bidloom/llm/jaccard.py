@@ -5,7 +5,7 @@ sequence where there are fewer words). Documents link when 100 * |intersection|
 
 1. Shingles that many documents hold are counted over all texts; they come last in the global order of shingles. The order
    decides how much work is done, never the result, so the list of such shingles may be bounded (``HEAVY_MOST``), and a task's
-   buffer may leave out what it holds fewer than three times.
+   buffer of ``BUFFER`` shingles may leave out what it holds but once.
 2. Two linking sets share a shingle among the first n - ceil(0.75 n) + 1 of each. Documents of equal size and equal prefix form
    one group; a task emits a group's prefix once. One shuffle by shingle finds the light shingles that more than one group
    holds; heavy ones, whose runs may hold a third of all rows, are summed by partial aggregates instead and never meet in a task.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import kept_in_worker, map_arrow, scalars, stage_counted, stage_table, table
 
 WORDS, SHARE = 5, 75
-#: A shingle is counted as heavy from this many occurrences on; at most so many are kept for the order.
-HEAVY_LEAST, HEAVY_MOST = 16, 200_000
+#: A shingle is heavy from this many counted occurrences on; at most so many are kept for the order. Shingles in a task's buffer.
+HEAVY_LEAST, HEAVY_MOST, BUFFER = 6, 200_000, 3_000_000
 #: Groups in a cell of a run on average; cells a group asks in the first round after the leaders, and how that grows.
 CELL, FIRST_CELLS, GROWTH = 8, 1, 8
 #: Candidate ids that are broadcast at most (8 bytes each); beyond this they are joined by a shuffle.
@@ -112,7 +112,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def counted():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 3
+            often = n >= 2
             return {"token": tokens[often].view(np.int64), "n": n[often]}
 
         for batch in batches:
@@ -121,7 +121,7 @@ def heavy_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     s = shingles(text)
                     held.append(s)
                     size += len(s)
-                    if size > 3_000_000:
+                    if size > BUFFER:
                         yield counted()
                         held, size = [], 0
         if held:
@@ -285,9 +285,11 @@ def _waiting(state: DataFrame, units: DataFrame, labels: DataFrame | None, cells
     main = counted.groupBy("run").agg(F.sum("more").alias("more"), top.alias("top")).where("more > coalesce(top.more, 0)").select("run", F.negative("top.m").alias("main"))
     waits = (F.col("done") < F.col("cells")) & F.coalesce(F.col("comp") != F.col("main"), F.lit(True))
     now = now.join(main, "run").withColumn("left", F.when(waits, F.col("cells") - F.col("done")).otherwise(0))
-    # a unit asks its smallest runs first; it has at most as many runs as its prefix has shingles
-    before = F.coalesce(F.sum("left").over(Window.partitionBy("unit").orderBy("cells", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    asks = F.greatest(F.lit(0), F.least(F.col("left"), F.lit(cells) - before)).cast("int")
+    # a unit asks its smallest runs first, where few copies meet, and as much in its largest, where the large groups are; it has at
+    # most as many runs as its prefix has shingles
+    before = lambda *order: F.coalesce(F.sum("left").over(Window.partitionBy("unit").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.lit(cells) - F.least(before("cells", "run"), before(F.desc("cells"), F.desc("run")))
+    asks = F.greatest(F.lit(0), F.least(F.col("left"), room)).cast("int")
     return now.withColumn("asks", asks).select("run", "unit", "n", "reach", "cells", "cell", "done", "comp", "asks")
 
 
