@@ -8,8 +8,11 @@ enough to be read as a whole. Spark's text writer writes the archives, with the
 Reading: files are parsed by Content-Length alone; records in one piece are decoded where they are read, only continuation
 records are grouped by their origin, put in order of segment number, checked against the total length and decoded.
 
-A null html counts as an empty payload; empty tables give empty archives; other columns are not read. Page ids are unique and
-not null (they name the records); rows without an id are left out, of repeated ids with equal payload each row stays.
+Every row has a record of its own, named by page id and row number, so ids may repeat or be null; repeated rows each give a row. A
+null html counts as an empty payload; empty tables give empty archives; columns other than the three are not read. Of copies with
+the largest id all are responses if that id repeats, and so are all copies if none has an id. A payload of any length is cut into
+segments, which meet again in the task of their origin. Copies meet their response in joins whose large side Spark can split, so a
+payload that a third of the pages share does not land in one task.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ _EOL = b"\r\n"
 _END = "\r\n\r\n"
 
 
-def _uri(page_id: int, segment: int = 1) -> str:
-    return f"<urn:bidloom:page:{page_id}:{segment}>"
+def _uri(page_id: int | None, row: int, segment: int = 1) -> str:
+    return f"<urn:bidloom:page:{'' if page_id is None else page_id}:{row}:{segment}>"
 
 
 def _record(fields: list[tuple[str, str | int]], block: bytes) -> bytes:
@@ -66,27 +69,27 @@ def unchunked(body: bytes) -> bytes:
         at += n + 2
 
 
-def records_of(page_id: int, url: str, payload: bytes, refers_to: int | None) -> Iterator[bytes]:
+def records_of(page_id: int | None, row: int, url: str, payload: bytes, refers_to: tuple[int, int] | None) -> Iterator[bytes]:
     """The records of one page: a revisit, a whole response, or a first segment and its continuations."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    url = "".join(c for c in url if c > " ") or f"urn:bidloom:page:{page_id}"
+    url = "".join(c for c in url if c > " ") or f"urn:bidloom:page:{row}"
     common = [("WARC-Target-URI", url), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", digest)]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     mime = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", _uri(page_id)), *common, ("WARC-Profile", profile), ("WARC-Refers-To", _uri(refers_to)), mime], http)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", _uri(page_id, row)), *common, ("WARC-Profile", profile), ("WARC-Refers-To", _uri(*refers_to)), mime], http)
         return
     block = http + chunked(payload)
     parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
-    first = [("WARC-Type", "response"), ("WARC-Record-ID", _uri(page_id)), *common, mime]
+    first = [("WARC-Type", "response"), ("WARC-Record-ID", _uri(page_id, row)), *common, mime]
     if len(parts) == 1:
         yield _record(first, block)
         return
     yield _record([*first, ("WARC-Segment-Number", 1)], parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = [("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _uri(page_id, k)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", _uri(page_id)), ("WARC-Segment-Number", k), *last], part)
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _uri(page_id, row, k)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Segment-Origin-ID", _uri(page_id, row)), ("WARC-Segment-Number", k), *last], part)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -104,42 +107,47 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    picked = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    keyed = picked.withColumn("digest", F.when(F.length("payload") >= REVISIT_LEAST, F.sha1("payload")))
-    largest = keyed.where("digest IS NOT NULL").select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").select("digest", "latest")
-    # pages without a copy have no row in ``largest``: short pages get keys of their own, so that they don't meet in one task
-    paired = keyed.withColumn("digest", F.coalesce("digest", F.concat(F.lit("short "), F.col("page_id")))).join(largest, "digest", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row"), text(url_col).alias("url"), F.encode(text(payload_col), "UTF-8").alias("payload"))
+    keyed = keyed.withColumn("digest", F.when(F.length("payload") >= REVISIT_LEAST, F.sha1("payload")))
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))
+    largest = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.max(known).alias("latest"), F.count("*").alias("n")).where("n > 1").select("digest", "latest")
+    # pages without a copy have no row in ``largest``; short pages get keys of their own, so that they don't meet in one task
+    paired = keyed.withColumn("digest", F.coalesce("digest", F.concat(F.lit("short "), F.col("row")))).join(largest, "digest", "left")
 
     def rows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 out = []
-                for page_id, url, payload, latest in zip(*(scalars(part.column(i)) for i in range(4)), strict=True):
-                    out += records_of(page_id, url, payload, latest if latest is not None and latest != page_id else None)
+                for page_id, row, url, payload, latest, latest_row in zip(*(scalars(part.column(i)) for i in range(6)), strict=True):
+                    out += records_of(page_id, row, url, payload, (latest, latest_row) if latest is not None and latest != page_id else None)
                 yield {"record": out}
 
-    records = map_arrow(paired.select("page_id", "url", "payload", "latest"), rows, "record binary")
+    records = map_arrow(paired.select("page_id", "row", "url", "payload", F.col("latest.page_id").alias("latest_page"), F.col("latest.row").alias("latest_row")), rows, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row a page: payload_bytes, payload_digest, record_type and refers_to; a revisit's length is that of what it refers to."""
-    number = lambda uri: int(uri.rsplit(":", 2)[1])
+    def number(uri: str) -> int | None:
+        page_id = uri.rsplit(":", 3)[1]
+        return int(page_id) if page_id else None
 
     def measured(block: bytes) -> dict:
         head, _, body = block.partition(b"\r\n\r\n")
         payload = unchunked(body) if b"chunked" in head.lower() else body
         return {"payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
 
-    fields = ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "segment", "total", "block")
+    fields = ("origin", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "segment", "total", "block")
 
     def rows(batches):
         for batch in batches:
             for data in scalars(batch.column(0)):
                 out = []
                 for h, block in parse(zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data):
-                    row = {"page_id": number(h.get("warc-segment-origin-id") or h["warc-record-id"]), "record_type": h["warc-type"]}
+                    origin = h.get("warc-segment-origin-id") or h["warc-record-id"]
+                    row = {"origin": origin, "page_id": number(origin), "record_type": h["warc-type"]}
                     digest = base64.b32decode(h["warc-payload-digest"].partition(":")[2]).hex() if "warc-payload-digest" in h else None
                     if h["warc-type"] == "revisit":
                         row |= {"payload_digest": digest, "refers_to": number(h["warc-refers-to"])}
@@ -158,7 +166,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def joined(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, parts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                page_id, parts = number(batch.column(0)[i].as_py()), batch.column(1)[i].as_py()
                 block = b"".join(p["block"] for p in parts)
                 if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != parts[-1]["total"]:
                     raise ValueError(f"record of page {page_id}: segments are missing or the total length differs")
@@ -168,18 +176,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield {"page_id": [page_id], **{k: [v] for k, v in found.items()}}
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    parsed = map_arrow(files, rows, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, segment int, total long, block binary")
+    parsed = map_arrow(files, rows, "origin string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, segment int, total long, block binary")
     parsed = stage_table(parsed, "warc-parsed")  # small but for the segments; read three times below
     whole = parsed.where("segment IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    pieces = parsed.where("segment IS NOT NULL").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("segment", "total", "payload_digest", "block"))).alias("parts"))
+    pieces = parsed.where("segment IS NOT NULL").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("segment", "total", "payload_digest", "block"))).alias("parts"))
     put = map_arrow(pieces, joined, "page_id long, payload_bytes long, payload_digest string").select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     return _resolved(whole.unionByName(put))
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
-    responses = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    revisits = rows.where("record_type = 'revisit'").join(responses, "refers_to", "left")
-    agreed = revisits.select("page_id", F.when(F.col("d") == F.col("payload_digest"), F.col("n")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    """Revisits get the length of the response that they name and whose digest agrees."""
+    responses = rows.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.first("payload_bytes").alias("n"))
+    revisits = rows.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left")
+    agreed = revisits.select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return rows.where("record_type = 'response'").unionByName(agreed)
 
 
