@@ -10,8 +10,10 @@ Queries are a stated set and meet all rows in blocks: rows go to blocks of at mo
 ``QUERY_BLOCK``, and each pair of blocks is one task's work; the best k of each block are merged. Both sides are dealt by a hash
 of the id, so copies of one vector spread evenly. The lines come from a fixed seed; the first radius is set from each block.
 
-Vectors that are null, zero, hold null or non-finite components or have another length than most take no part; of rows with the
-same id each counts. Ties go to the smaller id. An empty table gives an empty result.
+Vectors that are null, zero, hold null or non-finite components or have another length than most take no part, nor do rows without
+an id. Of candidates with the same id each counts; equal query rows are one query, those of one id with other vectors are queries
+of their own, and no row with a query's id is a candidate of it. Ties go to the smaller id. Very long vectors make blocks larger,
+nothing else. An empty table gives an empty result; only the id and vector columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import table
 
-PROJECTIONS, THRESHOLD = 128, 92
+PROJECTIONS, THRESHOLD = 128, 92  # counts of collisions fit a byte
 #: Width of a window at radius 1, growth of the radius a level, share of a block and number of vectors verified at least.
 WIDTH, GROWTH, BETA, LEAST_CHECKED = 2.6, 1.2, 0.06, 150
 BLOCK, QUERY_BLOCK = 65536, 8192
 #: Rows a block has at least before another one is opened, and blocks that small tables are spread over.
 LEAST_BLOCK, SPREAD = 4096, 12
+#: Queries of a block whose windows widen together.
+QUERIES_AT_ONCE = 128
 
 
 def usable(v: Column) -> Column:
@@ -41,50 +46,52 @@ def lines(dim: int) -> np.ndarray:
 
 
 def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
-    """The k nearest found in one block for each query: query ids, vector ids and distances."""
+    """The k nearest found in one block for each query: numbers of queries, vector ids and distances.
+
+    All queries that are still open widen their windows together, so that each level looks up each line once.
+    """
     a = lines(x.shape[1])
-    projected, wanted = x @ a, q @ a
+    projected, wanted = x @ a, (q @ a).T.copy()
     order = np.argsort(projected, axis=0, kind="stable").T.copy()
     sorted_ = np.take_along_axis(projected, order.T, axis=0).T.copy()
     n = len(ids)
     # the spread of a line is the typical distance over the square root of two
-    start = 0.35 * float(np.sqrt(2) * np.median(projected.std(0))) or 1.0
-    out_q, out_v, out_d = [], [], []
+    radius = 0.35 * float(np.sqrt(2) * np.median(projected.std(0))) or 1.0
     enough = k + LEAST_CHECKED + BETA * n
-    for query_id, vector, at in zip(query_ids.tolist(), q, wanted, strict=True):
-        count = np.zeros(n, np.int32)
-        low = np.array([np.searchsorted(s, p) for s, p in zip(sorted_, at, strict=True)])
-        high = low.copy()
-        checked = np.zeros(n, bool)
-        found_ids, found_d = np.empty(0, np.int64), np.empty(0)
-        radius = start
-        while True:
-            half = WIDTH * radius / 2
-            parts = []
-            for j in range(PROJECTIONS):
-                s = sorted_[j]
-                first, last = s.searchsorted(at[j] - half), s.searchsorted(at[j] + half, "right")
-                parts += [order[j, first : low[j]], order[j, high[j] : last]]
-                low[j], high[j] = min(first, low[j]), max(last, high[j])
-            count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
-            new = np.flatnonzero((count >= THRESHOLD) & ~checked)
-            if len(new):
-                checked[new] = True
-                own = new[ids[new] != query_id]
-                found_ids = np.concatenate([found_ids, ids[own]])
-                found_d = np.concatenate([found_d, np.sqrt(((x[own] - vector) ** 2).sum(1))])
-                if len(found_ids) > k:
-                    best = np.lexsort((found_ids, found_d))[:k]
-                    found_ids, found_d = found_ids[best], found_d[best]
-            whole = bool((low == 0).all() and (high == n).all())
-            if whole or checked.sum() >= enough or (len(found_d) >= k and found_d[-1] <= radius):
-                break
-            radius *= GROWTH
-        best = np.lexsort((found_ids, found_d))[:k]
-        out_q += [query_id] * len(best)
-        out_v += found_ids[best].tolist()
-        out_d += found_d[best].tolist()
-    return out_q, out_v, out_d
+    out: tuple[list, list, list] = ([], [], [])
+    for first in range(0, len(q), QUERIES_AT_ONCE):
+        part = np.arange(first, min(first + QUERIES_AT_ONCE, len(q)))
+        low = np.stack([s.searchsorted(w) for s, w in zip(sorted_, wanted[:, part], strict=True)], 1)
+        high, now, r = low.copy(), np.arange(len(part)), radius
+        counts = np.zeros((len(part), n), np.uint8)
+        checked = np.zeros((len(part), n), bool)
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in part]
+        while len(now):
+            at, half = wanted[:, part[now]], WIDTH * r / 2
+            left = np.stack([s.searchsorted(w - half) for s, w in zip(sorted_, at, strict=True)], 1)
+            right = np.stack([s.searchsorted(w + half, "right") for s, w in zip(sorted_, at, strict=True)], 1)
+            left, right = np.minimum(left, low[now]), np.maximum(right, high[now])
+            done = np.zeros(len(now), bool)
+            for m, i in enumerate(now.tolist()):
+                spans = zip(order, left[m].tolist(), low[i].tolist(), high[i].tolist(), right[m].tolist(), strict=True)
+                new = np.concatenate([piece for o, a0, a1, b0, b1 in spans for piece in (o[a0:a1], o[b0:b1])])
+                counts[i] += np.bincount(new, minlength=n).astype(np.uint8)
+                new = np.flatnonzero((counts[i] >= THRESHOLD) & ~checked[i])
+                if len(new):
+                    checked[i, new] = True
+                    own = new[ids[new] != query_ids[part[i]]]
+                    near = np.concatenate([found[i][0], ids[own]]), np.concatenate([found[i][1], np.sqrt(((x[own] - q[part[i]]) ** 2).sum(1))])
+                    best = np.lexsort(near)[:k]
+                    found[i] = near[0][best], near[1][best]
+                done[m] = checked[i].sum() >= enough or (len(found[i][1]) >= k and found[i][1][-1] <= r)
+            low[now], high[now] = left, right
+            done |= (left == 0).all(1) & (right == n).all(1)
+            now, r = now[~done], r * GROWTH
+        for i, (vec_ids, scores) in enumerate(found):
+            out[0].extend([int(part[i])] * len(vec_ids))
+            out[1].extend(vec_ids.tolist())
+            out[2].extend(scores.tolist())
+    return out
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -95,7 +102,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of every query, its own id left out."""
     slim = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    data, asked = slim(vectors), slim(queries)
+    data = slim(vectors)
+    asked = slim(queries).dropDuplicates(["id", "v"])
     dims = data.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim, n = (dims["d"], dims["count"]) if dims else (0, 0)
     n_queries = asked.where(F.size("v") == dim).count()
@@ -108,12 +116,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     def best(rows: pa.Table, queries_: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
         if rows.num_rows and queries_.num_rows:
+            queries_ = queries_.combine_chunks()
             found = search(rows["id"].to_numpy(), _matrix(rows["v"]), queries_["id"].to_numpy(), _matrix(queries_["v"]), k)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+        of = pa.array(found[0], pa.int64())
+        return pa.table({"query_id": queries_["id"].take(of), "query": queries_["v"].take(of), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     keys = ("block", "query_block")
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, StructType([StructField("query_id", LongType()), StructField("query", data.schema["v"].dataType), StructField("vec_id", LongType()), StructField("score", DoubleType())]))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
