@@ -1,15 +1,20 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of a labelled sample recognises exactly the sample's substrings. A text is parsed greedily
-into longest matches; the language in whose automaton it needs the fewest phrases a symbol wins. Symbols are the UTF-8 bytes of
-all lower-cased letters, of any script, and 0 for everything else; every label is learned.
+into longest matches; the language in whose automaton it needs the fewest phrases a symbol wins, ties going to the language that
+comes first by name. A phrase is a pointer into the sample and counts 1; the last one, which the text's end cuts short, counts
+log(N / k) / log(N) where its string stands k times in the N symbols of the sample: so short texts are told apart by how common
+they are. Symbols are the UTF-8 bytes of all lower-cased letters, of any script, and 0 for everything else; every label is learned.
 
 Fitting: at most ``TRAIN_DOCS`` documents a language, those of least id hash, ``TRAIN_CHARS`` symbols of each language after parts
 that another language explains better are dropped (labelled documents hold foreign passages). The sample, not the automata,
-travels to the tasks, where a worker builds them once. Predicting is one pass without a shuffle: the texts of a batch are cut into
-lanes of ``LANE`` symbols, and all lanes step through the automata together; every symbol of every text is parsed.
+travels to the tasks, where a worker builds them once. Predicting is one pass without a shuffle. The texts of a batch are cut into
+lanes of ``LANE`` symbols, which step through the automata together; then each lane is parsed again from the state in which the
+lane before it ended, until no state changes: the result is that of one parse of each whole text.
 
-Null texts and texts without a letter are ``und``, and so is everything where nothing is learned. Ids may be null or repeat.
+Null texts and texts without a letter are ``und``, and so is everything where nothing is learned. Ids may be null or repeat: each
+row is predicted for itself, in training a null id takes no part and an id counts with at most ``TRAIN_DOCS`` rows. An empty table
+gives an empty result. Texts of any length are parsed whole. Other columns pass through, but for such as bear the two result names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scalars, table
+from .common import kept_in_worker, scalars, table
 
 #: Bounds of the labelled sample: documents a language, symbols taken of each, symbols kept for the automaton.
 TRAIN_DOCS, DOC_CHARS, TRAIN_CHARS = 120, 1500, 20_000
@@ -38,11 +43,13 @@ def symbols_of(text: str) -> np.ndarray:
 
 
 class Automaton(NamedTuple):
-    """Step table: entry [state * width + column] is the next state, plus 2**30 where a phrase ends; ``columns`` has each byte's column."""
+    """Step table: entry [state * width + column] is the next state, plus 2**30 where a phrase ends; ``columns`` has each byte's column,
+    ``cost`` what the phrase that ends in a state counts."""
 
     table: np.ndarray
     columns: np.ndarray
     width: int
+    cost: np.ndarray
 
 
 def automaton(symbols: list[int]) -> Automaton:
@@ -72,6 +79,16 @@ def automaton(symbols: list[int]) -> Automaton:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    # how often the strings of a state occur: once for each prefix that ends there, and what longer states hand down
+    times = np.zeros(len(step))
+    state = 0
+    for c in symbols:
+        state = step[state][c]
+        times[state] += 1
+    for s in sorted(range(1, len(step)), key=length.__getitem__, reverse=True):
+        times[link[s]] += times[s]
+    cost = np.log(max(len(symbols), 2) / np.maximum(times, 1)) / np.log(max(len(symbols), 2))
+    cost[0] = 0
     own = sorted(step[0])
     columns = np.full(256, len(own), np.int32)
     columns[own] = range(len(own))
@@ -83,34 +100,42 @@ def automaton(symbols: list[int]) -> Automaton:
         for c, t in moves.items():
             out[s, at[c]] = t
         out[s, -1] = s
-    return Automaton(out.ravel(), columns, len(own) + 2)
+    return Automaton(out.ravel(), columns, len(own) + 2, cost)
 
 
-def count_phrases(lanes: np.ndarray, step: Automaton) -> np.ndarray:
-    """Phrases that each lane (a column of symbols) needs."""
-    state, found = np.zeros(lanes.shape[1], np.int32), np.zeros(lanes.shape[1], np.int32)
+def count_phrases(lanes: np.ndarray, step: Automaton, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Whole phrases that each lane (a column of symbols) ends, and the states at its end, from the root or the given states."""
+    state, found = np.zeros(lanes.shape[1], np.int32) if state is None else state, np.zeros(lanes.shape[1], np.int32)
     for row in lanes:
         v = step.table.take(state * step.width + step.columns.take(row))
         found += v >> 30
         state = v & ((1 << 30) - 1)
-    return found
+    return found, state
 
 
 def phrase_rates(texts: list[np.ndarray], steps: list[Automaton]) -> np.ndarray:
     """Phrases a symbol of each text (rows) in each automaton (columns)."""
     n = np.array([len(t) for t in texts])
-    lanes_of = -(-n // LANE)
+    lanes_of = np.maximum(-(-n // LANE), 1)
     first = np.concatenate([[0], np.cumsum(lanes_of)])
-    out = np.zeros((len(texts), len(steps)))
     flat = np.full(int(first[-1]) * LANE, PAD, np.uint8)
     for i, t in enumerate(texts):
         flat[first[i] * LANE : first[i] * LANE + len(t)] = t
     flat = flat.reshape(-1, LANE)
-    owner = np.repeat(np.arange(len(texts)), lanes_of)
-    for at in range(0, len(flat), 8192):
-        lanes = np.ascontiguousarray(flat[at : at + 8192].T).astype(np.int32)
-        for k, step in enumerate(steps):
-            out[:, k] += np.bincount(owner[at : at + 8192], count_phrases(lanes, step), len(texts))
+    follows = np.ones(len(flat), bool)
+    follows[first[:-1]] = False
+    out = np.zeros((len(texts), len(steps)))
+    for k, step in enumerate(steps):
+        found, ends, began = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int32), np.zeros(len(flat), np.int32)
+        todo = np.arange(len(flat))
+        while len(todo):
+            for at in range(0, len(todo), 8192):
+                some = todo[at : at + 8192]
+                found[some], ends[some] = count_phrases(np.ascontiguousarray(flat[some].T).astype(np.int32), step, began[some])
+            enter = np.where(follows, np.concatenate([[0], ends[:-1]]), 0).astype(np.int32)
+            todo = np.flatnonzero(enter != began)
+            began = enter
+        out[:, k] = np.add.reduceat(found, first[:-1]) + step.cost[ends[first[1:] - 1]]
     return out / np.maximum(n, 1)[:, None]
 
 
@@ -174,30 +199,24 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return Model(samples)
 
 
-_built: dict[bytes, Model] = {}
-
-
 def _cached(model: Model) -> Model:
     """The worker's own copy, so that automata are built once a worker and not once a task."""
     import hashlib
 
     key = hashlib.blake2b(repr(model.languages).encode() + b"".join(s.tobytes() for s in model.kept)).digest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = model
-    return _built[key]
+    return kept_in_worker(("language", key), lambda: model)
 
 
-def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of the table and lang_pred and score."""
+def predict(documents: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of the table and the two of the prediction, which stand for columns of the same names."""
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    names = [n for n in documents.columns if n not in ("lang_pred", "score")]
-    documents = documents.select(*names)
+    names = [n for n in documents.columns if n not in (pred_col, score_col)]
+    documents = documents.select(*(f"`{n}`" for n in names))
     at = names.index(text_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*documents.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = _cached(shared.value)
@@ -205,7 +224,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 langs, scores = mine.predict(list(scalars(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, pred_col, score_col])
 
     return documents.mapInArrow(run, schema)
 
