@@ -6,8 +6,10 @@ null space of two constraints, the totals of words and of documents, until at mo
 left of many blocks meets in one block of the next round, until a source has one block. The landing problem of at most two
 documents a source is settled by taking those in part, so that the words taken meet the target to a word.
 
-A null text has no words; null is a source of its own, last in order. Rows are taken one by one, so repeated rows are
-separate units; in an empty table nothing is drawn. Draws depend on source, block and ids only: reruns agree.
+A null text has no words; null is a source of its own, last in order. Rows are taken one by one, so repeated rows are separate
+units, and ids, which may be null, name no unit; in an empty table nothing is drawn. Draws depend on what the rows hold only, and
+rows that tie in all of it are equal: reruns agree. A text of any length is one unit. The table's columns travel in one struct, so they
+may have any names.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import stage_table, table
 
@@ -87,26 +90,24 @@ def _round(units: DataFrame, level: int) -> DataFrame:
     """One flight phase in every (source_no, block)."""
 
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["unit", "size"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["draw", "size", "unit"], kind="stable").reset_index(drop=True)
         rows["x"] = flight(rows["x"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng([level, int(key[0]), int(key[1])]))
         return rows
 
     return units.groupBy("source_no", "block").applyInPandas(fly, units.schema)
 
 
-def mix(documents: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """All rows of the table with size, source_size, target, ``copies`` (whole ones) and ``part`` (words of one more, cut)."""
-    rows = documents.withColumn("size", n_words(F.col(text_col).cast("string"))).withColumn("_s", F.col(source_col).cast("string"))
-    targets = stage_table(source_targets(rows.select(F.col("_s").alias("source"), "size")), "targets")
-    joined = rows.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_s", "_t")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return joined.withColumn("ratio", ratio)
+def _units(documents: DataFrame, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
+    """One row a document, written once so that its number ``unit`` holds from here on: id, source, size, and what its draw depends on."""
+    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    rows = documents.select(F.monotonically_increasing_id().alias("unit"), F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), n_words(text).alias("size"), F.xxhash64(F.col(id_col).cast("long"), source, text).alias("draw"), *more)
+    return stage_table(rows, "units")
 
 
 def _draw(units: DataFrame) -> DataFrame:
-    """(unit, source_no, x) with every x settled but for at most two of a source; units carry unit, source_no, size, n, x."""
+    """(unit, x) with every x settled but for at most two of a source; units carry unit, draw, source_no, size, n, x."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
-    now = units.withColumn("block", F.pmod(F.xxhash64("unit"), blocks)).withColumn("blocks", blocks).drop("n")
+    now = units.withColumn("block", F.pmod(F.xxhash64("draw"), blocks)).withColumn("blocks", blocks).drop("n")
     most = units.agg(F.max("n")).first()[0] or 0
     most = -(-most // BLOCK)
     settled, level = None, 0
@@ -121,44 +122,44 @@ def _draw(units: DataFrame) -> DataFrame:
         most, level = -(-most // FAN_IN), level + 1
 
 
-def taken(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row a document: its id, size, source_size, target, whole copies, ``part`` words of a further copy, and words taken.
-
-    The draw keys a row by id, source and size; rows equal in all three are told apart by their number among each other.
-    """
-    slim = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    base = stage_table(mix(slim).select("doc_id", "source_no", "size", "source_size", "n", "target", "ratio"), "mix")
-    same = Window.partitionBy("doc_id", "source_no", "size").orderBy(F.lit(1))
-    base = base.withColumn("twin", F.row_number().over(same)).withColumn("unit", F.xxhash64("doc_id", "source_no", "size", "twin"))
-    whole = F.floor(F.col("ratio") + 1e-12)
-    base = base.withColumn("whole", whole).withColumn("x", F.greatest(F.lit(0.0), F.col("ratio") - whole))
-    drawn = _draw(base.where("x > 0 AND size > 0").select("unit", "source_no", "size", "n", "x")).select("unit", F.col("x").alias("got"), F.col("source_no").alias("_n"))
+def _taken(units: DataFrame) -> DataFrame:
+    """The units with source_size, target, ``copies`` (whole ones), ``part`` (words of one more, cut) and ``taken`` words."""
+    targets = stage_table(source_targets(units.select("source", "size")), "targets").withColumnRenamed("source", "of")
+    base = units.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(ratio + 1e-12)
+    base = base.withColumn("whole", whole).withColumn("x", F.greatest(F.lit(0.0), ratio - whole))
+    drawn = _draw(base.where("x > 0 AND size > 0").select("unit", "draw", "source_no", "size", "n", "x")).select("unit", F.col("x").alias("got"))
     out = base.join(drawn, "unit", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
     copies = (F.col("whole") + F.when(F.col("got") >= 1, 1).otherwise(0)).cast("long")
     part = F.when((F.col("got") > 0) & (F.col("got") < 1), F.round(F.col("got") * F.col("size"))).otherwise(0).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), part.alias("part"), "twin", "source_no").withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-
-
-def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``documents``: each row as often as it is taken whole, and the parts cut at a word."""
-    picked = taken(documents).groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("twin", "source_no", "copies", "part"))).alias("rows"))
-    sized = documents.withColumn("_size", n_words(F.col("text").cast("string")))
-    twin = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(1)))
-    sized = sized.withColumn("_twin", twin).withColumn("_source", F.dense_rank().over(Window.partitionBy("doc_id", "_size").orderBy(F.col("source").isNull(), "source")))
-    # rows of one id and size are few; their sources keep their order, so the numbers pair up
-    rows = F.transform("rows", lambda r: r)
-    nth = F.filter(rows, lambda r: r["twin"] == F.col("_twin"))
-    nos = F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["source_no"])))
-    joined = sized.join(picked.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "rows"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n")))
-    joined = joined.withColumn("_r", F.filter(nth, lambda r: r["source_no"] == F.get(nos, F.col("_source") - 1))[0])
-    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, F.col("_r.part").cast("int")), " ")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("_r.copies").cast("int")), F.when(F.col("_r.part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    out = joined.withColumn("text", F.explode(texts))
+    return out.withColumn("copies", copies).withColumn("part", part).withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
+
+
+def taken(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row a document: its id, source, size, source_size, target, whole copies, ``part`` words of a further copy, and words taken."""
+    found = _taken(_units(documents, id_col, source_col, text_col))
+    return found.select("doc_id", "source", "source_no", "size", "source_size", "target", "copies", "part", "taken")
+
+
+def mixed_documents(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself, with the columns of ``documents``: each row as often as it is taken whole, and the parts cut at a word.
+
+    ``n_chars``, where there is one, follows the text.
+    """
     names = documents.columns
+    units = _units(documents, id_col, source_col, text_col, F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    picked = _taken(units.drop("row")).where("copies > 0 OR part > 0").select("unit", "copies", "part")
+    joined = units.select("unit", "row").join(picked, "unit")
+    text = F.col("row")[text_col]
+    words = F.filter(F.split(text.cast("string"), "[ \\t-\\r]+"), lambda w: w != "")
+    cut = F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ").cast(documents.schema[text_col].dataType)
+    texts = F.concat(F.array_repeat(text, F.col("copies").cast("int")), F.when(F.col("part") > 0, F.array(cut)).otherwise(F.array().cast(ArrayType(documents.schema[text_col].dataType))))
+    out = joined.select("row", F.explode(texts).alias("text"))
+    new = {text_col: F.col("text")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*names)
+        new["n_chars"] = F.char_length(F.col("text").cast("string")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

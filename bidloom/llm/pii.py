@@ -5,7 +5,8 @@ per kind, calibrated on held-out labelled rows, selects what is redacted. Spans
 
 One pass over the texts, no shuffle. A null text counts as empty; an empty table gives an empty result; repeated rows each
 give a row; ids may be null and are passed through; columns other than id and text are not read, so clashing names do no harm.
-All scans are linear in the text. The labelled rows are generated here (``LABELLED_ROWS`` of them, fixed seed), half of
+Of overlapping candidates the one of highest score stays, ties going to the kind and place that come first. All scans are linear in
+the text, however long. The labelled rows are generated here (``LABELLED_ROWS`` of them, fixed seed), half of
 them held out for the thresholds, so the model is the same for every input and every rerun.
 """
 
@@ -193,7 +194,7 @@ def model() -> tuple[BoostedTrees, dict[str, float]]:
 
 
 def pii_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, text and ``found``, an array of (kind, start, end, score, base); code points, end exclusive."""
+    """One row a document: id and ``found``, an array of (kind, start, end, score, base); code points, end exclusive."""
     trees, thresholds = model()
 
     def rows(batches):
@@ -214,11 +215,11 @@ def pii_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     for (i, k, s, e), score in sorted(zip(asked, p.tolist(), strict=True), key=lambda c: (c[0][0], -c[1], c[0])):
                         if score >= thresholds[k] and not any(s < b and a < e for _, a, b, *_ in found[i]):
                             found[i].append((k, s, e, score, False))
-                yield {"id": part.column(0), "text": part.column(1), "found": [[dict(zip(("kind", "start", "end", "score", "base"), f, strict=True)) for f in fs] for fs in found]}
+                yield {"id": part.column(0), "found": [[dict(zip(("kind", "start", "end", "score", "base"), f, strict=True)) for f in fs] for fs in found]}
 
     picked = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = map_arrow(picked, rows, "id long, text string, found array<struct<kind:string,start:int,end:int,score:double,base:boolean>>")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "found")
+    out = map_arrow(picked, rows, "id long, found array<struct<kind:string,start:int,end:int,score:double,base:boolean>>")
+    return out.withColumnRenamed("id", id_col)
 
 
 def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,4 +272,4 @@ def digest(spans: DataFrame, kinds: tuple[str, ...] = KINDS, base: tuple[str, ..
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pii_spans(table(spark, sf_dir, "documents")).drop("text"))
+    return digest(pii_spans(table(spark, sf_dir, "documents")))
