@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next one."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next one.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows and ids, and columns of any name besides
+those it reads (text, doc_id, source, lang, n_chars); an empty table stays empty. Ties: the row of smallest id, null ids last.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidloom.llm import jaccard, language, mixing, packing, pii
-from bidloom.llm.common import stage_table, vocabulary
+from bidloom.llm.common import free_name, stage_table, vocabulary
+
+#: Bytes of encoded words a Python worker keeps while it packs; less than in a job of its own, as the stages share the workers.
+CACHE_BYTES = 64 << 20
 
 
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -16,25 +23,28 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no text or no letter) go; the others keep their row as it is."""
-    named = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
-    found = language.predict(named, language.fit(named))
-    return _columns(found.where("lang_pred <> 'und'"), docs)
+    """Documents in no language (no text or no letter) go; the others keep their row as it is, whatever its columns are called."""
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = language.predict(docs, language.fit(docs), pred_col=pred, score_col=score)
+    return _columns(found.where(F.col(pred) != "und"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays; where that id repeats, the row of least text."""
-    found = jaccard.jaccard_components(docs)
-    keep = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    least = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r")).select("doc_id", "r.*")
-    return _columns(single, docs).unionByName(_columns(least, docs)).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near copies the row of smallest id stays, null ids last; rows tell apart, so ids may be null or repeat.
+
+    Rows with no word link with nothing and stay. Rows of one id with unrelated texts both stay; of equal rows one stays.
+    """
+    row = free_name(docs, "row")
+    rows = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard.jaccard_components(rows, row, "text").select(F.col("doc_id").alias("r"), "component_id")
+    ids = rows.select(F.col(row).alias("r"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "r"))
+    heads = found.join(ids, "r").groupBy("component_id").agg(first.alias("head")).select(F.col("head.r").alias(row))
+    return _columns(rows.join(heads, row, "left_semi"), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become their kind in brackets; n_chars follows the text."""
+    """Spans of personal data become their kind in brackets; n_chars follows the text; null texts and all other columns stay."""
     clean = pii.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -42,13 +52,13 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the balanced sample takes it; at most two documents a source are taken in part."""
+    """Each row as often as the balanced sample takes it; at most two documents a source are taken in part; rows may repeat."""
     return _columns(mixing.mixed_documents(docs), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every taken document lies in which sequence."""
-    return packing.pack(docs, vocabulary())
+    """Where every piece of every taken document lies in which sequence; each row, repeated or not, is packed for itself."""
+    return packing.pack(docs, vocabulary(), cache_bytes=CACHE_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -185,6 +185,12 @@ def test_warc(spark, tmp_path):
         raw = (html or "").encode()
         assert (rows[i]["payload_bytes"], rows[i]["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
     assert {i: r["refers_to"] for i, r in rows.items() if r["record_type"] == "revisit"} == {1: 9, 2: 9}
+    # repeated rows, segmented or referred to, and rows without an id: a record each
+    odd = [(6, "u", big)] * 2 + [(9, "u", "x" * 1000)] * 2 + [(1, "u", "x" * 1000), (None, "u", "x" * 1000), (None, "u", "y" * 1000)]
+    warc.write_archives(spark.createDataFrame(odd, "page_id long, url string, html string"), str(tmp_path / "odd"))
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "odd")).collect())
+    n = len(big.encode())
+    assert got == [(0, 1000, "response", None), (0, 1000, "revisit", 9), (1, 1000, "revisit", 9), *[(6, n, "response", None)] * 2, *[(9, 1000, "response", None)] * 2]
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc")
 
@@ -205,6 +211,22 @@ def test_nearest(spark):
         hit += len(set(best) & set(mine["vec_id"]))
     assert hit >= 0.9 * 300 and got["query_id"].max() < 3000
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
+    twice = nearest.nearest(df, df.where("vec_id = 200").unionByName(df.where("vec_id = 200"))).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(twice, key=lambda r: r["rank"])] == [(r.rank, r.vec_id) for r in got[got.query_id == 200].sort_values("rank").itertuples()]
+
+
+def test_nearest_recall_on_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    frame = df.toPandas().sort_values("vec_id")
+    ids, x = frame["vec_id"].to_numpy(), np.stack(frame["embedding"]).astype(float)
+    got = nearest.query(spark, "/root/testdata/sf0.01").toPandas()
+    hit = wanted = 0
+    for q in range(0, len(ids), 100):
+        at = int(np.flatnonzero(ids == q)[0])
+        d = np.sqrt(((x - x[at]) ** 2).sum(1))
+        best = [int(ids[i]) for i in np.lexsort((ids, d)) if i != at][:10]
+        hit, wanted = hit + len(set(best) & set(got[got.query_id == q]["vec_id"])), wanted + 10
+    assert hit >= 0.9 * wanted
 
 
 def test_language(spark, awkward):
@@ -236,12 +258,30 @@ def test_language_of_other_scripts_and_many_labels(spark):
     assert (found["lang"] == found["lang_pred"]).all()
 
 
+def test_phrases_equal_a_plain_parse():
+    r = np.random.default_rng(9)
+    samples = [r.integers(1, 4, 400).tolist(), [1, 2] * 150 + [3]]
+    texts = [r.integers(1, 5, n).tolist() for n in (1, 3, 255, 256, 257, 1000, 5000)] + [([1, 2] * 700)[:1300]]
+    got = language.phrase_rates([np.array(t, np.uint8) for t in texts], [language.automaton(s) for s in samples])
+    for j, sample in enumerate(samples):
+        whole, n = "".join(map(chr, sample)), len(sample)
+        for i, text in enumerate(texts):
+            count, now = 0, ""
+            for c in map(chr, text):
+                if now + c in whole:
+                    now += c
+                else:
+                    count, now = count + 1, c if c in whole else ""
+            times = sum(whole.startswith(now, k) for k in range(n)) if now else n
+            assert got[i, j] == pytest.approx((count + np.log(n / times) / np.log(n)) / len(text))
+
+
 def test_automaton_knows_just_the_substrings():
     word = [1, 2, 1, 3, 1, 2]
     step = language.automaton(word)
     lanes = lambda xs: np.array([[x] for x in xs], np.int32)
-    assert language.count_phrases(lanes([2, 1, 3, 1]), step)[0] == 0
-    assert language.count_phrases(lanes([3, 2, 3]), step)[0] == 2
+    assert language.count_phrases(lanes([2, 1, 3, 1]), step)[0][0] == 0
+    assert language.count_phrases(lanes([3, 2, 3]), step)[0][0] == 2
 
 
 # ------------------------------------------------------------------ mixing, fingerprints, links
@@ -274,7 +314,7 @@ def test_mixing(spark):
         n = None if n != n else n
         assert g["target"].iloc[0] == pytest.approx(want[n]) and abs(g["taken"].sum() - want[n]) <= 2
     assert (got["taken"] <= 3 * got["size"]).all()
-    key = ["doc_id", "source_no", "size", "twin"]
+    key = ["doc_id", "source_no", "size", "copies", "part"]
     assert got.sort_values(key)["taken"].tolist() == again.sort_values(key)["taken"].tolist()
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns and mixed.select(mixing.n_words(mixed["text"]).alias("n")).agg({"n": "sum"}).first()[0] == got["taken"].sum()
