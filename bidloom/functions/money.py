@@ -14,9 +14,10 @@ def strip_ws(c: Column) -> Column:
 def safe_money(c: Column) -> Column:
     """A money text as a double: separators and currency marks go, what is left must be a plain number; else null.
 
-    Every point and comma is deleted, so "1.5" is 15; marks are case-sensitive; "1.2K" and "12 vnd" are null.
+    Every point, comma and space is deleted, so "1.5" is 15 and "35 000 VND" is 35000; marks are case-sensitive; "1.2K" and
+    "12 vnd" are null. So are, on purpose, "1_000", digits other than 0 to 9, "nan" and "inf", which a looser reading would take.
     """
-    text = strip_ws(F.replace(F.replace(c, F.lit(","), F.lit("")), F.lit("."), F.lit("")))
+    text = strip_ws(F.translate(c, ",. ", ""))
     for mark in ("VND", "đ", "$", "USD", "EUR"):
         text = F.replace(text, F.lit(mark), F.lit(""))
     text = strip_ws(text)

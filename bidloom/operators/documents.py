@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import overall_confidence, repaired_total, safe_money
 from ..functions.text import json_region, name_key
+from .chunking import BUDGET, chunk_lines
 
 TEXT_FIELDS = ("nha_cung_cap", "so_bao_gia", "ngay_bao_gia", "khach_hang", "dieu_kien_thanh_toan", "thoi_gian_giao_hang", "bao_hanh", "ghi_chu_chung")
 MONEY_FIELDS = ("tong_chua_vat", "thue_vat_pct", "thue_vat_tien", "tong_sau_vat")
@@ -69,9 +72,29 @@ def first_wins(items: DataFrame, doc: str, name: str, *order: str) -> DataFrame:
     return items.withColumn("_n", first).where((F.col("_n") == 1) | (key == "")).drop("_n")
 
 
-def merge_chunks(chunks: DataFrame, doc: str, chunk: str, meta: list[str]) -> DataFrame:
-    """Document fields of the first chunk."""
-    return chunks.groupBy(doc).agg(*[F.min_by(m, chunk).alias(m) for m in meta])
+def merge_chunks(chunks: DataFrame, doc: str, chunk: str, meta: list[str], *more: Column) -> DataFrame:
+    """Document fields of the first chunk, and further aggregates over all of its chunks."""
+    return chunks.groupBy(doc).agg(*[F.min_by(m, chunk).alias(m) for m in meta], *more)
+
+
+def extract_documents(texts: DataFrame, ask: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+    """Structured documents of whole texts: cut into chunks, each asked for a reply, replies parsed and put together again.
+
+    ``ask`` adds ``reply`` to rows with ``chunk``. Document fields are those of the first chunk; items of all chunks are united in
+    their order, and only where a text is longer than the budget (even if it fits one chunk, as line breaks don't count there) the
+    first of each name stays. Ids are unique; null texts give no items.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    cut = texts.select(F.col(id_col).alias("doc"), (F.char_length(text) > budget).alias("long"), chunk_lines(text, budget).alias("chunks"))
+    chunks = cut.select("doc", "long", F.posexplode("chunks").alias("no", "chunk"))
+    replies = ask(chunks).select(F.struct("doc", "no", "long").alias("key"), "reply")
+    parsed = parse_replies(replies, "key").select("key.*", "*").drop("key")
+    heads = merge_chunks(parsed, "doc", "no", [c for c in parsed.columns if c not in ("doc", "no", "long", "items")])
+    items = parsed.select("doc", "no", "long", F.posexplode("items").alias("pos", "item")).withColumn("name", F.col("item.ten_sp"))
+    united = first_wins(items.where("long"), "doc", "name", "no", "pos").unionByName(items.where("NOT long"))
+    packed = united.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "pos", "item"))).alias("x")).select("doc", F.transform("x", lambda r: r["item"]).alias("items"))
+    joined = heads.join(packed, "doc", "left").withColumn("items", F.coalesce("items", F.array().cast(parsed.schema["items"].dataType)))
+    return joined.withColumnRenamed("doc", id_col)
 
 
 def with_overall_confidence(docs: DataFrame, base: Column) -> DataFrame:

@@ -55,6 +55,8 @@ def scratch(s: SparkSession, label: str) -> str:
         import uuid
 
         return f"{base}/bidloom/{s.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="spark-bidloom-") + f"/{label}"
 
 
@@ -102,19 +104,19 @@ def item_pill(s, d):
 
 # ------------------------------------------------------------------ scalar rules
 
-_MONEY_IN = "CASE l_linenumber % 7 WHEN 0 THEN format('{:,}', v) WHEN 1 THEN format('{:,}', v) || ' đ' WHEN 2 THEN v || ' VND' WHEN 3 THEN '$' || v WHEN 4 THEN v || ' vnd' WHEN 5 THEN v || 'K' ELSE v || '.5' END"
+_MONEY_IN = "CASE l_linenumber % 7 WHEN 0 THEN format('{:,}', v) WHEN 1 THEN format('{:,}', v) || ' đ' WHEN 2 THEN replace(format('{:,}', v), ',', ' ') || ' VND' WHEN 3 THEN '$' || v WHEN 4 THEN v || ' vnd' WHEN 5 THEN v || 'K' ELSE v || '.5' END"
 
 
 @register(f"""
 WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_extendedprice) AS BIGINT) AS v FROM lineitem), b AS (SELECT *, {_MONEY_IN} AS raw FROM a),
-c AS (SELECT *, trim(replace(replace(replace(replace(replace(replace(replace(raw, ',', ''), '.', ''), 'VND', ''), 'đ', ''), '$', ''), 'USD', ''), 'EUR', '')) AS t FROM b)
+c AS (SELECT *, trim(replace(replace(replace(replace(replace(replace(replace(replace(raw, ' ', ''), ',', ''), '.', ''), 'VND', ''), 'đ', ''), '$', ''), 'USD', ''), 'EUR', '')) AS t FROM b)
 SELECT l_orderkey, l_partkey, raw, CASE WHEN regexp_full_match(t, '[+-]?[0-9]+([eE][+-]?[0-9]+)?') THEN try_cast(t AS DOUBLE) END AS amount FROM c""")
 def safe_money(s, d):
     v = F.floor("l_extendedprice").cast("bigint")
     k = F.col("l_linenumber") % 7
     grouped = F.format_number(v, 0)
     text = v.cast("string")
-    raw = F.when(k == 0, grouped).when(k == 1, F.concat(grouped, F.lit(" đ"))).when(k == 2, F.concat(text, F.lit(" VND"))).when(k == 3, F.concat(F.lit("$"), text)).when(k == 4, F.concat(text, F.lit(" vnd"))).when(k == 5, F.concat(text, F.lit("K"))).otherwise(F.concat(text, F.lit(".5")))
+    raw = F.when(k == 0, grouped).when(k == 1, F.concat(grouped, F.lit(" đ"))).when(k == 2, F.concat(F.translate(grouped, ",", " "), F.lit(" VND"))).when(k == 3, F.concat(F.lit("$"), text)).when(k == 4, F.concat(text, F.lit(" vnd"))).when(k == 5, F.concat(text, F.lit("K"))).otherwise(F.concat(text, F.lit(".5")))
     return read(s, d, "lineitem").select("l_orderkey", "l_partkey", raw.alias("raw"), M.safe_money(raw).alias("amount"))
 
 
@@ -285,9 +287,8 @@ SELECT l_orderkey AS doc_id, arg_min(l_suppkey, k) AS first_supplier, arg_max(l_
 def merge_chunks(s, d):
     k = F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")
     chunks = read(s, d, "lineitem").withColumn("k", k).withColumn("first_supplier", F.col("l_suppkey"))
-    heads = documents.merge_chunks(chunks, "l_orderkey", "k", ["first_supplier"])
-    tails = chunks.groupBy("l_orderkey").agg(F.max_by("l_suppkey", "k").alias("last_supplier"), F.count("*").alias("n"))
-    return heads.join(tails, "l_orderkey").select(F.col("l_orderkey").alias("doc_id"), "first_supplier", "last_supplier", "n")
+    merged = documents.merge_chunks(chunks, "l_orderkey", "k", ["first_supplier"], F.max_by("l_suppkey", "k").alias("last_supplier"), F.count("*").alias("n"))
+    return merged.select(F.col("l_orderkey").alias("doc_id"), "first_supplier", "last_supplier", "n")
 
 
 @register(f"""
@@ -308,7 +309,7 @@ def item_export_rows(s, d):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     items = read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("pos"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_linenumber")).alias("stt"), F.lit(None).cast("string").alias("ma_sp"), F.col("l_returnflag").alias("ten_sp"), F.lit("kg").alias("dvt"), F.col("l_quantity").alias("so_luong"), F.col("l_extendedprice").alias("don_gia"), F.lit(None).cast("double").alias("chiet_khau_pct"), F.lit(None).cast("double").alias("thanh_tien"), F.lit('a "b", c').alias("ghi_chu"), (1 - F.col("l_discount")).alias("confidence"))
     path = scratch(s, "csv")
-    exports.csv_rows(items).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    exports.write_csv(exports.csv_rows(items), path, files=64)
     back = s.read.option("header", True).option("quote", '"').option("escape", '"').csv(path, schema="doc_id long, stt string, ma_sp string, ten_sp string, dvt string, so_luong double, don_gia double, chiet_khau_pct string, thanh_tien string, ghi_chu string, confidence double")
     return back.select("doc_id", "stt", F.coalesce("ma_sp", F.lit("")).alias("ma_sp"), "ten_sp", F.round("so_luong", 2).alias("qty"), F.round("don_gia", 2).alias("price"))
 
@@ -328,6 +329,51 @@ def doc_kv_summary(s, d):
     return wide.unpivot(["o_orderkey"], labels, "label", "value").where(F.col("value").isNotNull() & (F.col("value") != ""))
 
 
+def _order_docs(s: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, with as many items as the key modulo 5."""
+    none, k = F.lit(None).cast("string"), F.col("o_orderkey")
+    rate = F.when(k % 3 == 1, 0.0).when(k % 3 == 2, 8.0)
+    return read(s, d, "orders").select(
+        k.alias("doc_id"), F.col("o_orderpriority").alias("nha_cung_cap"), none.alias("so_bao_gia"), F.col("o_orderpriority").alias("ngay_bao_gia"), F.lit("").alias("khach_hang"), F.when(k % 2 == 0, "VND").otherwise("USD").alias("don_vi_tien"),
+        F.col("o_totalprice").alias("tong_chua_vat"), F.lit(None).cast("double").alias("thue_vat_tien"), F.col("o_totalprice").alias("tong_sau_vat"), rate.alias("thue_vat_pct"), none.alias("dieu_kien_thanh_toan"), F.lit("x").alias("thoi_gian_giao_hang"), none.alias("bao_hanh"),
+        F.array_repeat(F.lit("x"), (k % 5).cast("int")).alias("items"),
+    )
+
+
+_MONEY = "CASE WHEN o_orderkey % 2 = 0 THEN format('{:,.0f}', o_totalprice) || ' đ' ELSE format('{:,.2f}', o_totalprice) || ' USD' END"
+
+
+@register(f"""
+SELECT doc_id, unnest(range(1, 13))::INT AS pos, unnest(labels) AS label, unnest(vals) AS value FROM (SELECT o_orderkey AS doc_id,
+ ['Nhà cung cấp', 'Số báo giá', 'Ngày báo giá', 'Khách hàng', 'Đơn vị tiền', 'Số sản phẩm', 'Tổng chưa VAT', CASE WHEN o_orderkey % 3 = 2 THEN 'Thuế VAT (8.0%)' ELSE 'Thuế VAT (10%)' END, 'Tổng sau VAT', 'Điều kiện thanh toán', 'Thời gian giao hàng', 'Bảo hành'] AS labels,
+ [o_orderpriority, '', o_orderpriority, '', CASE WHEN o_orderkey % 2 = 0 THEN 'VND' ELSE 'USD' END, CAST(o_orderkey % 5 AS VARCHAR), {_MONEY}, '', {_MONEY}, '', 'x', ''] AS vals FROM orders)""")
+def summary_sheet(s, d):
+    return exports.summary_rows(_order_docs(s, d))
+
+
+@register("""
+SELECT o_orderkey AS doc_id, fmt, CASE WHEN fmt = 'pdf' THEN 400 WHEN o_orderstatus <> 'F' THEN 404 WHEN fmt <> 'json' AND o_orderkey % 5 = 0 THEN 404 ELSE 200 END AS code
+FROM (SELECT *, unnest(['excel', 'csv', 'json', 'pdf']) AS fmt FROM orders)""")
+def export_gate(s, d):
+    asked = read(s, d, "orders").select("o_orderkey", "o_orderstatus", F.explode(F.array(*map(F.lit, ("excel", "csv", "json", "pdf")))).alias("fmt"))
+    return asked.select(F.col("o_orderkey").alias("doc_id"), "fmt", exports.export_outcome(F.col("fmt"), F.col("o_orderstatus") == "F", F.col("o_orderkey") % 5).alias("code"))
+
+
+_NAMED_LINES = "SELECT l_orderkey AS doc_id, 'item ' || l_partkey % 4 || ' | ' || CAST(floor(l_extendedprice) AS BIGINT) AS line FROM lineitem"
+
+
+@register(f"""
+WITH l AS ({_NAMED_LINES}), p AS (SELECT doc_id, line, split_part(line, ' | ', 1) AS name, CAST(split_part(line, ' | ', 2) AS BIGINT) AS price, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM l),
+t AS (SELECT doc_id, sum(length(line) + 1) - 1 > 80 AS long FROM l GROUP BY 1), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY pos) AS nth FROM p)
+SELECT doc_id, count(*) AS n_items, sum(price)::DOUBLE AS total FROM f JOIN t USING (doc_id) WHERE NOT long OR nth = 1 GROUP BY 1""")
+def extract_chunked(s, d):
+    """Texts of one line an item through chunks of 80 characters, a line reader as extractor, parsing and merging."""
+    line = F.concat(F.lit("item "), (F.col("l_partkey") % 4).cast("string"), F.lit(" | "), F.floor("l_extendedprice").cast("string"))
+    texts = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    docs = documents.extract_documents(texts, lambda chunks: providers.extract(chunks, providers.extract_lines), budget=80)
+    return docs.select("doc_id", F.size("items").cast("long").alias("n_items"), F.aggregate("items", F.lit(0.0), lambda a, i: a + i["don_gia"]).alias("total"))
+
+
 # ------------------------------------------------------------------ jobs
 
 
@@ -536,7 +582,7 @@ def raster_enhance(s, d):
 
 @register()
 def ocr_pipeline(s, d):
-    """Lazy cascade with built-in engines: the first is sure of long texts only."""
+    """The lazy cascade held by two test doubles, which recognise nothing: the first claims to be sure of long texts only."""
     pages = read(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.encode("text", "UTF-8").alias("content"))
     engines = {"paddleocr": lambda c: (c.decode(), 0.9 if len(c) > 500 else 0.2), "tesseract": lambda c: (c.decode(), 0.55)}
     return recognition.lazy_cascade(pages, engines)

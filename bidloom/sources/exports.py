@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterable
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from ..functions.money import format_money
 
 CSV_COLUMNS = ("stt", "ma_sp", "ten_sp", "dvt", "so_luong", "don_gia", "chiet_khau_pct", "thanh_tien", "ghi_chu", "confidence")
 #: Headings of the item sheet.
 SHEET_COLUMNS = ("STT", "Mã SP", "Tên sản phẩm / Dịch vụ", "ĐVT", "Số lượng", "Đơn giá", "Chiết khấu %", "Thành tiền", "Ghi chú", "Độ tin cậy AI")
+#: Labels of the summary sheet.
 SUMMARY_LABELS = ("Nhà cung cấp", "Số báo giá", "Ngày báo giá", "Khách hàng", "Đơn vị tiền", "Số sản phẩm", "Tổng chưa VAT", "Thuế VAT", "Tổng sau VAT", "Điều kiện thanh toán", "Thời gian giao hàng", "Bảo hành")
 
 
@@ -29,11 +34,70 @@ def csv_rows(items: DataFrame) -> DataFrame:
     return items.select(*[c for c in items.columns if c == "doc_id"], stt, *rest)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file of a document's rows, with a byte-order mark before the first heading."""
-    first, *rest = CSV_COLUMNS
-    marked = rows.select(F.col(first).alias("﻿" + first), *rest)
-    marked.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+def write_csv(rows: DataFrame, path: str, files: int = 1) -> None:
+    """CSV files, one by default, with a byte-order mark before the first heading."""
+    first, *rest = rows.columns
+    marked = rows.select(F.col(first).alias("\ufeff" + first), *rest)
+    marked.coalesce(files).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def export_outcome(fmt: Column, has_result: Column, n_items: Column) -> Column:
+    """200, or 404 where there is nothing to export (sheets and CSV need items, JSON a result), or 400 for an unknown format."""
+    there = F.when(fmt == "json", has_result).otherwise(has_result & (n_items > 0))
+    return F.when(~fmt.isin("excel", "csv", "json"), 400).when(there, 200).otherwise(404)
+
+
+def export(docs: DataFrame, doc_id: object, fmt: str, path: str, id_col: str = "doc_id") -> None:
+    """Writes one document as ``excel``, ``csv`` or ``json`` to the folder ``path``; LookupError where it has no data, ValueError for another format."""
+    if fmt not in ("excel", "csv", "json"):
+        raise ValueError("format is not one of excel, csv, json")
+    one = docs.where(F.col(id_col) == F.lit(doc_id))
+    found = one.select(F.size("items").alias("n")).first()
+    if found is None or (fmt != "json" and found["n"] < 1):
+        raise LookupError("no data to export")
+    if fmt == "json":
+        write_json(one, path)
+    elif fmt == "csv":
+        items = one.select(F.posexplode("items").alias("p", "i")).select((F.col("p") + 1).alias("pos"), "i.*")
+        write_csv(csv_rows(items.orderBy("pos")), path)
+    else:
+        workbooks(one, id_col).write.mode("overwrite").parquet(path)
+
+
+def summary_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, label, value): the twelve lines of a document's summary sheet; missing values are empty texts."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    money = lambda c: format_money(F.col(c), F.col("don_vi_tien"))
+    rate = F.coalesce(number_text(F.nullif(F.col("thue_vat_pct"), F.lit(0.0))), F.lit("10"))
+    values = [
+        text("nha_cung_cap"), text("so_bao_gia"), text("ngay_bao_gia"), text("khach_hang"), text("don_vi_tien"), F.size("items").cast("string"), money("tong_chua_vat"), money("thue_vat_tien"),
+        money("tong_sau_vat"), text("dieu_kien_thanh_toan"), text("thoi_gian_giao_hang"), text("bao_hanh"),
+    ]
+    labels = [F.concat(F.lit(f"{x} ("), rate, F.lit("%)")) if x == "Thuế VAT" else F.lit(x) for x in SUMMARY_LABELS]
+    lines = F.array(*[F.struct(F.lit(i).alias("pos"), k.alias("label"), v.alias("value")) for i, (k, v) in enumerate(zip(labels, values, strict=True), 1)])
+    return docs.select(id_col, F.inline(lines))
+
+
+def workbooks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, content): for every document with items a workbook of an item sheet and a summary sheet, built where its row lies."""
+    import io
+
+    import pyarrow as pa
+
+    lines = summary_rows(docs.where(F.size("items") > 0), id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "label", "value"))).alias("summary"))
+    rows = docs.select(id_col, "items").join(lines, id_col)
+
+    def build(batches):
+        for batch in batches:
+            out = []
+            for items, summary in zip(batch.column(1), batch.column(2), strict=True):
+                cells = [[i["stt"] or k, i["ma_sp"], i["ten_sp"], i["dvt"], i["so_luong"], i["don_gia"], i["chiet_khau_pct"], i["thanh_tien"], i["ghi_chu"], f"{i['confidence']:.0%}"] for k, i in enumerate(items.as_py(), 1)]
+                file = io.BytesIO()
+                write_xlsx(file, [("Bảng Giá", [list(SHEET_COLUMNS), *cells]), ("Tóm Tắt", [["Thông tin", "Giá trị"], *([r["label"], r["value"]] for r in summary.as_py())])])
+                out.append(file.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "content"])
+
+    return rows.mapInArrow(build, StructType([docs.schema[id_col], StructField("content", BinaryType())]))
 
 
 def write_json(docs: DataFrame, path: str) -> None:
@@ -54,7 +118,7 @@ def _sheet(rows: list[list], widths: list[int]) -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cols>{cols}</cols><sheetData>{"".join(body)}</sheetData></worksheet>'
 
 
-def write_xlsx(path: str, sheets: Iterable[tuple[str, list[list]]]) -> None:
+def write_xlsx(path: str | BinaryIO, sheets: Iterable[tuple[str, list[list]]]) -> None:
     """A workbook of one document: header fill, striped rows, widths by the longest text. One document's rows only."""
     sheets = list(sheets)
     ns = "http://schemas.openxmlformats.org"

@@ -50,6 +50,12 @@ def extract_table(text: str) -> str:
     return json.dumps(doc, ensure_ascii=False)
 
 
+def extract_lines(text: str) -> str:
+    """Reply with one item for each line ``name | price``; other lines give none."""
+    cells = [[c.strip() for c in line.split("|")] for line in text.splitlines()]
+    return json.dumps({"items": [{"ten_sp": c[0], "don_gia": c[1]} for c in cells if len(c) == 2 and c[0]]}, ensure_ascii=False)
+
+
 def with_retry(call: Callable[[str], str], attempts: int = 3, first_wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
     """Calls again after 2, 4, ... seconds; the last failure is raised."""
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 def status_changes(log: DataFrame, job: str, order: list[str], status: str) -> DataFrame:
     """Batch form: rows whose status differs from the job's row before."""
     before = F.lag(status).over(Window.partitionBy(job).orderBy(*order))
-    return log.where(F.lit(True)).withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(status))).drop("_before")
+    return log.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(status))).drop("_before")
 
 
 class ChangeFeed(StatefulProcessor):
