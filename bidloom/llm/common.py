@@ -162,6 +162,14 @@ class _Words(dict):
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokenizer:
     """Whole-text encoding through a cache of white-space words.
 
@@ -182,7 +190,7 @@ class WordTokenizer:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         # added tokens are matched before the normalizer, so only the text as it stands tells them from upper-case look-alikes
-        if "<|" not in text and (text.isascii() or max(text) <= "\xff"):
+        if "<|" not in text and _latin(text):
             text = text.lower()
         return b"".join(map(self.words.__getitem__, text.split()))
 
