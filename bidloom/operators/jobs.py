@@ -8,6 +8,42 @@ from pyspark.sql import functions as F
 from ..functions.text import iso_timestamp
 
 
+#: Fixed value: what a new job says of its progress.
+FIRST_STEP = "Đang chờ..."
+#: Columns of the jobs table.
+COLUMNS = {
+    "job_id": "string", "filename": "string", "status": "string", "document_type": "string", "extraction_method": "string", "overall_confidence": "double", "progress_pct": "int",
+    "current_step": "string", "error_message": "string", "created_at": "timestamp", "completed_at": "timestamp", "file_path": "string",
+}
+
+
+def new_jobs(receipts: DataFrame) -> DataFrame:
+    """Job rows of uploads (job_id, filename, file_path, created_at); of receipts with one id the earliest counts."""
+    first = receipts.groupBy("job_id").agg(F.min(F.struct("created_at", "filename", "file_path")).alias("r")).select("job_id", "r.*")
+    start = {"status": F.lit("pending"), "overall_confidence": F.lit(0.0), "progress_pct": F.lit(0), "current_step": F.lit(FIRST_STEP)}
+    given = {c: F.col(c) for c in first.columns}
+    return first.select(*[(given | start).get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
+
+
+def insert(jobs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """The jobs with new rows for the receipts; a job that is there stays as it is."""
+    return jobs.unionByName(new_jobs(receipts).join(jobs.select("job_id"), "job_id", "left_anti").select(*COLUMNS))
+
+
+def result(jobs: DataFrame, results: DataFrame, key: str = "job_id") -> DataFrame:
+    """The envelope of each finished job that has a result: its columns and the result row, nested."""
+    nested = results.select(key, F.struct(*[c for c in results.columns if c != key]).alias("result"))
+    done = jobs.where(F.col("status") == "done").select(key, "filename", "document_type", "extraction_method", "overall_confidence")
+    return done.join(nested, key)
+
+
+def history_view(jobs: DataFrame, n: int = 20) -> DataFrame:
+    """The latest n jobs in the ten columns that a history shows."""
+    times = [iso_timestamp(F.col(c)).alias(c) for c in ("created_at", "completed_at")]
+    kept = history(jobs, n)
+    return kept.select("job_id", "filename", "status", "document_type", "extraction_method", "overall_confidence", "progress_pct", "current_step", *times)
+
+
 def history(jobs: DataFrame, n: int = 20, when: str = "created_at", tie: str = "job_id") -> DataFrame:
     """The latest n jobs; a negative n means all."""
     ordered = jobs.orderBy(F.desc(when), F.desc(tie))

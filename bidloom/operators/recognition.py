@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import lookup, suffix
+
 #: Engines in order of preference and the least confidence each needs.
 GATES = {"paddleocr": 0.65, "easyocr": 0.65, "tesseract": 0.50, "gemini_vision": 0.0}
 
@@ -21,6 +23,24 @@ def image_class(bright: Column, slope: Column, spread: Column) -> Column:
     return F.when(bright > 0.15, "image_photo_glare").when(slope > 0.15, "image_skewed").when(spread < 60, "image_scan").otherwise("image_photo")
 
 
+#: Confidence in each class of image.
+IMAGE_CONFIDENCE = {"image_photo_glare": 0.85, "image_skewed": 0.80, "image_scan": 0.80, "image_photo": 0.75}
+
+
+def document_type(name: Column, mime: Column, mean_chars: Column, bright: Column, slope: Column, spread: Column) -> Column:
+    """(doc_type, confidence) of a file: PDFs by their characters a page, images by their metrics, all else unknown with 0.
+
+    Null metrics say that the file could not be read: a PDF then counts as scanned and an image as a photo, both with 0.5.
+    """
+    kind = lambda doc_type, confidence: F.struct(doc_type.alias("doc_type"), confidence.cast("double").alias("confidence"))
+    unread = lambda doc_type: kind(F.lit(doc_type), F.lit(0.5))
+    image = image_class(bright, slope, spread)
+    seen = kind(image, lookup(IMAGE_CONFIDENCE, image, F.lit(0.0)))
+    images = (mime.startswith("image/")) | suffix(name).isin(".jpg", ".jpeg", ".png", ".webp", ".tiff", ".bmp")
+    pdf = F.when(mean_chars.isNull(), unread("scanned_pdf")).otherwise(pdf_class(mean_chars))
+    return F.when(mime == "application/pdf", pdf).when(images & bright.isNull(), unread("image_photo")).when(images, seen).otherwise(kind(F.lit("unknown"), F.lit(0.0)))
+
+
 def choose_engine(candidates: DataFrame, page: str, engine: str = "engine", confidence: str = "confidence", text: str = "text") -> DataFrame:
     """For each page the first engine in order of preference that passes its gate; ``none`` with confidence 0 where none does."""
     rank = F.create_map(*[x for i, e in enumerate(GATES) for x in (F.lit(e), F.lit(i))])[F.col(engine)]

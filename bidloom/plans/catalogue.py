@@ -448,6 +448,55 @@ def rate_limit_batch(s, d):
     return jobs.rate_limit(read(s, d, "events"), "user_id", "ts", 5, 259200.0)
 
 
+def _order_jobs(s: SparkSession, d: str) -> DataFrame:
+    """Orders as full job rows; a finished one ends when it began."""
+    made = {
+        "job_id": F.col("o_orderkey"), "filename": F.concat(F.lit("f"), F.col("o_orderkey").cast("string")), "status": _status(), "document_type": F.lit("soft_pdf"), "overall_confidence": F.lit(0.85),
+        "progress_pct": F.when(F.col("o_orderstatus") == "F", 100).otherwise(0), "current_step": F.col("o_orderpriority"), "created_at": F.col("o_orderdate"), "completed_at": F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")),
+    }
+    return read(s, d, "orders").select(*[made.get(c, F.lit(None)).cast(t).alias(c) for c, t in jobs.COLUMNS.items()])
+
+
+@register("""
+SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 2 = 1 OR o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'extracting' END AS status,
+ CASE WHEN o_orderkey % 2 = 1 THEN 'Đang chờ...' ELSE o_orderpriority END AS current_step, CASE WHEN o_orderkey % 2 = 1 THEN '/in/' || o_orderkey END AS file_path, CASE WHEN o_orderkey % 2 = 1 THEN 0.0 ELSE 0.85 END::DOUBLE AS overall_confidence
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def job_insert(s, d):
+    """Every second order is a job; each third one, some of them twice, arrives as an upload."""
+    there = _order_jobs(s, d).where(F.col("job_id").cast("long") % 2 == 0)
+    came = _order_jobs(s, d).where(F.col("job_id").cast("long") % 3 == 0).select("job_id", "filename", F.concat(F.lit("/in/"), "job_id").alias("file_path"), "created_at")
+    again = came.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY")).withColumn("file_path", F.lit("/in/again"))
+    return jobs.insert(there, came.unionByName(again)).select("job_id", "status", "current_step", "file_path", "overall_confidence")
+
+
+@register("""
+SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 'f' || o_orderkey AS filename, 'soft_pdf' AS document_type, n AS n_items, last AS last_line
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+def result_envelope(s, d):
+    results = read(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("job_id")).agg(F.count("*").alias("n_items"), F.max("l_linenumber").alias("last_line"))
+    return jobs.result(_order_jobs(s, d), results).select("job_id", "filename", "document_type", "result.n_items", "result.last_line")
+
+
+@register("""
+SELECT CAST(o_orderkey AS VARCHAR) AS job_id, 'f' || o_orderkey AS filename, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'extracting' ELSE 'pending' END AS status, 'soft_pdf' AS document_type, CAST(NULL AS VARCHAR) AS extraction_method,
+ 0.85::DOUBLE AS overall_confidence, CASE WHEN o_orderstatus = 'F' THEN 100 ELSE 0 END AS progress_pct, o_orderpriority AS current_step, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at,
+ CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS completed_at
+FROM orders ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 20""")
+def history_view(s, d):
+    return jobs.history_view(_order_jobs(s, d), 20)
+
+
+@register("""
+WITH s AS (SELECT * FROM events WHERE event_type = 'signup'), l AS (SELECT user_id, ts, arg_max(event_type, event_id) AS last, arg_min(event_type, event_id) FILTER (WHERE event_type IN ('purchase', 'error')) AS final FROM events WHERE event_type <> 'signup' GROUP BY 1, 2),
+b AS (SELECT s.event_id, l.last FROM s ASOF LEFT JOIN l ON s.user_id = l.user_id AND s.ts >= l.ts), a AS (SELECT s.event_id, f.final FROM s ASOF LEFT JOIN (SELECT * FROM l WHERE final IS NOT NULL) f ON s.user_id = f.user_id AND s.ts < f.ts)
+SELECT s.event_id AS subscriber, s.user_id, b.last AS snapshot, a.final AS ending FROM s JOIN b USING (event_id) JOIN a USING (event_id)""")
+def subscribe_snapshot(s, d):
+    """Signups subscribe to their user; purchases and errors end a job."""
+    e = read(s, d, "events")
+    asks = e.where("event_type = 'signup'").withColumn("subscriber", F.col("event_id"))
+    return feeds.subscriptions(e.where("event_type <> 'signup'"), asks, "user_id", ["ts", "event_id"], "event_type", ("purchase", "error"))
+
+
 @register("SELECT e.event_id, c.c_custkey, e.event_type FROM events e JOIN customer c ON e.user_id = c.c_custkey")
 def subscriber_fanout(s, d):
     return read(s, d, "events").join(read(s, d, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "c_custkey", "event_type")
@@ -481,6 +530,33 @@ def _doc_pages(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "t")).select("doc_id", (F.col("p") + 1).alias("page_no"), "t")
 
 
+@register(f"""
+SELECT doc_id, CASE WHEN e = '.pdf' THEN CASE WHEN doc_id % 11 = 0 THEN 'scanned_pdf' WHEN n_chars > 300 THEN 'soft_pdf' ELSE 'scanned_pdf' END WHEN e NOT IN ('.jpg', '.tiff') THEN 'unknown'
+  WHEN doc_id % 11 = 0 THEN 'image_photo' WHEN doc_id % 7 > 3 THEN 'image_photo_glare' WHEN doc_id % 5 > 3 THEN 'image_skewed' WHEN doc_id % 50 < 20 THEN 'image_scan' ELSE 'image_photo' END AS doc_type,
+ (CASE WHEN e = '.pdf' THEN CASE WHEN doc_id % 11 = 0 THEN 0.5 WHEN n_chars > 300 THEN 0.95 ELSE 0.9 END WHEN e NOT IN ('.jpg', '.tiff') THEN 0
+  WHEN doc_id % 11 = 0 THEN 0.5 WHEN doc_id % 7 > 3 THEN 0.85 WHEN doc_id % 5 > 3 THEN 0.8 WHEN doc_id % 50 < 20 THEN 0.8 ELSE 0.75 END)::DOUBLE AS confidence
+FROM (SELECT doc_id, n_chars, lower(regexp_extract(name, '(\\.[^./]+)$', 1)) AS e FROM (SELECT *, {_NAME} AS name FROM documents))""")
+def classify_document(s, d):
+    """Metrics made from the row; each eleventh file can't be read."""
+    k = F.col("doc_id")
+    known = lambda c: F.when(k % 11 != 0, c)
+    found = recognition.document_type(F.col("name"), T.mime_type(F.col("name")), known(F.col("n_chars") / 6), known((k % 7) * 0.04), known((k % 5) * 0.04), known(k % 50 + 40))
+    return _names(s, d).select("doc_id", found.alias("c")).select("doc_id", "c.doc_type", "c.confidence")
+
+
+@register("""
+SELECT doc_id, 1 AS table_no, 1 AS row_no, 'Item/Price' AS header, 'a/' || n_chars AS cells FROM documents UNION ALL SELECT doc_id, 1, 2, 'Item/Price', '/x' FROM documents
+UNION ALL SELECT doc_id, 2, 1, 'SL/DVT/No', doc_id || '/kg/' FROM documents WHERE doc_id % 2 = 0""")
+def table_scan(s, d):
+    """Two tables a text, one of them with tabs and only in every second text; a header alone is no table."""
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
+    first = F.concat(F.lit("Quote\nItem | Price\na | "), n, F.lit("\n | \n|x\nTotal\n"))
+    second = F.concat(F.lit("\nSL\tDVT\tNo\n"), k, F.lit("\tkg\t\nend"))
+    text = F.concat(first, F.lit("alone|head\n\n"), F.when(F.col("doc_id") % 2 == 0, second).otherwise("no table"))
+    found = files.text_tables(read(s, d, "documents").select("doc_id", text.alias("text")), "doc_id")
+    return found.select("doc_id", "table_no", "row_no", F.array_join("header", "/").alias("header"), F.array_join("cells", "/").alias("cells"))
+
+
 @register(f"SELECT doc_id, CASE WHEN avg(length(trim(t))) > 50 THEN 'soft_pdf' ELSE 'scanned_pdf' END AS doc_type, CASE WHEN avg(length(trim(t))) > 50 THEN 0.95 ELSE 0.9 END AS confidence FROM ({_PAGES_SQL}) WHERE page_no <= 3 GROUP BY 1")
 def classify_text(s, d):
     mean = _doc_pages(s, d).where("page_no <= 3").groupBy("doc_id").agg(F.avg(F.char_length(F.trim("t"))).alias("m"))

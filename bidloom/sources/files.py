@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def intake(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+def intake(spark: SparkSession, folder: str, pattern: str = "*", limit_mb: int = T.LIMIT_MB) -> DataFrame:
     """Path, size, MIME type and whether suffix and size are admissible. Content over the size gate is never read: its type is told by name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     # in bytes, as the reader takes only plain comparisons of the length
-    within = F.col("length") <= T.LIMIT_MB * 1048576
+    within = F.col("length") <= limit_mb * 1048576
 
     def rows(chosen: DataFrame, mime: Column) -> DataFrame:
-        return chosen.select("path", name.alias("name"), "length", mime.alias("mime"), (T.allowed(name) & T.small_enough(F.col("length"))).alias("admitted"), T.job_id(F.col("path")).alias("job_id"))
+        return chosen.select("path", name.alias("name"), "length", mime.alias("mime"), (T.allowed(name) & T.small_enough(F.col("length"), limit_mb)).alias("admitted"), T.job_id(F.col("path")).alias("job_id"))
 
     return rows(files.where(within), T.mime_type(name, F.col("content"))).unionByName(rows(files.where(~within), T.mime_type(name)))
 
@@ -63,3 +63,20 @@ def document_text(pages: DataFrame, doc: str, page: str = "page_no", text: str =
     """Non-blank pages joined by an empty line, in order."""
     kept = pages.where(F.trim(F.col(text)) != "")
     return kept.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, text))), lambda p: p[text]), "\n\n").alias("text"))
+
+
+def text_tables(pages: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, table_no, row_no, header, cells) of the tables in texts: runs of lines with two or more cells, cut by | or tab.
+
+    The first line of a run is its header. Rows of blank cells go, and so do runs without another row. One pass, no shuffle.
+    """
+    cells = lambda line: F.transform(F.split(line, r"[|\t]"), lambda c: F.trim(c))
+    filled = lambda line: F.exists(cells(line), lambda c: c != "")
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x00\r]", ""), "\n")
+    # a line outside tables becomes a mark, so that what lies between two marks is one run
+    marked = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(r"[|\t]"), x).otherwise("\x00")), "\n")
+    runs = F.transform(F.split(marked, "\\x00"), lambda run: F.filter(F.split(run, "\n"), lambda x: x != ""))
+    parts = F.transform(runs, lambda r: F.struct(F.get(r, F.lit(0)).alias("head"), F.filter(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), filled).alias("body")))
+    tables = pages.select(*keys, F.posexplode(F.filter(parts, lambda p: F.size(p["body"]) > 0)).alias("t", "part"))
+    rows = tables.select(*keys, (F.col("t") + 1).alias("table_no"), cells(F.col("part.head")).alias("header"), F.posexplode("part.body").alias("r", "row"))
+    return rows.select(*keys, "table_no", (F.col("r") + 1).alias("row_no"), "header", cells(F.col("row")).alias("cells"))

@@ -16,6 +16,22 @@ def status_changes(log: DataFrame, job: str, order: list[str], status: str) -> D
     return log.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(status))).drop("_before")
 
 
+def subscriptions(log: DataFrame, subscribers: DataFrame, job: str, order: list[str], status: str, final: tuple[str, ...] = ("done", "failed")) -> DataFrame:
+    """What each subscriber (subscriber, job, the order columns) is told: the job's state at that moment and how it ends.
+
+    Adds ``snapshot``, the status of the job's last row up to then (null: the job was not there), and ``ending``, the first
+    final status after it (null: none yet). Log and subscribers are merged by one shuffle; a row at the same moment counts as before.
+    """
+    rows = log.select(job, *order, F.lit(0).alias("_kind"), F.col(status).alias("_status"), F.lit(None).cast("long").alias("subscriber"))
+    asks = subscribers.select(job, *order, F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_status"), "subscriber")
+    by = [*order[:1], "_kind", *order[1:]]
+    before = Window.partitionBy(job).orderBy(*by)
+    after = Window.partitionBy(job).orderBy(*[F.desc(c) for c in by])
+    told = rows.unionByName(asks).withColumn("snapshot", F.last("_status", True).over(before))
+    told = told.withColumn("ending", F.last(F.when(F.col("_status").isin(*final), F.col("_status")), True).over(after))
+    return told.where("_kind = 1").select("subscriber", job, "snapshot", "ending")
+
+
 class ChangeFeed(StatefulProcessor):
     """Emits a job's row when its status differs from the last one seen; rows of a batch go in order of event_id."""
 
@@ -71,7 +87,8 @@ def admissions(events: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, folder: str, per_trigger: int = 3, pattern: str = "*") -> DataFrame:
     """New files of a landing folder, at most ``per_trigger`` a batch."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).load(folder)
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
