@@ -14,55 +14,103 @@ from .chunking import BUDGET, chunk_lines
 TEXT_FIELDS = ("nha_cung_cap", "so_bao_gia", "ngay_bao_gia", "khach_hang", "dieu_kien_thanh_toan", "thoi_gian_giao_hang", "bao_hanh", "ghi_chu_chung")
 MONEY_FIELDS = ("tong_chua_vat", "thue_vat_pct", "thue_vat_tien", "tong_sau_vat")
 ITEM = "stt int, ma_sp string, ten_sp string, dvt string, so_luong double, don_gia double, thanh_tien double, chiet_khau_pct double, ghi_chu string, confidence double"
+ITEM_FIELDS = tuple(c.split()[0] for c in ITEM.split(", "))
+ITEMS = f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>"
 
 
-def _kind(v: str, field: str) -> str:
-    return f"schema_of_variant(variant_get({v}, '$.{field}', 'variant'))"
+def _once(df: DataFrame, keep: str, *columns: Column) -> DataFrame:
+    """The columns beside those kept, from a generator of one row: filters above it do not copy what it computes."""
+    return df.select(keep, F.inline(F.array(F.struct(*columns))))
 
 
-def _text(v: str, field: str) -> str:
-    return f"try_variant_get({v}, '$.{field}', 'string')"
+def _field(v: Column, name: str) -> Column:
+    """A field as ``v``, its value, ``j``, its JSON (whose first character tells its kind; null where it is missing), and ``t``, its text."""
+    path = f"$.{name}"
+    value = F.variant_get(v, path, "variant")
+    return F.struct(value.alias("v"), F.to_json(value).alias("j"), F.try_variant_get(v, path, "string").alias("t"))
 
 
-def _number(v: str, field: str) -> str:
-    kind = _kind(v, field)
-    return f"({kind} = 'BIGINT' OR {kind} = 'DOUBLE' OR {kind} LIKE 'DECIMAL%')"
+def _too_large(field: Column) -> Column:
+    """Whether it is a number beyond all doubles, which JSON gives in quotes like a text."""
+    return field["j"].isin('"Infinity"', '"-Infinity"') & (F.schema_of_variant(field["v"]) != "STRING")
+
+
+def _is_text(field: Column) -> Column:
+    return field["j"].startswith('"') & ~_too_large(field)
+
+
+def _is_number(field: Column) -> Column:
+    return field["j"].rlike("^[-0-9]") | _too_large(field)
+
+
+def _text_or_none(field: Column) -> Column:
+    return F.coalesce(_is_text(field) | (field["j"] == "null"), F.lit(True))
+
+
+def _money(field: Column) -> Column:
+    """Numbers pass as they are, texts go through the money rule."""
+    return F.when(_is_number(field), field["t"].try_cast("double")).otherwise(safe_money(field["t"]))
+
+
+def _stt(field: Column) -> Column:
+    whole = F.regexp_replace(field["t"], "[.]0+$", "").try_cast("int")
+    return F.when(_is_number(field) | _is_text(field), whole).when(field["j"] == "true", 1).when(field["j"] == "false", 0)
+
+
+def _confidence(field: Column) -> Column:
+    return F.when(field["j"].isNull(), 0.8).when(_is_number(field) | _is_text(field), field["t"].try_cast("double"))
+
+
+def _good_item(i: Column) -> Column:
+    stt_ok = F.coalesce(i["stt"]["j"] == "null", F.lit(True)) | _stt(i["stt"]).isNotNull()
+    named = _is_text(i["ten_sp"]) & (i["ten_sp"]["t"] != "")
+    good = named & stt_ok & _confidence(i["confidence"]).between(0, 1)
+    for f in ("ma_sp", "dvt", "ghi_chu"):
+        good = good & _text_or_none(i[f])
+    return F.coalesce(good, F.lit(False))
+
+
+def _item(i: Column) -> Column:
+    read = {f: i[f]["t"] for f in ("ma_sp", "ten_sp", "dvt", "ghi_chu")} | {f: i[f] for f in ("so_luong", "don_gia", "thanh_tien", "chiet_khau_pct")}
+    read |= {"stt": _stt(i["stt"]), "confidence": _confidence(i["confidence"])}
+    return F.struct(*[read[f].alias(f) for f in ITEM_FIELDS])
+
+
+def _with_money(i: Column) -> Column:
+    """The item with its money read and its total repaired; the money rule stands once a field."""
+    money = {f: _money(i[f]) for f in ("so_luong", "don_gia", "thanh_tien", "chiet_khau_pct")}
+    return F.struct(*[money.get(f, i[f]).alias(f) for f in ITEM_FIELDS])
 
 
 def parse_replies(replies: DataFrame, id_col: str = "doc_id", reply_col: str = "reply") -> DataFrame:
     """One row a reply: its document fields and ``items``. A reply that is no strict JSON object, or with one bad document-level
-    field, gives an empty document in VND; a bad item is left out alone, and so is one with an empty name."""
-    region = replies.withColumn("_j", json_region(F.col(reply_col)))
+    field, gives an empty document in VND; a bad item is left out alone, and so is one with an empty name. Each reply is read within
+    its own row, so ids may be null or repeat and nothing is shuffled."""
+    region = _once(replies, id_col, json_region(F.col(reply_col)).alias("_j"))
     # both wraps parse only where nothing trails the value
-    strict = region.withColumn("_v", F.expr("""CASE WHEN try_parse_json('[' || _j || ']') IS NOT NULL AND try_parse_json('{"d":' || _j || '}') IS NOT NULL THEN try_parse_json(_j) END"""))
-    texts_ok = " AND ".join(f"coalesce({_kind('_v', f)} IN ('STRING', 'VOID'), true)" for f in TEXT_FIELDS)
-    good = f"coalesce(schema_of_variant(_v) LIKE 'OBJECT%' AND {texts_ok} AND coalesce({_kind('_v', 'items')} LIKE 'ARRAY%', true) AND coalesce({_kind('_v', 'don_vi_tien')} = 'STRING', true), false)"
-    docs = strict.withColumn("_ok", F.expr(good))
-    docs = docs.withColumn("_items", F.expr("CASE WHEN _ok THEN try_variant_get(_v, '$.items', 'array<variant>') END"))
-    names = [*(f"CASE WHEN _ok THEN {_text('_v', f)} END AS {f}" for f in TEXT_FIELDS), f"coalesce(CASE WHEN _ok THEN {_text('_v', 'don_vi_tien')} END, 'VND') AS don_vi_tien"]
-    heads = docs.selectExpr(id_col, *names, *(f"CASE WHEN _ok THEN {_money_text(f, '_v')} END AS _{f}" for f in MONEY_FIELDS))
-    heads = heads.select("*", *[_money(F.col(f"_{f}")).alias(f) for f in MONEY_FIELDS]).drop(*[f"_{f}" for f in MONEY_FIELDS])
-    exploded = docs.select(id_col, F.posexplode("_items").alias("pos", "i"))
-    stt = f"CASE WHEN {_number('i', 'stt')} OR {_kind('i', 'stt')} = 'STRING' THEN try_cast(regexp_replace({_text('i', 'stt')}, '[.]0+$', '') AS INT) WHEN {_kind('i', 'stt')} = 'BOOLEAN' THEN CAST(try_variant_get(i, '$.stt', 'boolean') AS INT) END"
-    bad_stt = f"coalesce({_kind('i', 'stt')}, 'VOID') <> 'VOID' AND ({stt}) IS NULL"
-    conf = f"CASE WHEN {_kind('i', 'confidence')} IS NULL THEN 0.8D WHEN {_number('i', 'confidence')} OR {_kind('i', 'confidence')} = 'STRING' THEN try_cast({_text('i', 'confidence')} AS DOUBLE) END"
-    plain = " AND ".join(f"coalesce({_kind('i', f)} IN ('STRING', 'VOID'), true)" for f in ("ma_sp", "dvt", "ghi_chu"))
-    keep = f"schema_of_variant(i) LIKE 'OBJECT%' AND {_kind('i', 'ten_sp')} = 'STRING' AND {_text('i', 'ten_sp')} <> '' AND NOT ({bad_stt}) AND ({conf}) BETWEEN 0 AND 1 AND {plain}"
-    money = ("so_luong", "don_gia", "thanh_tien", "chiet_khau_pct")
-    items = exploded.where(F.expr(f"coalesce({keep}, false)")).selectExpr(id_col, "pos", f"{stt} AS stt", *(f"{_text('i', f)} AS {f}" for f in ("ma_sp", "ten_sp", "dvt", "ghi_chu")), *(f"{_money_text(f, 'i')} AS _{f}" for f in money), f"{conf} AS confidence")
-    items = items.select("*", *[_money(F.col(f"_{f}")).alias(f) for f in money]).withColumn("thanh_tien", repaired_total(F.col("so_luong"), F.col("don_gia"), F.col("thanh_tien")))
-    fields = [c.split()[0] for c in ITEM.split(", ")]
-    packed = items.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("item")))).alias("x")).select(id_col, F.transform("x", lambda r: r["item"]).alias("items"))
-    return heads.join(packed, id_col, "left").withColumn("items", F.coalesce("items", F.array().cast(f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>")))
-
-
-def _money_text(field: str, v: str) -> str:
-    """Kind and text of a money field, for ``_money``: numbers pass as they are, texts go through the money rule."""
-    return f"named_struct('number', coalesce({_number(v, field)}, false), 'text', {_text(v, field)})"
-
-
-def _money(c: Column) -> Column:
-    return F.when(c["number"], c["text"].try_cast("double")).otherwise(safe_money(c["text"]))
+    value = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"d":'), "_j", F.lit("}"))), "$.d", "variant")
+    alone = F.try_parse_json(F.concat(F.lit("["), "_j", F.lit("]"))).isNotNull()
+    strict = _once(region, id_col, F.when(alone & F.col("_j").rlike(r"^\s*\{"), value).alias("_v"))
+    v = F.col("_v")
+    heads = [_field(v, f).alias(f) for f in (*TEXT_FIELDS, *MONEY_FIELDS, "don_vi_tien")]
+    has_items = F.variant_get(v, "$.items", "variant").isNotNull().alias("_has_items")
+    fields = _once(strict, id_col, v.isNotNull().alias("_ok"), *heads, has_items, F.try_variant_get(v, "$.items", "array<variant>").alias("_items"))
+    good = F.col("_ok") & (~F.col("_has_items") | F.col("_items").isNotNull()) & F.coalesce(_is_text(F.col("don_vi_tien")), F.lit(True))
+    for f in TEXT_FIELDS:
+        good = good & _text_or_none(F.col(f))
+    checked = _once(fields, "*", good.alias("_good"))
+    ok = lambda c: F.when(F.col("_good"), c)
+    raw = F.transform(ok(F.col("_items")), lambda i: F.struct(*[_field(i, f).alias(f) for f in ITEM_FIELDS]))
+    read = F.transform(F.transform(F.filter(raw, _good_item), _item), _with_money)
+    repaired = F.transform(read, lambda i: i.withField("thanh_tien", repaired_total(i["so_luong"], i["don_gia"], i["thanh_tien"])))
+    return _once(
+        checked,
+        id_col,
+        *[ok(F.col(f)["t"]).alias(f) for f in TEXT_FIELDS],
+        F.coalesce(ok(F.col("don_vi_tien")["t"]), F.lit("VND")).alias("don_vi_tien"),
+        *[ok(_money(F.col(f))).alias(f) for f in MONEY_FIELDS],
+        F.coalesce(repaired, F.array()).cast(ITEMS).alias("items"),
+    )
 
 
 def first_wins(items: DataFrame, doc: str, name: str, *order: str) -> DataFrame:
