@@ -18,6 +18,9 @@ NAMES = {
     "op8_secrets": "secrets",
     "op9_packing": "packing",
     "op10_jaccard": "jaccard",
+    "op11_simhash": "simhash",
+    "op12_merkle": "merkle",
+    "op13_variants": "variants",
 }
 
 
