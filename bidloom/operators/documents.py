@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import overall_confidence, repaired_total, safe_money
-from ..functions.text import json_region, name_key
+from ..functions.text import json_region, name_key, prompt
 from .chunking import BUDGET, chunk_lines
 
 TEXT_FIELDS = ("nha_cung_cap", "so_bao_gia", "ngay_bao_gia", "khach_hang", "dieu_kien_thanh_toan", "thoi_gian_giao_hang", "bao_hanh", "ghi_chu_chung")
@@ -125,24 +125,56 @@ def merge_chunks(chunks: DataFrame, doc: str, chunk: str, meta: list[str], *more
     return chunks.groupBy(doc).agg(*[F.min_by(m, chunk).alias(m) for m in meta], *more)
 
 
-def extract_documents(texts: DataFrame, ask: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+def _by_name(items: Column) -> Column:
+    """The items as (k, i, x), sorted by stripped lower-case name, then place."""
+    return F.array_sort(F.transform(items, lambda x, i: F.struct(name_key(x["ten_sp"]).alias("k"), i.alias("i"), x.alias("x"))))
+
+
+def _first_of_each_name(keyed: Column) -> Column:
+    """Of the sorted items the first of each name, back in order; blank names all stay. ``keyed`` is a column, made once a row."""
+    first = F.filter(keyed, lambda r, j: (r["k"] == "") | (j == 0) | (F.get(keyed, F.greatest(j - 1, F.lit(0)))["k"] != r["k"]))
+    return F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r["x"])
+
+
+def extract_documents(
+    texts: DataFrame,
+    ask: Callable[[DataFrame], DataFrame],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    budget: int = BUDGET,
+    filename: Column | None = None,
+) -> DataFrame:
     """Structured documents of whole texts: cut into chunks, each asked for a reply, replies parsed and put together again.
 
-    ``ask`` adds ``reply`` to rows with ``chunk``. Document fields are those of the first chunk; items of all chunks are united in
+    ``ask`` adds ``reply`` to rows with ``chunk`` and ``prompt`` (the chunk in the words of a request, with ``filename`` and its
+    number), and may add ``attempts`` and ``error``. Document fields are those of the first chunk; items of all chunks are united in
     their order, and only where a text is longer than the budget (even if it fits one chunk, as line breaks don't count there) the
-    first of each name stays. Ids are unique; null texts give no items.
+    first of each name stays. ``failures`` lists (no, attempts, error) of the chunks that gave no reply.
+
+    One row a text: ids may be null or repeat, as texts are told apart by id and content, and equal rows are asked for once a row but
+    come out as so many rows. Null texts give no items. One shuffle by text; a document's chunks meet in one array.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = texts.select(F.col(id_col).alias("doc"), (F.char_length(text) > budget).alias("long"), chunk_lines(text, budget).alias("chunks"))
-    chunks = cut.select("doc", "long", F.posexplode("chunks").alias("no", "chunk"))
-    replies = ask(chunks).select(F.struct("doc", "no", "long").alias("key"), "reply")
-    parsed = parse_replies(replies, "key").select("key.*", "*").drop("key")
-    heads = merge_chunks(parsed, "doc", "no", [c for c in parsed.columns if c not in ("doc", "no", "long", "items")])
-    items = parsed.select("doc", "no", "long", F.posexplode("items").alias("pos", "item")).withColumn("name", F.col("item.ten_sp"))
-    united = first_wins(items.where("long"), "doc", "name", "no", "pos").unionByName(items.where("NOT long"))
-    packed = united.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "pos", "item"))).alias("x")).select("doc", F.transform("x", lambda r: r["item"]).alias("items"))
-    joined = heads.join(packed, "doc", "left").withColumn("items", F.coalesce("items", F.array().cast(parsed.schema["items"].dataType)))
-    return joined.withColumnRenamed("doc", id_col)
+    name = F.lit("") if filename is None else F.coalesce(filename, F.lit(""))
+    doc = F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), name.alias("name"))
+    cut = texts.select(doc.alias("doc"), (F.char_length(text) > budget).alias("long"), chunk_lines(text, budget).alias("chunks"))
+    chunks = cut.select("doc", "long", F.size("chunks").alias("total"), F.posexplode("chunks").alias("no", "chunk"))
+    asked = ask(chunks.withColumn("prompt", prompt(F.col("chunk"), F.col("doc.name"), F.col("no") + 1, F.col("total"))))
+    told = {c: (F.col(c) if c in asked.columns else F.lit(None)).cast(t).alias(c) for c, t in (("attempts", "int"), ("error", "string"))}
+    replies = asked.select(F.struct("doc", "no", "long", "total", *told.values()).alias("key"), "reply")
+    parsed = parse_replies(replies, "key")
+    heads = [c for c in parsed.columns if c not in ("key", "items")]
+    part = F.struct("key.no", F.struct(*heads).alias("head"), "items", "key.attempts", "key.error")
+    whole = parsed.groupBy("key.doc", "key.long", "key.total").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    # equal rows bring each chunk several times
+    whole = whole.withColumn("copies", F.size("p") / F.col("total")).withColumn("p", F.filter("p", lambda x, i: i % F.col("copies") == 0))
+    items = F.flatten(F.transform("p", lambda x: x["items"]))
+    lost = F.transform(F.filter("p", lambda x: x["error"].isNotNull()), lambda x: F.struct(x["no"].alias("no"), x["attempts"].alias("attempts"), x["error"].alias("error")))
+    found = whole.select(F.col("doc.id").alias(id_col), F.get("p", F.lit(0))["head"].alias("h"), "long", items.alias("items"), lost.alias("failures"), "copies")
+    found = found.withColumn("_keyed", F.when(F.col("long"), _by_name(F.col("items"))))
+    found = found.withColumn("items", F.when(F.col("long"), _first_of_each_name(F.col("_keyed"))).otherwise(F.col("items")))
+    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(id_col, "h.*", "items", "failures")
 
 
 def with_overall_confidence(docs: DataFrame, base: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_timestamp
+from .ordered import limiter
 
 
 #: Fixed value: what a new job says of its progress.
@@ -78,14 +79,7 @@ def key_check(given: Column, expected: Column) -> Column:
 def rate_limit(requests: DataFrame, client: str, ts: str, most: int = 30, seconds: float = 60.0) -> DataFrame:
     """(client, n_requests, n_rejected): a request is rejected when ``most`` accepted ones lie within the window before it.
 
-    Rejected ones are not recorded, so this folds each client's requests in order and isn't a window frame.
+    Decided by ``ordered.limiter``, so a client's history may be of any length.
     """
-    times = F.transform(F.array_sort(F.collect_list(F.col(ts).cast("timestamp").cast("double"))), lambda t: t)
-    grouped = requests.groupBy(client).agg(times.alias("t"))
-    start = F.struct(F.array().cast("array<double>").alias("held"), F.lit(0).alias("rejected"))
-
-    def step(s: Column, t: Column) -> Column:
-        held = F.filter(s["held"], lambda x: t - x < seconds)
-        return F.when(F.size(held) >= most, F.struct(held.alias("held"), (s["rejected"] + 1).alias("rejected"))).otherwise(F.struct(F.concat(held, F.array(t)).alias("held"), s["rejected"].alias("rejected")))
-
-    return grouped.select(client, F.size("t").cast("long").alias("n_requests"), F.aggregate("t", start, step, lambda s: s["rejected"]).cast("long").alias("n_rejected"))
+    decided = limiter(requests.withColumn("_row", F.lit(0)), client, ts, "_row", most, seconds)
+    return decided.groupBy(client).agg(F.count("*").alias("n_requests"), F.count_if(~F.col("accepted")).alias("n_rejected"))

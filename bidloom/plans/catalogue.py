@@ -6,7 +6,6 @@ recognised texts, events are status rows and requests, embeddings are small rast
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from ..functions import money as M
 from ..functions import text as T
 from ..operators import chunking, documents, jobs, raster, recognition
 from ..sources import exports, files, providers
+from ..sources.storage import scratch
 from ..streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +37,13 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import service  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -48,18 +51,6 @@ def read(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(s: SparkSession, label: str) -> str:
-    """A new folder that all executors share."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base}/bidloom/{s.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="spark-bidloom-") + f"/{label}"
-
-
 # ------------------------------------------------------------------ documents and roll-ups
 
 
@@ -222,7 +213,10 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "documents").select("doc_id", chunking.chunk_lines(F.col("text"), 500).alias("chunks"))
 
 
-@register(f"WITH l AS ({_LINES}), {_FOLD} SELECT doc_id, unnest(range(1, len(chunks) + 1)) AS chunk_no, unnest(chunks) AS chunk FROM c")
+CHUNKS_SQL = f"WITH l AS ({_LINES}), {_FOLD} SELECT doc_id, unnest(range(1, len(chunks) + 1)) AS chunk_no, unnest(chunks) AS chunk FROM c"
+
+
+@register(CHUNKS_SQL)
 def chunk_text(s, d):
     return _chunks(s, d).select("doc_id", F.posexplode("chunks").alias("p", "chunk")).select("doc_id", (F.col("p") + 1).cast("long").alias("chunk_no"), "chunk")
 
@@ -678,23 +672,25 @@ def intake_files(s, d):
     return files.intake(s, d, "*.parquet").select("name", "length", "mime", "admitted")
 
 
-def _event_stream(s: SparkSession, d: str) -> DataFrame:
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def event_stream(s: SparkSession, d: str) -> DataFrame:
     schema = read(s, d, "events").schema
     return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def _drained(s: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    path = scratch(s, label)
-    feeds.drain(stream, path, f"{path}-state")
+def drained(s: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+    """What a stateful stream gives over all that is there; the session's own state store is set again afterwards."""
+    path, before = scratch(s, label), s.conf.get(_STORE, None)
+    s.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        feeds.drain(stream, path, f"{path}-state")
+    finally:
+        s.conf.unset(_STORE) if before is None else s.conf.set(_STORE, before)
     return s.read.schema(stream.schema).parquet(path)
 
 
 @register(_SQL["status_changes"])
 def stream_status_changes(s, d):
-    return _drained(s, feeds.change_feed(_event_stream(s, d).select("event_id", "user_id", "event_type", "ts")), "feed")
-
-
-@register()
-def stream_admissions(s, d):
-    return _drained(s, feeds.admissions(_event_stream(s, d)), "admitted")
+    return drained(s, feeds.change_feed(event_stream(s, d).select("event_id", "user_id", "event_type", "ts")), "feed")

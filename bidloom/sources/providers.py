@@ -8,7 +8,8 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Headings that name a column of a price table.
 HEADINGS = {
@@ -72,16 +73,59 @@ def with_retry(call: Callable[[str], str], attempts: int = 3, first_wait: float
     return run
 
 
-def extract(chunks: DataFrame, extractor: Callable[[str], str] = extract_table, text_col: str = "chunk") -> DataFrame:
-    """Adds ``reply``, the extractor's answer for each chunk."""
-    from pyspark.sql import functions as F
+def lines_reply(text: Column) -> Column:
+    """``extract_lines`` as an expression, for texts of such lines alone: no Python, whatever their number."""
+    cells = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda line: F.transform(F.split(line, "[|]", -1), lambda c: F.trim(c)))
+    items = F.transform(F.filter(cells, lambda c: (F.size(c) == 2) & (c[0] != "")), lambda c: F.struct(c[0].alias("ten_sp"), c[1].alias("don_gia")))
+    return F.to_json(F.struct(items.alias("items")))
 
-    @F.pandas_udf("string")
-    def ask(texts: pd.Series) -> pd.Series:
-        return texts.map(extractor)
 
-    return chunks.withColumn("reply", ask(F.col(text_col)))
+def extract(
+    chunks: DataFrame,
+    extractor: Callable[[str], str] = extract_table,
+    text_col: str = "chunk",
+    attempts: int = 3,
+    first_wait: float = 2.0,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """Adds ``reply``, the extractor's answer for each chunk, ``attempts``, how often it was asked, and ``error``.
 
+    A chunk that fails ``attempts`` times has a null reply and the last failure's message (its class where it has none) as error; the
+    other chunks, and the job, go on. A model provider takes ``text_col="prompt"``.
+    """
 
-def available(engines: dict[str, Callable]) -> list[str]:
-    return sorted(engines)
+    def asked(text: str) -> tuple[str | None, int, str | None]:
+        tried = 0
+
+        def counted(x: str) -> str:
+            nonlocal tried
+            tried += 1
+            return extractor(x)
+
+        try:
+            return with_retry(counted, attempts, first_wait, sleep)(text), tried, None
+        except Exception as e:  # whatever a provider raises concerns its chunk alone
+            return None, tried, str(e) or type(e).__name__
+
+    @F.pandas_udf("reply string, attempts int, error string")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([asked(t) for t in texts], columns=["reply", "attempts", "error"])
+
+    return chunks.select("*", ask(F.col(text_col)).alias("_asked")).select(*chunks.columns, "_asked.*")
+
+
+def available(engines: dict[str, Callable[[bytes], tuple[str, float]]], probe: bytes = b"") -> list[str]:
+    """The engines that answer a probe; one that raises is left out."""
+    found = []
+    for name in sorted(engines):
+        try:
+            engines[name](probe)
+        except Exception:  # an engine that cannot run here
+            continue
+        found.append(name)
+    return found
+
+
+def health(spark: SparkSession, engines: dict[str, Callable[[bytes], tuple[str, float]]], version: str = "1.0.0") -> DataFrame:
+    """One row: status, version and the engines that answer, each probed once on the driver."""
+    return spark.createDataFrame([("ok", version, available(engines))], "status string, version string, ocr_engines array<string>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.ordered import admit
+
 
 def status_changes(log: DataFrame, job: str, order: list[str], status: str) -> DataFrame:
     """Batch form: rows whose status differs from the job's row before."""
@@ -53,22 +56,23 @@ class ChangeFeed(StatefulProcessor):
 
 
 class Admission(StatefulProcessor):
-    """Sliding-window limiter: at most ``MOST`` accepted requests of a client within ``SECONDS``; rejected ones don't count."""
+    """Sliding-window limiter: at most ``most`` accepted requests of a client within ``seconds``; rejected ones don't count.
+
+    State is the at most ``most`` accepted times. A batch's rows of a client are held and sorted, so a batch should be bounded at its
+    source (files or bytes a trigger); batches are taken to come in order of time.
+    """
 
-    MOST, SECONDS = 30, 60.0
+    def __init__(self, most: int = 30, seconds: float = 60.0):
+        self.most, self.seconds = most, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getListState("held", "t double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [r[0] for r in self.held.get()]
+        held = deque(r[0] for r in self.held.get())
         out = []
-        for event_id, ts in sorted((t, i) for f in rows for t, i in zip(f["t"], f["event_id"], strict=True)):
-            held = [x for x in held if event_id - x < self.SECONDS]
-            accepted = len(held) < self.MOST
-            if accepted:
-                held.append(event_id)
-            out.append((ts, key[0], accepted))
+        for t, event_id in sorted((t, i) for f in rows for t, i in zip(f["t"], f["event_id"], strict=True)):
+            out.append((event_id, key[0], admit(held, t, self.most, self.seconds)))
         self.held.put([(x,) for x in held])
         yield pd.DataFrame(out, columns=["event_id", "user_id", "accepted"])
 
@@ -80,9 +84,9 @@ def change_feed(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(ChangeFeed(), "event_id long, user_id long, event_type string", "append", "none")
 
 
-def admissions(events: DataFrame) -> DataFrame:
+def admissions(events: DataFrame, most: int = 30, seconds: float = 60.0) -> DataFrame:
     timed = events.select("event_id", "user_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return timed.groupBy("user_id").transformWithStateInPandas(Admission(), "event_id long, user_id long, accepted boolean", "append", "none")
+    return timed.groupBy("user_id").transformWithStateInPandas(Admission(most, seconds), "event_id long, user_id long, accepted boolean", "append", "none")
 
 
 def ingest(spark: SparkSession, folder: str, per_trigger: int = 3, pattern: str = "*") -> DataFrame:
