@@ -13,6 +13,7 @@ them held out for the thresholds, so the model is the same for every input and e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -193,6 +194,30 @@ def model() -> tuple[BoostedTrees, dict[str, float]]:
     return trees, thresholds
 
 
+class _Taken:
+    """The union of spans as disjoint sorted intervals, so that a text's candidates are held against its spans in n log n."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, s, e in sorted(spans, key=lambda x: x[1]):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        i = bisect_left(self.starts, e) - 1
+        return i >= 0 and self.ends[i] > s
+
+    def add(self, s: int, e: int) -> None:
+        """A span that meets none."""
+        i = bisect_left(self.starts, s)
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+
+
 def pii_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id and ``found``, an array of (kind, start, end, score, base); code points, end exclusive."""
     trees, thresholds = model()
@@ -201,20 +226,22 @@ def pii_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found, asked, x = [], [], []
+                found, asked, x, taken = [], [], [], []
                 for i, text in enumerate(scalars(part.column(1))):
                     text = text or ""
-                    mine = [(k, s, e, 1.0, True) for k, s, e in base_spans(text)]
-                    found.append(mine)
+                    mine = base_spans(text)
+                    found.append([(k, s, e, 1.0, True) for k, s, e in mine])
+                    taken.append(_Taken(mine))
                     for k, s, e in proposals(text):
-                        if not any(s < b and a < e for _, a, b, *_ in mine):
+                        if not taken[i].meets(s, e):
                             asked.append((i, k, s, e))
                             x.append(features(text, k, s, e))
                 if asked:
                     p = trees.probability(np.array(x))
                     for (i, k, s, e), score in sorted(zip(asked, p.tolist(), strict=True), key=lambda c: (c[0][0], -c[1], c[0])):
-                        if score >= thresholds[k] and not any(s < b and a < e for _, a, b, *_ in found[i]):
+                        if score >= thresholds[k] and not taken[i].meets(s, e):
                             found[i].append((k, s, e, score, False))
+                            taken[i].add(s, e)
                 yield {"id": part.column(0), "found": [[dict(zip(("kind", "start", "end", "score", "base"), f, strict=True)) for f in fs] for fs in found]}
 
     picked = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -235,15 +262,17 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out, x, asked = [], [], []
             texts = [t for t in scalars(batch.column(at))]
             spans = [base_spans(t or "") for t in texts]
+            taken = [_Taken(found) for found in spans]
             for i, t in enumerate(texts):
                 for k, s, e in proposals(t or ""):
-                    if not any(s < b and a < e for _, a, b in spans[i]):
+                    if not taken[i].meets(s, e):
                         asked.append((i, k, s, e))
                         x.append(features(t, k, s, e))
             if asked:
                 for (i, k, s, e), score in sorted(zip(asked, trees.probability(np.array(x)).tolist(), strict=True), key=lambda c: (c[0][0], -c[1], c[0])):
-                    if score >= thresholds[k] and not any(s < b and a < e for _, a, b in spans[i]):
+                    if score >= thresholds[k] and not taken[i].meets(s, e):
                         spans[i].append((k, s, e))
+                        taken[i].add(s, e)
             for t, found in zip(texts, spans, strict=True):
                 last, parts = 0, []
                 for k, s, e in sorted(found, key=lambda f: (f[1], -f[2])):

@@ -108,7 +108,8 @@ def is_signed_token(token: str) -> bool:
     parts = token.split(".")
     try:
         header, body = (json.loads(_unbase64(p)) for p in parts[:2])
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, RecursionError):
+        # no JSON, or nested deeper than any token is
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(body, dict) and len(parts) == 3
 

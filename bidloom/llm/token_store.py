@@ -141,11 +141,13 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int | N
 
     spark = documents.sparkSession
     picked = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    mapped = map_arrow(picked, rows, "key binary, kind string, doc_id long, n long, body binary, keys array<binary>, lens array<int>, root binary")
+    mapped = map_arrow(picked, rows, _BLOB)
     rank = F.row_number().over(Window.partitionBy("kind", "key").orderBy("n"))
     mapped.withColumn("rank", rank).where("kind = 'doc' OR rank = 1").drop("rank").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/blobs")
 
-    docs = spark.read.parquet(f"{path}/blobs/kind=doc").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("place"), "doc_id", F.col("n").alias("n_tokens"), "keys", "lens", "root")
+    # a kind without rows has no folder, so kinds are told apart by the partition column
+    blobs = _blobs(spark, path)
+    docs = blobs.where("kind = 'doc'").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("place"), "doc_id", F.col("n").alias("n_tokens"), "keys", "lens", "root")
     starts = prefix_sums(docs.groupBy("place").agg(F.sum("n_tokens").alias("n")), "place", "n", "base").select("place", "base")
     inside = Window.partitionBy("place").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, "place")
@@ -163,8 +165,15 @@ def _shard_roots(recipes: DataFrame) -> DataFrame:
     return map_arrow(shards, rows, "shard long, root binary")
 
 
+_BLOB = "key binary, kind string, doc_id long, n long, body binary, keys array<binary>, lens array<int>, root binary"
+
+
+def _blobs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_BLOB).parquet(f"{path}/blobs")
+
+
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/blobs/kind=chunk").select("key", "n", "body")
+    return _blobs(spark, path).where("kind = 'chunk'").select("key", "n", "body")
 
 
 def _wide(body: bytes, n: int) -> bytes:

@@ -34,7 +34,7 @@ def tokenizer():
 
 def test_registered():
     numbers = {n.split("_")[0] for n in registry.queries()}
-    assert numbers == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert numbers == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 # ------------------------------------------------------------------ personal data and secrets
