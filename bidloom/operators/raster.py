@@ -23,6 +23,38 @@ def spread(gray: Column) -> Column:
     return F.sqrt(F.aggregate(gray, F.lit(0.0), lambda s, x: s + x * x) / n - mean * mean)
 
 
+def any_glare(gray: Column) -> Column:
+    """Whether there is a pixel to repair at all."""
+    return F.exists(gray, lambda g: g > 240)
+
+
+def stencil(gray: Column, width: int, weights: dict[tuple[int, int], float]) -> Column:
+    """A weighted sum over each pixel's surroundings (row and column offsets of less than the image), mirrored at the borders without
+    repeating them; a flat array of rows in, one out."""
+    height = (F.size(gray) / width).cast("int")
+
+    def mirrored(i: Column, n: Column) -> Column:
+        return F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
+
+    def pixel(_: Column, i: Column) -> Column:
+        row, col = F.floor(i / width).cast("int"), i % width
+        out = F.lit(0.0)
+        for (dr, dc), weight in weights.items():
+            out = out + weight * F.get(gray, mirrored(row + dr, height) * width + mirrored(col + dc, F.lit(width)))
+        return out
+
+    return F.transform(gray, pixel)
+
+
+#: The second derivative of a raster.
+LAPLACIAN = {(-1, 0): 1.0, (1, 0): 1.0, (0, -1): 1.0, (0, 1): 1.0, (0, 0): -4.0}
+
+
+def blur_variance(gray: Column, width: int) -> Column:
+    """Variance of the second derivative; under 100 an image counts as blurred."""
+    return F.pow(spread(stencil(gray, width, LAPLACIAN)), 2.0)
+
+
 def upscale(img: np.ndarray, width: int = 1200) -> np.ndarray:
     """Cubic (Catmull-Rom) upscale to a least width."""
     h, w = img.shape

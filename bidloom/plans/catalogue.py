@@ -37,7 +37,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import service  # noqa: F401  registers its queries
+    from . import layout, service  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 

@@ -147,7 +147,7 @@ def stream_subscriptions(s: SparkSession, d: str) -> DataFrame:
     """The same as ``subscribe_snapshot``, from two streams that meet in one state."""
     log = event_stream(s, d).where("event_type <> 'signup'")
     asks = event_stream(s, d).where("event_type = 'signup'").withColumn("subscriber", F.col("event_id"))
-    told = drained(s, subscribers.feed(log, asks, "user_id", "ts", "event_id", "event_type", final=("purchase", "error")), "told")
+    told = drained(s, subscribers.feed(log, asks, "user_id", "ts", "event_id", "event_type", final=("purchase", "error"), quiet=None), "told")
     return subscribers.endings(told).select("subscriber", F.col("job").cast("long").alias("user_id"), "snapshot", "ending")
 
 

@@ -20,17 +20,17 @@ class Feed(StatefulProcessor):
     1 a subscriber, so that a row at the same moment counts as before.
 
     A subscriber is told the snapshot at once, a sign of life whenever ``quiet`` seconds pass without a word, and the ending, which
-    closes it. One that comes after a final status waits for the next. A job's state goes when it has neither an open subscriber nor
-    been heard of for ``expiry`` seconds.
+    closes it. One that comes after a final status waits for the next. A job's last status goes when it has not been heard of for
+    ``expiry`` seconds. Without ``quiet`` there are no timers and nothing expires, so that a stream over what is there can end.
     """
 
-    def __init__(self, final: tuple[str, ...] = FINAL, quiet: float = KEEP_ALIVE_SECONDS, expiry: float = 7 * 86400.0):
+    def __init__(self, final: tuple[str, ...] = FINAL, quiet: float | None = KEEP_ALIVE_SECONDS, expiry: float = 7 * 86400.0):
         self.final, self.quiet, self.expiry = final, quiet, expiry
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         # the last status lives on only as long as the job is heard of
-        self.last = handle.getValueState("last", "status string", int(self.expiry * 1000))
+        self.last = handle.getValueState("last", "status string", None if self.quiet is None else int(self.expiry * 1000))
         self.open = handle.getMapState("open", "n long", "since double")
 
     def _set_timer(self, timers) -> None:
@@ -59,7 +59,7 @@ class Feed(StatefulProcessor):
             self.open.removeKey((n,))
         for n in set(waiting) - was_open:
             self.open.updateValue((n,), (0.0,))
-        if waiting:
+        if waiting and self.quiet is not None:
             self._set_timer(timerValues)
         yield pd.DataFrame(told, columns=["job", "subscriber", "what", "status"])
 
@@ -76,13 +76,15 @@ class Feed(StatefulProcessor):
 def feed(log: DataFrame, subscribers: DataFrame, job: str, ts: str, n: str, status: str, subscriber: str = "subscriber", **options) -> DataFrame:
     """What subscribers are told, from two streams: status rows (job, ts, n, status) and subscriptions (job, ts, subscriber).
 
-    Both are one stream of two kinds, keyed by job, so they meet in one state. Timers go by processing time.
+    Both are one stream of two kinds, keyed by job, so they meet in one state. Timers go by processing time; a stream with timers never
+    ends by itself, so one that is to drain what is there takes ``quiet=None``.
     """
+    mode = "none" if options.get("quiet", KEEP_ALIVE_SECONDS) is None else "processingTime"
     t = F.col(ts).cast("timestamp").cast("double").alias("t")
     rows = log.select(F.col(job).cast("string").alias("job"), t, F.lit(0).alias("kind"), F.col(n).cast("long").alias("n"), F.col(status).alias("status"))
     asks = subscribers.select(F.col(job).cast("string").alias("job"), t, F.lit(1).alias("kind"), F.col(subscriber).cast("long").alias("n"), F.lit(None).cast("string").alias("status"))
     both = rows.unionByName(asks)
-    return both.groupBy("job").transformWithStateInPandas(Feed(**options), OUTPUT, "append", "processingTime")
+    return both.groupBy("job").transformWithStateInPandas(Feed(**options), OUTPUT, "append", mode)
 
 
 def endings(told: DataFrame) -> DataFrame:
