@@ -113,6 +113,11 @@ def parse_replies(replies: DataFrame, id_col: str = "doc_id", reply_col: str = "
     )
 
 
+def item_valid(name: Column, confidence: Column) -> Column:
+    """Whether an item stays: it has a name, and its confidence lies between 0 and 1."""
+    return F.coalesce((name != "") & confidence.between(0, 1), F.lit(False))
+
+
 def first_wins(items: DataFrame, doc: str, name: str, *order: str) -> DataFrame:
     """Of items with the same stripped lower-case name the first of a document; blank names all stay."""
     key = name_key(F.col(name))

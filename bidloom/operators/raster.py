@@ -23,6 +23,26 @@ def spread(gray: Column) -> Column:
     return F.sqrt(F.aggregate(gray, F.lit(0.0), lambda s, x: s + x * x) / n - mean * mean)
 
 
+#: Angles at which a line still tells the skew, and the least skew that is turned back, in degrees.
+STEEPEST, LEAST_SKEW = 45.0, 0.3
+
+
+def skew(lines: DataFrame, image: str, angle: str) -> DataFrame:
+    """(image, angle): the median angle of an image's flat lines, where it is worth turning back."""
+    flat = lines.where(F.abs(F.col(angle)) < STEEPEST)
+    return flat.groupBy(image).agg(F.median(angle).alias("angle")).where(F.abs("angle") >= LEAST_SKEW)
+
+
+def slope(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """How steep a line is, without sign; null where it is upright."""
+    return F.when(x1 != x2, F.abs((y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))))
+
+
+def mean_slope(lines: DataFrame, image: str, slope_col: str) -> DataFrame:
+    """(image, slope) over an image's lines that are not upright."""
+    return lines.where(F.col(slope_col).isNotNull()).groupBy(image).agg(F.avg(slope_col).alias("slope"))
+
+
 def any_glare(gray: Column) -> Column:
     """Whether there is a pixel to repair at all."""
     return F.exists(gray, lambda g: g > 240)

@@ -76,6 +76,18 @@ def lazy_cascade(pages: DataFrame, engines: dict[str, Engine], id_col: str = "pa
     return pages.select(id_col, content_col).mapInPandas(run, "page_id long, engine string, text string, confidence double")
 
 
+def word_kept(word: Column, confidence: Column) -> Column:
+    """Whether a recognised word counts: it is not blank, and its engine is at all sure of it."""
+    return (confidence > 0) & (F.trim(word) != "")
+
+
+def page_words(words: DataFrame, page: str, order: str, word: str, confidence: str) -> DataFrame:
+    """(page, n_words, confidence, text) of the words that count: mean of their 0 to 100, and their text in order."""
+    kept = words.where(word_kept(F.col(word), F.col(confidence)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, word))), lambda x: x[word]), " ")
+    return kept.groupBy(page).agg(F.count("*").alias("n_words"), (F.sum(confidence).cast("double") / F.count("*") / 100).alias("confidence"), text.alias("text"))
+
+
 def vision_confidence(text: Column) -> Column:
     return F.when(F.char_length(text) > 20, 0.85).otherwise(0.3)
 

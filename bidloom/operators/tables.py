@@ -6,6 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ways of finding tables in order of preference, and the accuracy that each must exceed.
+ACCURACY = {"lattice": 60, "stream": 50}
+
+
+def flavor(accuracy: Column) -> Column:
+    """The way by which a table of this accuracy is taken; null if by none."""
+    return F.coalesce(*[F.when(accuracy > least, name) for name, least in ACCURACY.items()])
+
+
+def filled(cells: Column) -> Column:
+    """Whether a row has a cell that isn't blank."""
+    return F.exists(cells, lambda c: F.trim(c) != "")
+
+
+def cell_line(cells: Column) -> Column:
+    return F.array_join(cells, " | ")
+
+
+def kept_rows(rows: DataFrame, table: str, row: str, cells: str) -> DataFrame:
+    """Rows of tables that have a row besides their header (the first), without the header and without blank rows."""
+    n = F.count("*").over(Window.partitionBy(table))
+    return rows.withColumn("_n", n).where((F.col("_n") > 1) & (F.col(row) > 1) & filled(F.col(cells))).drop("_n")
+
+
 def _islands(rows: DataFrame, of: list[str], start: str, end: str, gap: float, out: str) -> DataFrame:
     """Number, from 1 on, the islands of intervals within ``of``: one ends where the next begins ``gap`` or more behind all before."""
     ordered = Window.partitionBy(*of).orderBy(start, end)

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..functions import money as M
 from ..functions import text as T
-from ..operators import chunking, documents, jobs, raster, recognition
+from ..operators import chunking, documents, jobs, raster, recognition, tables
 from ..sources import exports, files, providers
 from ..sources.storage import scratch
 from ..streaming import feeds
@@ -265,8 +266,9 @@ def json_roundtrip_items(s, d):
 
 @register("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_linenumber % 5 <> 0 AND 1 - l_discount * 12 BETWEEN 0 AND 1")
 def drop_bad_items(s, d):
-    name = F.when(F.col("l_linenumber") % 5 != 0, "x").otherwise("")
-    return read(s, d, "lineitem").where((name != "") & (1 - F.col("l_discount") * 12).between(0, 1)).select("l_orderkey", "l_partkey", "l_linenumber")
+    name = F.when(F.col("l_linenumber") % 5 != 0, "part").otherwise("")
+    good = documents.item_valid(name, 1 - F.col("l_discount") * 12)
+    return read(s, d, "lineitem").where(good).select("l_orderkey", "l_partkey", "l_linenumber")
 
 
 @register(f"""
@@ -404,14 +406,21 @@ def status_view(s, d):
 
 @register("""
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'status-done' WHEN 'P' THEN 'status-pending' ELSE 'status-processing' END AS css, CASE o_orderstatus WHEN 'F' THEN '✓ Hoàn thành' WHEN 'P' THEN '⏳ Chờ' ELSE '🤖 AI' END AS label,
-CASE WHEN o_orderstatus IN ('F', 'O') THEN 'done' END AS detect, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'active' END AS ai FROM orders""")
+CASE WHEN o_orderstatus IN ('F', 'O') THEN 'done' END AS detect, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'done' END AS preprocess, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'done' END AS ocr,
+CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'active' END AS ai, CASE o_orderstatus WHEN 'F' THEN '✅' WHEN 'O' THEN '⚙️' ELSE '⏸' END AS ai_mark FROM orders""")
 def status_labels(s, d):
-    labels = {"done": "✓ Hoàn thành", "failed": "✗ Thất bại", "pending": "⏳ Chờ", "preprocessing": "⚙️ Xử lý", "ocr": "🔤 OCR", "extracting": "🤖 AI"}
-    steps = ["detecting", "preprocessing", "ocr", "extracting", "done"]
-    at = F.array_position(F.array(*map(F.lit, steps)), _status())
-    state = lambda i: F.when(at > i, "done").when(at == i, "active")
-    css = T.lookup({"done": "status-done", "failed": "status-failed", "pending": "status-pending"}, _status(), F.lit("status-processing"))
-    return read(s, d, "orders").select("o_orderkey", css.alias("css"), T.lookup(labels, _status(), _status()).alias("label"), state(1).alias("detect"), state(4).alias("ai"))
+    steps = labels.step_states(_status())
+    shown = {"css": labels.status_class(_status()), "label": labels.status_label(_status())} | steps | {"ai_mark": labels.mark(steps["ai"])}
+    return read(s, d, "orders").select("o_orderkey", *[c.alias(k) for k, c in shown.items()])
+
+
+@register("""
+SELECT event_id, CASE event_id % 7 WHEN 0 THEN '📄 PDF Mềm' WHEN 1 THEN '📷 PDF Scan' WHEN 2 THEN '🖼️ Ảnh Scan' WHEN 3 THEN '📱 Ảnh Điện Thoại' WHEN 4 THEN '🌟 Ảnh Lóa' WHEN 5 THEN '📐 Ảnh Nghiêng' ELSE 'unknown' END AS type_label,
+ CASE event_id % 7 WHEN 0 THEN '📄 PDF Mềm' WHEN 1 THEN '📊 Camelot' WHEN 2 THEN '🔤 PaddleOCR' WHEN 3 THEN '🔤 EasyOCR' WHEN 4 THEN '🔤 Tesseract' WHEN 5 THEN '👁️ Gemini Vision' ELSE 'unknown' END AS method_label FROM events""")
+def meta_labels(s, d):
+    """Every type and method, and one of each that has no label."""
+    nth = lambda values: F.get(F.array(*map(F.lit, [*values, "unknown"])), (F.col("event_id") % 7).cast("int"))
+    return read(s, d, "events").select("event_id", labels.type_label(nth(labels.TYPE)).alias("type_label"), labels.method_label(nth(labels.METHOD)).alias("method_label"))
 
 
 @register("""
@@ -565,9 +574,8 @@ def page_text(s, d):
 @register("""SELECT doc_id, count(*) AS n_words, sum(c)::DOUBLE / count(*) / 100 AS confidence, string_agg(w, ' ' ORDER BY i) AS text FROM
 (SELECT doc_id, i, w, (doc_id + i * 7) % 100 AS c FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents))) WHERE c > 0 AND trim(w) <> '' GROUP BY 1""")
 def ocr_words(s, d):
-    words = read(s, d, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", "\n", " "), " ", -1)).alias("i", "w")).withColumn("i", F.col("i") + 1).withColumn("c", (F.col("doc_id") + F.col("i") * 7) % 100)
-    kept = words.where((F.col("c") > 0) & (F.trim("w") != ""))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.coalesce(F.sum("c").cast("double") / F.count("*") / 100, F.lit(0.0)).alias("confidence"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("text"))
+    words = read(s, d, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", "\n", " "), " ", -1)).alias("i", "w")).withColumn("i", F.col("i") + 1)
+    return recognition.page_words(words.withColumn("c", (F.col("doc_id") + F.col("i") * 7) % 100), "doc_id", "i", "w", "c")
 
 
 _ENGINE = "CASE event_type WHEN 'view' THEN 'paddleocr' WHEN 'click' THEN 'easyocr' WHEN 'purchase' THEN 'tesseract' WHEN 'signup' THEN 'gemini_vision' END"
@@ -592,15 +600,15 @@ def engine_methods(s, d):
 
 @register("SELECT event_id, CASE WHEN value > 60 THEN 'lattice' WHEN value > 50 THEN 'stream' END AS flavor FROM events WHERE value > 50")
 def table_accuracy_gate(s, d):
-    return read(s, d, "events").where("value > 50").select("event_id", F.when(F.col("value") > 60, "lattice").otherwise("stream").alias("flavor"))
+    return read(s, d, "events").select("event_id", tables.flavor(F.col("value")).alias("flavor")).where("flavor IS NOT NULL")
 
 
 @register(f"SELECT doc_id, count(*) AS n_rows, string_agg(replace(trim(t), ' ', ' | '), chr(10) ORDER BY page_no) AS body FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_PAGES_SQL})) WHERE n > 1 AND page_no > 1 AND trim(t) <> '' GROUP BY 1")
 def table_clean(s, d):
-    rows = _doc_pages(s, d).withColumn("n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("cells", F.split(F.trim("t"), " ", -1))
-    kept = rows.where((F.col("n") > 1) & (F.col("page_no") > 1) & F.exists("cells", lambda c: F.trim(c) != ""))
-    line = F.array_join("cells", " | ")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", line.alias("x")))), lambda r: r["x"]), "\n").alias("body"))
+    kept = tables.kept_rows(_doc_pages(s, d).withColumn("cells", F.split(F.trim("t"), " ", -1)), "doc_id", "page_no", "cells")
+    line = tables.cell_line(F.col("cells")).alias("x")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", line))), lambda r: r["x"]), "\n")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_rows"), body.alias("body"))
 
 
 _GRAY = "list_transform(embedding, lambda x: least(255, greatest(0, 128 + CAST(x AS DOUBLE) * 600)))"
@@ -618,15 +626,16 @@ def raster_metrics(s, d):
 
 @register("SELECT vec_id, round(median(a), 6) AS angle FROM (SELECT vec_id, unnest(embedding)::DOUBLE * 200 AS a FROM embeddings) WHERE abs(a) < 45 GROUP BY 1 HAVING abs(median(a)) >= 0.3")
 def median_angle(s, d):
-    a = read(s, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).withColumn("a", F.col("x").cast("double") * 200).where("abs(a) < 45")
-    return a.groupBy("vec_id").agg(F.median("a").alias("m")).where("abs(m) >= 0.3").select("vec_id", F.round("m", 6).alias("angle"))
+    lines = read(s, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).withColumn("a", F.col("x").cast("double") * 200)
+    return raster.skew(lines, "vec_id", "a").select("vec_id", F.round("angle", 6).alias("angle"))
 
 
 @register("SELECT vec_id, round(avg(abs((y2 - y1) / (x2 - x1))), 6) AS slope FROM (SELECT vec_id, embedding[1 + 4 * i]::DOUBLE AS x1, embedding[2 + 4 * i]::DOUBLE AS y1, embedding[3 + 4 * i]::DOUBLE AS x2, embedding[4 + 4 * i]::DOUBLE AS y2 FROM embeddings, range(0, 16) t(i)) WHERE x1 <> x2 GROUP BY 1")
 def mean_slope(s, d):
     at = lambda k: F.get("embedding", 4 * F.col("i") + k).cast("double")
-    lines = read(s, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).select("vec_id", *[at(k).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
-    return lines.where("x1 <> x2").groupBy("vec_id").agg(F.round(F.avg(F.abs((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))), 6).alias("slope"))
+    lines = read(s, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    lines = lines.select("vec_id", raster.slope(at(0), at(1), at(2), at(3)).alias("s"))
+    return raster.mean_slope(lines, "vec_id", "s").select("vec_id", F.round("slope", 6).alias("slope"))
 
 
 @register("SELECT vec_id, arg_min(i, x + y) AS tl, arg_min(i, y - x) AS tr, arg_max(i, x + y) AS br, arg_max(i, y - x) AS bl FROM (SELECT vec_id, i, embedding[1 + 2 * i]::DOUBLE AS x, embedding[2 + 2 * i]::DOUBLE AS y FROM embeddings, range(0, 32) t(i)) GROUP BY 1")
@@ -650,7 +659,8 @@ def raster_enhance(s, d):
     return raster.enhance(_gray(s, d), "vec_id", "g", 8)
 
 
-@register()
+@register("""
+SELECT doc_id AS page_id, CASE WHEN strlen(text) > 500 THEN 'paddleocr' ELSE 'tesseract' END AS engine, text, CASE WHEN strlen(text) > 500 THEN 0.9 ELSE 0.55 END::DOUBLE AS confidence FROM documents""")
 def ocr_pipeline(s, d):
     """The lazy cascade held by two test doubles, which recognise nothing: the first claims to be sure of long texts only."""
     pages = read(s, d, "documents").select(F.col("doc_id").alias("page_id"), F.encode("text", "UTF-8").alias("content"))
@@ -658,7 +668,7 @@ def ocr_pipeline(s, d):
     return recognition.lazy_cascade(pages, engines)
 
 
-@register()
+@register("SELECT l_orderkey AS doc_id, 'ACME' AS nha_cung_cap, 'VND' AS don_vi_tien, count(*)::INT AS n_items, 0.875::DOUBLE AS overall_confidence FROM lineitem GROUP BY 1")
 def extract_offline(s, d):
     """Order lines as table texts, read by the built-in extractor, parsed and rolled up."""
     lines = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" | ", F.col("l_linenumber").cast("string"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")), F.floor("l_quantity").cast("string"), F.format_number(F.floor("l_extendedprice"), 0)))), "\n").alias("rows"))

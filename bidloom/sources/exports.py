@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.money import format_money
+from . import storage
 
+#: Columns of the CSV.
 CSV_COLUMNS = ("stt", "ma_sp", "ten_sp", "dvt", "so_luong", "don_gia", "chiet_khau_pct", "thanh_tien", "ghi_chu", "confidence")
 #: Headings of the item sheet.
 SHEET_COLUMNS = ("STT", "Mã SP", "Tên sản phẩm / Dịch vụ", "ĐVT", "Số lượng", "Đơn giá", "Chiết khấu %", "Thành tiền", "Ghi chú", "Độ tin cậy AI")
@@ -48,7 +50,10 @@ def export_outcome(fmt: Column, has_result: Column, n_items: Column) -> Column:
 
 
 def export(docs: DataFrame, doc_id: object, fmt: str, path: str, id_col: str = "doc_id") -> None:
-    """Writes one document as ``excel``, ``csv`` or ``json`` to the folder ``path``; LookupError where it has no data, ValueError for another format."""
+    """Writes one document to the folder ``path``: as ``excel`` one file ``<id>.xlsx``, as ``csv`` or ``json`` what Spark's writer makes.
+
+    LookupError where it has no data, ValueError for another format.
+    """
     if fmt not in ("excel", "csv", "json"):
         raise ValueError("format is not one of excel, csv, json")
     one = docs.where(F.col(id_col) == F.lit(doc_id))
@@ -56,16 +61,16 @@ def export(docs: DataFrame, doc_id: object, fmt: str, path: str, id_col: str = "
     if found is None or (fmt != "json" and found["n"] < 1):
         raise LookupError("no data to export")
     if fmt == "json":
-        write_json(one, path)
+        write_json(one.drop("failures"), path)
     elif fmt == "csv":
         items = one.select(F.posexplode("items").alias("p", "i")).select((F.col("p") + 1).alias("pos"), "i.*")
         write_csv(csv_rows(items.orderBy("pos")), path)
     else:
-        workbooks(one, id_col).write.mode("overwrite").parquet(path)
+        storage.write_bytes(docs.sparkSession, f"{path}/{doc_id}.xlsx", bytes(workbooks(one, id_col).first()["content"]))
 
 
-def summary_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, pos, label, value): the twelve lines of a document's summary sheet; missing values are empty texts."""
+def summary_lines() -> Column:
+    """The twelve lines (pos, label, value) of a document's summary sheet, from its row; missing values are empty texts."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     money = lambda c: format_money(F.col(c), F.col("don_vi_tien"))
     rate = F.coalesce(number_text(F.nullif(F.col("thue_vat_pct"), F.lit(0.0))), F.lit("10"))
@@ -74,18 +79,22 @@ def summary_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         money("tong_sau_vat"), text("dieu_kien_thanh_toan"), text("thoi_gian_giao_hang"), text("bao_hanh"),
     ]
     labels = [F.concat(F.lit(f"{x} ("), rate, F.lit("%)")) if x == "Thuế VAT" else F.lit(x) for x in SUMMARY_LABELS]
-    lines = F.array(*[F.struct(F.lit(i).alias("pos"), k.alias("label"), v.alias("value")) for i, (k, v) in enumerate(zip(labels, values, strict=True), 1)])
-    return docs.select(id_col, F.inline(lines))
+    return F.array(*[F.struct(F.lit(i).alias("pos"), k.alias("label"), v.alias("value")) for i, (k, v) in enumerate(zip(labels, values, strict=True), 1)])
+
+
+def summary_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, pos, label, value), twelve rows a document."""
+    return docs.select(id_col, F.inline(summary_lines()))
 
 
 def workbooks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, content): for every document with items a workbook of an item sheet and a summary sheet, built where its row lies."""
+    """(id, content): for every document with items a workbook of an item sheet and a summary sheet, built where its row lies; ids may
+    be null or repeat."""
     import io
 
     import pyarrow as pa
 
-    lines = summary_rows(docs.where(F.size("items") > 0), id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "label", "value"))).alias("summary"))
-    rows = docs.select(id_col, "items").join(lines, id_col)
+    rows = docs.where(F.size("items") > 0).select(id_col, "items", summary_lines().alias("summary"))
 
     def build(batches):
         for batch in batches:
