@@ -7,12 +7,14 @@ have the anchors of their characters (words joined by one space), so that short
 ``K`` words and more. Where nothing is an anchor, as in texts of fewer than K characters, the hash of the whole text is the one.
 
 A fingerprint holds every anchor with the place of its first unit, as ``hash@place`` in hex, joined by dots, by hash and then
-place; places among characters of short texts have bit 26 set. Likeness is the exact Jaccard coefficient of all anchors: those of
-equal hash are matched one to one in order of their places, so a passage that stands once in one text and three times in the other
-is shared once.
-
-Null counts as empty. Equal texts have equal fingerprints. Repeated ids are put in order of their texts, null ids come first. One
-shuffle moves the texts: documents meet in buckets of neighbouring ids, and each bucket also gets a copy of the first document of
+place; places among characters of short texts have bit 26 set. Likeness goes by place: anchors of equal hash are matched one to one
+in order of their places, so a passage that stands once in one text and three times in the other is shared once; and of the matched
+ones those count that have moved by about as much as most (``DRIFT``). So a text with its parts in another order shares little with
+the first one, while a passage that stands elsewhere as a whole is found. Likeness is the count over all anchors of both.
+
+Null counts as empty. Equal texts have equal fingerprints. Ties: repeated ids are put in order of their texts, null ids come first,
+and of two middle shifts the lower one is the median. Texts of any length are taken whole, in one row. An empty table gives an empty
+result. Only the id and text columns are read, so other columns may have any names. One shuffle moves the texts: documents meet in buckets of neighbouring ids, and each bucket also gets a copy of the first document of
 the next one.
 """
 
@@ -28,6 +30,8 @@ from .common import table
 K, S = 5, 2
 #: A longer word is taken by characters.
 LONG = 32
+#: The share of the longer text by which a matched anchor may stray from the median shift, as one over this.
+DRIFT = 8
 #: Ids that share a bucket, as a power of two.
 BUCKET_BITS = 10
 #: Bits of an anchor kept for its place, the highest of them for places among characters; no row can hold 2**26 units.
@@ -89,10 +93,33 @@ def numbered(a: Column) -> Column:
     return F.when(F.size(F.array_distinct(bare)) == F.size(a), bare).otherwise(counted)
 
 
+def shifts(a: Column, b: Column) -> Column:
+    """How far each anchor that two lists share has moved, ascending; those of equal hash are matched one to one in order of place."""
+    entries = lambda xs, side: _let(numbered(xs), lambda keys: F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.lit(side).alias("side"), place(F.get(xs, i)).alias("p"))))
+
+    def moved(m: Column) -> Column:
+        # a key stands at most once in either list, so equal neighbours are a match
+        return F.transform(m, lambda x, i: F.when(x["k"] == F.get(m, i + 1)["k"], F.get(m, i + 1)["p"] - x["p"]))
+
+    both = F.sort_array(F.concat(entries(a, 0), entries(b, 1)))
+    return F.sort_array(F.filter(_let(both, moved), lambda x: x.isNotNull()))
+
+
+def place(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit((1 << (PLACE_BITS - 1)) - 1))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard coefficient of two whole anchor lists, anchors of equal hash matched one to one in order of place."""
-    shared = F.size(F.array_intersect(numbered(a), numbered(b)))
-    return shared / (F.size(a) + F.size(b) - shared)
+    """Of all anchors of two texts the share that stands in both at like places: matched anchors count whose shift differs from the
+    median shift of all matched ones by at most an eighth of the longer text."""
+    longer = F.greatest(*[F.array_max(F.transform(x, place)) for x in (a, b)]) + 1
+
+    def share(s: Column) -> Column:
+        median = F.get(s, ((F.size(s) - 1) / 2).cast("int"))
+        near = _let(median, lambda m: F.size(F.filter(s, lambda x: F.abs(x - m) * DRIFT <= longer)))
+        return F.when(F.size(s) > 0, near / (F.size(a) + F.size(b) - near)).otherwise(0.0)
+
+    return _let(shifts(a, b), share)
 
 
 def next_bucket(buckets: DataFrame) -> DataFrame:

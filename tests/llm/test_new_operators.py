@@ -44,7 +44,7 @@ OPERATORS = {
     "token_store": lambda d, tmp: (token_store.write_store(d, tmp, vocabulary()), token_store.verify(d.sparkSession, tmp))[1],
     "language": lambda d, tmp: language.predict(d, language.fit(d)),
     "mixing": lambda d, tmp: mixing.mixed_documents(d),
-    "syncmers": lambda d, tmp: syncmers.with_next(d),
+    "syncmers": lambda d, tmp: syncmers.fingerprints(d),
     "secrets": lambda d, tmp: secrets.digest(secrets.scan(d), secrets.KINDS, secrets.KINDS[:3], by_start=True),
     "packing": lambda d, tmp: packing.pack(d, vocabulary()),
     "jaccard": lambda d, tmp: jaccard.jaccard_components(d),

@@ -453,10 +453,27 @@ def test_syncmers_keep_every_anchor(spark):
     like = {(r["i"], r["j"]): r["x"] for r in pair.select("i", "j", syncmers.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
 
     def plain(a, b):
-        from collections import Counter
-
-        a, b = (Counter(x >> 27 for x in c) for c in (a, b))
-        return (a & b).total() / (a | b).total()
+        """Anchors of equal hash paired in order of place; pairs that moved about as far as the middle one count."""
+        places = [{}, {}]
+        for of, c in zip(places, (a, b), strict=True):
+            for x in sorted(c):
+                of.setdefault(x >> 27, []).append(x & (2**26 - 1))
+        moved = sorted(q - p for h in places[0] if h in places[1] for p, q in zip(places[0][h], places[1][h], strict=False))
+        longer = max(x & (2**26 - 1) for x in [*a, *b]) + 1
+        near = sum(8 * abs(x - moved[(len(moved) - 1) // 2]) <= longer for x in moved)
+        return near / (len(a) + len(b) - near)
 
     assert all(v == pytest.approx(plain(fps[i], fps[j]), abs=1e-12) for (i, j), v in like.items())
     assert like[1, 2] > 0 and like[0, 1] > 0.97 and like[3, 4] > 0.5 and like[5, 6] > 0.3 and 0.45 < like[9, 10] < 0.55 and like[12, 13] > 0.5
+
+
+def test_likeness_goes_by_place(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(1000)]
+    back = [w for k in range(4, -1, -1) for w in words[200 * k : 200 * k + 200]]
+    texts = [" ".join(words), " ".join(back), " ".join(words[:500] + ["new"] * 20 + words[500:]), " ".join(["x", "y", "z"] * 900 + words[300:600])]
+    fps = {r["doc_id"]: r["anchors"] for r in syncmers.fingerprints(spark.createDataFrame([(i, t, "", "", 0, "") for i, t in enumerate(texts)], DOCS)).collect()}
+    pair = spark.createDataFrame([(0, j, fps[0], fps[j]) for j in fps], "i int, j int, a array<long>, b array<long>")
+    like = {r["j"]: r["x"] for r in pair.select("j", syncmers.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert like[0] == 1 and like[1] < 0.15 and like[2] > 0.95 and 0.1 < like[3] < 0.3
