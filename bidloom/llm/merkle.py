@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import stage_counted, stage_table, table
 
-#: Levels that a block climbs at once; a block holds ``2 ** STRIDE`` nodes.
+#: Levels that a block climbs at once, if not told otherwise; a block holds two to their power nodes.
 STRIDE = 10
 #: Rows (of a range partition and language, or of a language) that are broadcast at most.
 BROADCAST_ROWS = 200_000
@@ -108,53 +108,53 @@ def fold(digest: str, path: list[str], places: list[int]) -> str:
     return digest
 
 
-def _trees(rows, stride: int) -> list[list[str]]:
-    """The levels that a block's sorted rows climb from this stride on; fewer than ``STRIDE`` only where the group's top is near."""
+def _trees(rows, below: int, stride: int) -> list[list[str]]:
+    """The levels that a block's sorted rows climb, with so many below; fewer than ``stride`` only where the group's top is near."""
     total = rows.column("total")[0].as_py()
-    return climb([x.hex() for x in rows.column("node").to_pylist()], max(0, min(STRIDE, height(total) - STRIDE * stride)))
+    return climb([x.hex() for x in rows.column("node").to_pylist()], max(0, min(stride, height(total) - below)))
 
 
 # ------------------------------------------------------------------ levels
 
 
-def build(nodes: DataFrame, most: int, label: str) -> list[DataFrame]:
-    """The persisted levels above (g, pos, total, node), ``STRIDE`` apart; the last has one node for each group."""
+def build(nodes: DataFrame, most: int, stride: int, label: str) -> list[DataFrame]:
+    """The persisted levels above (g, pos, total, node), ``stride`` apart; the last has one node for each group."""
     import pyarrow as pa
 
-    def of(stride):
+    def of(level):
         def up(key, rows):
-            top = _trees(rows.sort_by("pos"), stride)[-1][0]
+            top = _trees(rows.sort_by("pos"), level * stride, stride)[-1][0]
             return pa.table({"g": [key[0].as_py()], "pos": [key[1].as_py()], "total": [rows.column("total")[0].as_py()], "node": [bytes.fromhex(top)]})
 
         return up
 
     out = [nodes]
-    for stride in range(-(-height(most) // STRIDE)):
-        below = out[-1].select("g", "pos", "total", "node", F.shiftright("pos", STRIDE).alias("block"))
-        out.append(stage_table(below.groupBy("g", "block").applyInArrow(of(stride), "g long, pos long, total long, node binary"), f"{label}-{stride + 1}"))
+    for level in range(-(-height(most) // stride)):
+        below = out[-1].select("g", "pos", "total", "node", F.shiftright("pos", stride).alias("block"))
+        out.append(stage_table(below.groupBy("g", "block").applyInArrow(of(level), "g long, pos long, total long, node binary"), f"{label}-{level + 1}"))
     return out
 
 
-def push(levels: list[DataFrame], paths: DataFrame, lowest: int, label: str) -> DataFrame:
+def push(levels: list[DataFrame], paths: DataFrame, lowest: int, stride: int, label: str) -> DataFrame:
     """(g, pos, path) of the nodes of persisted level ``lowest``, from the paths above the last one; a join a level."""
     import pyarrow as pa
 
-    def of(stride):
+    def of(level):
         def down(key, rows, above):
             rows = rows.sort_by("pos")
-            trees, inherited = _trees(rows, stride), above.column("path")[0].as_py()
+            trees, inherited = _trees(rows, level * stride, stride), above.column("path")[0].as_py()
             own = [siblings(trees, i) + inherited for i in range(rows.num_rows)]
             return pa.table({"g": rows.column("g"), "pos": rows.column("pos"), "path": pa.array(own, pa.list_(pa.string()))})
 
         return down
 
-    for stride in range(len(levels) - 2, lowest - 1, -1):
-        below = levels[stride].select("g", "pos", "total", "node", F.shiftright("pos", STRIDE).alias("block")).groupBy("g", "block")
-        paths = stage_table(below.cogroup(paths.groupBy("g", "pos")).applyInArrow(of(stride), "g long, pos long, path array<string>"), f"{label}-{stride}")
+    for level in range(len(levels) - 2, lowest - 1, -1):
+        below = levels[level].select("g", "pos", "total", "node", F.shiftright("pos", stride).alias("block")).groupBy("g", "block")
+        paths = stage_table(below.cogroup(paths.groupBy("g", "pos")).applyInArrow(of(level), "g long, pos long, path array<string>"), f"{label}-{level}")
     return paths
 
 
-def proofs(documents: DataFrame, digest: bool = False) -> DataFrame:
+def proofs(documents: DataFrame, digest: bool = False, stride: int = STRIDE) -> DataFrame:
     """One row a document: doc_id, lang, pos, leaf, forged, subroot, root (hex), path (siblings from its leaf to the root, empty where
     a node goes alone) and places (whether each node on the way is odd).
 
@@ -170,17 +170,17 @@ def proofs(documents: DataFrame, digest: bool = False) -> DataFrame:
     ranked = placed(langs.withColumn("_all", F.lit(0)), "_all", ["lang"], "ranked").select("lang", F.col("pos").alias("g"))
     ranked = _small(stage_table(ranked, "ranks").withColumnRenamed("lang", "_lang"), n_langs)
     base = base.join(ranked, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang").withColumnRenamed("leaf", "node")
-    base = stage_table(base.withColumn("block", F.shiftright("pos", STRIDE)), "placed")
+    base = stage_table(base.withColumn("block", F.shiftright("pos", stride)), "placed")
 
-    levels = build(base, most, "level")
+    levels = build(base, most, stride, "level")
     subroots = levels[-1].select(F.lit(0).cast("long").alias("g"), F.col("g").alias("pos"), F.lit(n_langs).cast("long").alias("total"), "node")
-    upper = build(subroots, n_langs, "upper")
+    upper = build(subroots, n_langs, stride, "upper")
     top = upper[-1].select("g", "pos", F.array(F.lower(F.hex("node"))).alias("path"))
     # below the last level a path ends with the root, and from the subroots on with subroot and root
-    paths = push(upper, top, 0, "upper-path")
+    paths = push(upper, top, 0, stride, "upper-path")
     paths = stage_table(paths.select(F.col("pos").alias("g"), "path").join(levels[-1].select("g", F.lower(F.hex("node")).alias("subroot")), "g"), "subroots")
     paths = paths.select("g", F.lit(0).cast("long").alias("pos"), F.concat("path", F.array("subroot")).alias("path"))
-    paths = push(levels, paths, 1, "path")
+    paths = push(levels, paths, 1, stride, "path")
     schema = "doc_id long, lang string, pos long, leaf string, forged string, subroot string, root string, "
     schema += "proof_sha256 string, folded_root string" if digest else "path array<string>, places array<int>"
 
@@ -188,7 +188,7 @@ def proofs(documents: DataFrame, digest: bool = False) -> DataFrame:
         rows = rows.sort_by("pos")
         g, total = rows.column("g")[0].as_py(), rows.column("total")[0].as_py()
         *rest, root, subroot = above.column("path")[0].as_py()
-        trees = _trees(rows, 0)
+        trees = _trees(rows, 0, stride)
         nodes = trees[0]
         in_lang = height(total)
         g_places = [g >> i & 1 for i in range(height(n_langs))]
