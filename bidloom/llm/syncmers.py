@@ -112,14 +112,15 @@ def place(anchor: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Of all anchors of two texts the share that stands in both at like places: matched anchors count whose shift differs from the
     median shift of all matched ones by at most an eighth of the longer text."""
-    longer = F.greatest(*[F.array_max(F.transform(x, place)) for x in (a, b)]) + 1
+    longest = F.greatest(*[F.array_max(F.transform(x, place)) for x in (a, b)]) + 1
 
-    def share(s: Column) -> Column:
+    def share(s: Column, longer: Column) -> Column:
         median = F.get(s, ((F.size(s) - 1) / 2).cast("int"))
         near = _let(median, lambda m: F.size(F.filter(s, lambda x: F.abs(x - m) * DRIFT <= longer)))
-        return F.when(F.size(s) > 0, near / (F.size(a) + F.size(b) - near)).otherwise(0.0)
+        return F.when(F.size(s) > 0, _let(near, lambda n: n / (F.size(a) + F.size(b) - n))).otherwise(0.0)
 
-    return _let(shifts(a, b), share)
+    # what a lambda names is worked out for each element, so the length is bound before
+    return _let(longest, lambda longer: _let(shifts(a, b), lambda s: share(s, longer)))
 
 
 def next_bucket(buckets: DataFrame) -> DataFrame:
