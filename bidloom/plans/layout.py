@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import polygons, raster, tables
-from ..sources import files
+from ..sources import files, samples
 from .catalogue import _GRAY, _gray, read, register
 
 _CELLS = "[CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'part ' || l_partkey END, CAST(l_quantity AS BIGINT)::VARCHAR, l_returnflag || ' ' || l_linestatus]"
@@ -98,3 +98,13 @@ def page_outline(s: SparkSession, d: str) -> DataFrame:
     share = polygons.area(F.col("v")) / 5120
     is_page = (F.size("kept") == 4) & (share > polygons.LEAST_AREA)
     return whole.select("vec_id", F.size("kept").alias("vertices"), F.round(share, 6).alias("area_share"), is_page.alias("is_page"))
+
+
+@register("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
+SELECT doc_id, (i // 5 + 1)::INT AS page_no, string_agg(line || 'ế', chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id, i // 5""")
+def pdf_pages(s: SparkSession, d: str) -> DataFrame:
+    """Whole texts, a Vietnamese letter behind each line, written as PDFs of five lines a page and read again."""
+    docs = read(s, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(x, F.lit("ế"))), "\n").alias("text"))
+    found = files.pdf_pages(samples.as_pdfs(docs, "doc_id", "text", 5), "doc_id")
+    return found.select(F.col("path").alias("doc_id"), "page_no", "text")

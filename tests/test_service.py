@@ -392,3 +392,39 @@ def test_blur_equals_the_kernel(spark, h, w):
     g = np.random.default_rng(h).uniform(0, 255, (h, w))
     row = spark.createDataFrame([(g.ravel().tolist(),)], "g array<double>").select(raster.blur_variance(F.col("g"), w), raster.any_glare(F.col("g"))).first()
     assert row[0] == pytest.approx(raster.laplacian_variance(g)) and row[1] == bool((g > 240).any())
+
+
+# ------------------------------------------------------------------ PDF text
+
+
+def test_pdf_text_by_unicode_tables():
+    from bidloom.sources import files, samples
+
+    pages = [["Báo giá số 12", "Ống thép | 12.000 đ", "😀 (a) \\ <b>"], [""], ["Tổng cộng"]]
+    for deflate in (True, False):
+        assert files.pdf_text(samples.pdf_of(pages, deflate)) == ["\n".join(p) for p in pages]
+    table = b"begincmap 1 beginbfchar <01> <1ED1> endbfchar 2 beginbfrange <02> <04> <0061> <05> <06> [<0058> <00590059>] endbfrange endcmap"
+    font = b"3 0 obj << /Type /Font /Subtype /Type1 /ToUnicode 4 0 R >> endobj\n4 0 obj << /Length %d >> stream\n%s\nendstream endobj\n" % (len(table), table)
+    page = b"5 0 obj << /Font << /F7 3 0 R >> >> endobj 6 0 obj << >> stream\nBT /F7 9 Tf (\\001\\002) Tj <0304> Tj 0 -9 Td [(\\005) -20 <06>] TJ T* /F0 9 Tf (caf\\351\\)) Tj ET\nendstream endobj"
+    assert files.pdf_text(b"%PDF-1.5\n" + font + page) == ["ốabc\nXYY\ncafé)"]
+
+
+def test_pdf_text_of_objects_in_streams():
+    import zlib
+
+    from bidloom.sources import files
+
+    held = [b"<< /Type /Font /Subtype /Type0 /ToUnicode 9 0 R >>", b"<< /Font << /F1 7 0 R >> >>"]
+    index = b"7 0 8 %d " % len(held[0])
+    packed = zlib.compress(index + b"".join(held))
+    objects = b"1 0 obj << /Type /ObjStm /N 2 /First %d /Length %d >> stream\n%s\nendstream endobj\n" % (len(index), len(packed), packed)
+    table = b"begincmap 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap"
+    rest = b"9 0 obj << >> stream\n%s\nendstream endobj 2 0 obj << >> stream\nBT /F1 1 Tf <1ED10041> Tj ET\nendstream endobj" % table
+    assert files.pdf_text(b"%PDF-1.5\n" + objects + rest) == ["ốA"]
+
+
+@pytest.mark.parametrize("content", [b"", b"%PDF", b"%PDF-1.4 1 0 obj stream\n\xff\xfe\nendstream endobj", b"BT ( Tj", b"stream\nBT <zz> Tj ET\nendstream"])
+def test_pdf_text_of_broken_files(content):
+    from bidloom.sources import files
+
+    assert all(isinstance(x, str) for x in files.pdf_text(content))
