@@ -5,6 +5,8 @@ The published algorithms; exact parity with a particular imaging library is not
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,6 +148,25 @@ def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.append(np.linalg.solve(np.array(rows, float), dst.reshape(-1)), 1).reshape(3, 3)
 
 
+def png(img: np.ndarray) -> bytes:
+    """A gray image as a PNG file."""
+    rows = np.clip(np.rint(img), 0, 255).astype(np.uint8)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", rows.shape[1], rows.shape[0], 8, 0, 0, 0, 0)
+    body = zlib.compress(b"".join(b"\0" + r.tobytes() for r in rows))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", body) + part(b"IEND", b"")
+
+
+def image_files(images: DataFrame, id_col: str, gray_col: str, width: int) -> DataFrame:
+    """(id, content): each image as a PNG in a binary column, made where its row lies; ids may be null or repeat."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({id_col: f[id_col], "content": [png(np.array(g, float).reshape(-1, width)) for g in f[gray_col]]})
+
+    return images.select(id_col, gray_col).mapInPandas(run, f"`{id_col}` {images.schema[id_col].dataType.simpleString()}, content binary")
+
+
 STEPS = (("glare", remove_glare), ("unsharp", unsharp), ("binarize", sauvola))
 
 

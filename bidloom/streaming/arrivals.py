@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators import documents, joblog, recognition
+from ..operators import documents, joblog, jobs, recognition
 from ..options import Options
-from ..sources import files
+from ..sources import files, storage
 
 UPLOAD = "filename string, content binary, uploaded_at timestamp, job_id string"
 #: Confidence of a text layer, and how a job's last step reads.
@@ -39,20 +39,34 @@ def upload_id(filename: Column, uploaded_at: Column) -> Column:
     return T.job_id(F.concat_ws("|", filename, uploaded_at.cast("timestamp").cast("double").cast("string")))
 
 
-def receipts(uploads: DataFrame, options: Options) -> DataFrame:
-    """What each upload (filename, content, uploaded_at) is told: code, and where that is 200 its job_id, size and stored name."""
+def receipts(uploads: DataFrame, options: Options, most: int = 30, seconds: float = 60.0) -> DataFrame:
+    """What each upload (filename, content, uploaded_at) is told: code, and where that is 200 its job_id, size and stored name.
+
+    Uploads with an ``api_key`` are held against that of the options (401, 403), and those with a ``client`` and a good key against
+    its limit (429, ``most`` in ``seconds``), before their names and sizes are looked at.
+    """
     size = F.coalesce(F.octet_length("content"), F.lit(0))
-    code = admission(F.col("filename"), size, options)
+    given = F.col("api_key") if "api_key" in uploads.columns else F.lit(options.api_key)
+    code = jobs.key_check(given, F.lit(options.api_key))
+    kept = ["filename", "content", "uploaded_at"]
+    coded = uploads.select(*kept, *[c for c in ("client",) if c in uploads.columns], size.alias("_size"), code.alias("code"))
+    if "client" in uploads.columns:
+        # rows are numbered once and for all, as the limiter tells them apart
+        path = storage.scratch(uploads.sparkSession, "received")
+        coded.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        coded = uploads.sparkSession.read.parquet(path)
+        decided = jobs.limiter(coded.where("code = 200"), "client", "uploaded_at", "_row", most, seconds).select("_row", "accepted")
+        coded = coded.join(decided, "_row", "left").withColumn("code", F.when(~F.col("accepted"), 429).otherwise(F.col("code")))
+    coded = coded.withColumn("code", F.when(F.col("code") != 200, F.col("code")).otherwise(admission(F.col("filename"), F.col("_size"), options)))
     ok = lambda c: F.when(F.col("code") == 200, c)
-    coded = uploads.select("filename", "content", "uploaded_at", size.alias("_size"), code.alias("code"))
     key = ok(upload_id(F.col("filename"), F.col("uploaded_at")))
     size_mb = ok(F.round(F.col("_size") / 1048576.0, 2))
-    return coded.select("filename", "content", "uploaded_at", "code", key.alias("job_id"), size_mb.alias("size_mb"), ok(T.safe_name(F.col("filename"))).alias("stored_name"))
+    return coded.select(*kept, "code", key.alias("job_id"), size_mb.alias("size_mb"), ok(T.safe_name(F.col("filename"))).alias("stored_name"))
 
 
 def save(uploads: DataFrame, root: str, options: Options | None = None, bundles: int | None = None) -> DataFrame:
     """Lands admitted uploads in bundles, puts each job in the jobs table as pending, and returns all receipts, without content."""
-    told = receipts(uploads, options or Options())
+    told = receipts(uploads, options or Options.from_env())
     taken = told.where("code = 200").select("filename", "content", "uploaded_at", "job_id")
     taken = taken if bundles is None else taken.repartition(bundles, "job_id")
     taken.write.mode("append").parquet(f"{root}/landing")
@@ -64,7 +78,7 @@ def save(uploads: DataFrame, root: str, options: Options | None = None, bundles:
 
 def landed(spark: SparkSession, root: str, options: Options | None = None) -> DataFrame:
     """The landing folder as a stream, as many bundles a batch as jobs may run at once."""
-    limit = (options or Options()).concurrent_jobs
+    limit = (options or Options.from_env()).concurrent_jobs
     return spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", limit).parquet(f"{root}/landing")
 
 
@@ -72,7 +86,7 @@ def dropped(spark: SparkSession, folder: str, options: Options | None = None, pa
     """The same from a folder into which others drop files one by one."""
     from . import feeds
 
-    found = feeds.ingest(spark, folder, (options or Options()).concurrent_jobs, pattern)
+    found = feeds.ingest(spark, folder, (options or Options.from_env()).concurrent_jobs, pattern)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return found.select(name.alias("filename"), "content", F.col("modificationTime").alias("uploaded_at"), upload_id(name, F.col("modificationTime")).alias("job_id"))
 
@@ -91,7 +105,7 @@ def process(batch: DataFrame, number: int, root: str, ask: Ask, recognise: Calla
 
     A job whose chunk gave no reply has failed, with that chunk's error; the others are done. All writes carry the batch's number.
     """
-    options, now = options or Options(), F.current_timestamp() if now is None else now
+    options, now = options or Options.from_env(), F.current_timestamp() if now is None else now
     log = joblog.JobLog(batch.sparkSession, f"{root}/jobs")
     admitted = batch.where(admission(F.col("filename"), F.octet_length("content"), options) == 200)
     one = admitted.groupBy("job_id").agg(F.min(F.struct("filename", "uploaded_at", "content")).alias("u")).select("job_id", "u.*")

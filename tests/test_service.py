@@ -135,6 +135,14 @@ def test_files_dropped_into_a_folder(spark, tmp_path):
     assert found["b c.png"][2] == "✅ Hoàn thành — 2 sản phẩm" and found["e.jpg"][2] == "✅ Hoàn thành — 0 sản phẩm" and "d.exe" not in found
 
 
+def test_upload_gates_in_their_order(spark):
+    rows = [("a.pdf", "k", "c", 0), ("b.pdf", "k", "c", 1), ("b.exe", "k", "c", 2), ("c.pdf", None, "c", 3), ("d.pdf", "x", "c", 4), ("e.pdf", "k", "c", 61), ("f.exe", "k", "d", 5)]
+    sent = spark.createDataFrame(rows, "filename string, api_key string, client string, at long").select("*", F.timestamp_seconds("at").alias("uploaded_at"), F.lit(b"x").alias("content"))
+    told = arrivals.receipts(sent, Options(api_key="k"), most=1).collect()
+    assert {r["filename"]: r["code"] for r in told} == {"a.pdf": 200, "b.pdf": 429, "b.exe": 429, "c.pdf": 401, "d.pdf": 403, "e.pdf": 200, "f.exe": 400}
+    assert {r["code"] for r in arrivals.receipts(sent.drop("client", "api_key"), Options(api_key="k")).collect()} == {200, 400}
+
+
 def test_admission_by_options(spark):
     rows = spark.createDataFrame([("a.pdf", 2 << 20), ("a.pdf", 1 << 20), ("a.PDF", 0), ("a", 0), (None, 0)], "f string, n long")
     assert [r[0] for r in rows.select(arrivals.admission(F.col("f"), F.col("n"), Options(max_file_mb=1))).collect()] == [413, 200, 200, 400, 400]
@@ -428,3 +436,16 @@ def test_pdf_text_of_broken_files(content):
     from bidloom.sources import files
 
     assert all(isinstance(x, str) for x in files.pdf_text(content))
+
+
+def test_image_files_hold_their_pixels(spark):
+    import struct
+    import zlib
+
+    g = np.arange(6.0).reshape(2, 3) * 50
+    row = raster.image_files(spark.createDataFrame([(None, g.ravel().tolist())], "i long, g array<double>"), "i", "g", 3).first()
+    content = bytes(row["content"])
+    assert content[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", content[16:24]) == (3, 2)
+    at = content.index(b"IDAT")
+    raw = zlib.decompress(content[at + 4 : at + 4 + struct.unpack(">I", content[at - 4 : at])[0]])
+    assert [list(raw[1:4]), list(raw[5:8])] == g.tolist()
