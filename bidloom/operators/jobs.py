@@ -68,7 +68,8 @@ def outcome(status: Column, has_result: Column) -> Column:
 
 
 def status_view(jobs: DataFrame) -> DataFrame:
-    return jobs.select("job_id", "filename", "status", "document_type", "progress_pct", "current_step", F.col("error_message").alias("error"), iso_timestamp(F.col("created_at")).alias("created_at"), iso_timestamp(F.col("completed_at")).alias("completed_at"))
+    times = [iso_timestamp(F.col(c)).alias(c) for c in ("created_at", "completed_at")]
+    return jobs.select("job_id", "filename", "status", "document_type", "progress_pct", "current_step", F.col("error_message").alias("error"), *times)
 
 
 def key_check(given: Column, expected: Column) -> Column:

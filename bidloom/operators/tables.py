@@ -56,11 +56,16 @@ def from_boxes(words: DataFrame, keys: list[str], row_gap: float = 0.0, cell_gap
     rows = cells.groupBy(*keys, "run", "line").agg(F.collect_list(F.struct("cell", "text")).alias("by_cell"), F.max("cell").alias("last"))
     tables = rows.groupBy(*keys, "run").agg(F.max("last").alias("width"), F.array_sort(F.collect_list(F.struct("line", "by_cell"))).alias("rows"))
     tables = tables.where("width > 1 AND size(rows) > 1").withColumn("table_no", F.row_number().over(Window.partitionBy(*keys).orderBy("run")))
-    whole = lambda m: F.transform(F.sequence(F.lit(1).cast("long"), F.col("width")), lambda j: F.coalesce(F.get(F.filter(m, lambda e: e["cell"] == j), F.lit(0))["text"], F.lit("")))
-    filled = tables.select(*keys, "table_no", F.transform("rows", lambda r: whole(r["by_cell"])).alias("rows"))
+
+    def whole(entries: Column) -> Column:
+        cell = lambda j: F.get(F.filter(entries, lambda e: e["cell"] == j), F.lit(0))["text"]
+        return F.transform(F.sequence(F.lit(1).cast("long"), F.col("width")), lambda j: F.coalesce(cell(j), F.lit("")))
+
+    framed = tables.select(*keys, "table_no", F.transform("rows", lambda r: whole(r["by_cell"])).alias("rows"))
     head = F.get("rows", F.lit(0))
     body = F.slice("rows", F.lit(2), F.size("rows") - 1)
-    return filled.select(*keys, "table_no", head.alias("header"), F.posexplode(body).alias("_r", "cells")).select(*keys, "table_no", (F.col("_r") + 1).alias("row_no"), "header", "cells")
+    rows = framed.select(*keys, "table_no", head.alias("header"), F.posexplode(body).alias("_r", "cells"))
+    return rows.select(*keys, "table_no", (F.col("_r") + 1).alias("row_no"), "header", "cells")
 
 
 def _joined(order: str, text: str) -> Column:

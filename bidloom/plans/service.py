@@ -24,17 +24,23 @@ def job_log(s: SparkSession, d: str) -> DataFrame:
     an error: five appends, folded into a snapshot after the second and the fourth, old files removed."""
     orders, lines = read(s, d, "orders"), read(s, d, "lineitem")
     key = F.col("o_orderkey")
-    receipt = lambda mark: orders.select(key.cast("string").alias("job_id"), F.concat(F.lit(mark), key.cast("string")).alias("filename"), F.lit("/in").alias("file_path"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    job = key.cast("string").alias("job_id")
+
+    def receipt(mark: str) -> DataFrame:
+        name = F.concat(F.lit(mark), key.cast("string")).alias("filename")
+        return orders.select(job, name, F.lit("/in").alias("file_path"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
     log = joblog.JobLog(s, storage.scratch(s, "jobs"))
     log.append(joblog.inserts(receipt("f").where("cast(job_id AS long) % 2 = 0")))
-    flag = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag"))
-    log.append(joblog.patches(lines.select(F.col("l_orderkey").cast("string").alias("job_id"), F.col("l_linenumber").alias("at"), F.col("l_linenumber").alias("progress_pct"), flag.alias("current_step"))), "lines")
+    n, flag = F.col("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag"))
+    patch = lines.select(F.col("l_orderkey").cast("string").alias("job_id"), n.alias("at"), n.alias("progress_pct"), flag.alias("current_step"))
+    log.append(joblog.patches(patch), "lines")
     log.compact()
-    log.append(joblog.deletes(orders.where("o_orderstatus = 'P'").select(key.cast("string").alias("job_id"))))
+    log.append(joblog.deletes(orders.where("o_orderstatus = 'P'").select(job)))
     log.append(joblog.inserts(receipt("again").where("cast(job_id AS long) % 3 = 0")))
     log.compact()
     log.vacuum()
-    log.append(joblog.patches(orders.where(key % 10 == 0).select(key.cast("string").alias("job_id"), F.lit("late").alias("error_message"))))
+    log.append(joblog.patches(orders.where(key % 10 == 0).select(job, F.lit("late").alias("error_message"))))
     return log.read().select("job_id", "filename", "progress_pct", "current_step", "error_message")
 
 

@@ -19,9 +19,17 @@ def pdf_of(pages: list[list[str]], deflate: bool = True) -> bytes:
         packed, how = (zlib.compress(data), b" /Filter /FlateDecode") if deflate else (data, b"")
         return b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(packed), how, packed)
 
-    body = lambda lines: b"BT\n/F1 10 Tf\n40 800 Td\n" + b"\n0 -12 Td\n".join(b"<%s> Tj" % x.encode("utf-16-be").hex().encode() for x in lines) + b"\nET"
+    def body(lines: list[str]) -> bytes:
+        shown = (b"<%s> Tj" % x.encode("utf-16-be").hex().encode() for x in lines)
+        return b"BT\n/F1 10 Tf\n40 800 Td\n" + b"\n0 -12 Td\n".join(shown) + b"\nET"
+
     kids = b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(len(pages)))
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(pages)), b"<< /Type /Font /Subtype /Type0 /BaseFont /F /Encoding /Identity-H /ToUnicode 4 0 R >>", stream(_UNICODE)]
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(pages)),
+        b"<< /Type /Font /Subtype /Type0 /BaseFont /F /Encoding /Identity-H /ToUnicode 4 0 R >>",
+        stream(_UNICODE),
+    ]
     for i, lines in enumerate(pages):
         objects += [b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (6 + 2 * i), stream(body(lines))]
     out, at = b"%PDF-1.4\n", []
