@@ -315,7 +315,7 @@ def test_health_names_the_engines_that_answer(spark):
 
 
 def test_sweep_takes_files_of_deleted_jobs_alone(spark, tmp_path):
-    for f in ("uploads/a/one two.pdf", "uploads/b/x.pdf", "uploads/b/pages/p1.png", "results/a.json", "results/b.json", "exports/baogia_b.xlsx", "uploads/job_id=c/part"):
+    for f in ("uploads/a/one two.pdf", "uploads/b/x.pdf", "uploads/b/pages/p1.png", "results/a.json", "results/b.json", "exports/b.xlsx", "uploads/job_id=c/part"):
         (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / f).write_bytes(b"1")
     live = spark.createDataFrame([("a",)], "job_id string")
@@ -323,7 +323,7 @@ def test_sweep_takes_files_of_deleted_jobs_alone(spark, tmp_path):
     assert Counter(r["job_id"] for r in orphans.collect()) == {"b": 3, "c": 1}
     assert cascade.sweep(spark, orphans) == 3
     left = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith("."))
-    assert left == ["exports/baogia_b.xlsx", "results/a.json", "uploads/a/one two.pdf"]
+    assert left == ["exports/b.xlsx", "results/a.json", "uploads/a/one two.pdf"]
     assert cascade.sweep(spark, cascade.orphans(storage.listing(spark, str(tmp_path)), live)) == 0
 
 
