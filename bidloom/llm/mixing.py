@@ -8,7 +8,7 @@ documents a source is settled by taking those in part, so that the words taken m
 
 A null text has no words; null is a source of its own, last in order. Rows are taken one by one, so repeated rows are separate
 units, and ids, which may be null, name no unit; in an empty table nothing is drawn. Draws depend on what the rows hold only, and
-rows that tie in all of it are equal: reruns agree. A text of any length is one unit. The table's columns travel in one struct, so they
+rows that tie in all of it are equal: reruns agree. A row that repeats very often is spread over many blocks. A text of any length is one unit. The table's columns travel in one struct, so they
 may have any names.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import stage_table, table
+from .common import stage_counted, stage_table, table
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -38,23 +38,37 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE)), F.lit(0)).cast("long")
 
 
+def _running(rows: DataFrame, order: list[Column], values: list[str], label: str) -> DataFrame:
+    """``rows`` with ``<value>_before``, the sum of each value over all rows that come before in the order (no two rows tie in it).
+
+    Rows lie in range partitions; a window runs within one, and the sums of whole partitions, one row each, are added.
+    """
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = stage_table(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), label)
+    parts = placed.groupBy("part").agg(*(F.sum(v).alias(v) for v in values))
+    offsets = parts.select("part", *(F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"{v}_ahead") for v in values))
+    before = {f"{v}_before": F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"{v}_ahead") for v in values}
+    return placed.join(offsets, "part").withColumns(before).drop("part", *(f"{v}_ahead" for v in values))
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_no, source_size, n, target) from rows (source, size): the sizes shared by weight under caps.
 
     Water-filling: with sources ascending by size over weight, those before the first one that its fair share does not exceed
-    are capped, the others share the rest by weight. The windows run over one row a source.
+    are capped, the others share the rest by weight. Sources may be many: no window holds them all.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
-    ranked = totals.withColumn("source_no", number).withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("source_no") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")).cast("double"))
-    ranked = ranked.withColumn("cap", (REPEATS * F.col("source_size")).cast("double"))
-    rising = Window.orderBy(F.col("cap") / F.col("w"), "source_no")
-    before, whole = rising.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    leveled = ranked.withColumn("level", left / weight)
-    leveled = leveled.withColumn("share", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(whole))
-    return leveled.select("source", "source_no", "source_size", "n", F.least("cap", F.coalesce(F.col("share") * F.col("w"), F.col("cap"))).alias("target"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.lit(1).alias("one"))
+    number = _running(totals, [F.col("source").isNull(), F.col("source")], ["one"], "sources").withColumn("source_no", F.col("one_before") + 1)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.col("source_no") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")).cast("double")
+    ranked = number.withColumn("w", weight).withColumn("cap", (REPEATS * F.col("source_size")).cast("double")).withColumn("full_at", F.col("cap") / F.col("w"))
+    rising = _running(ranked, [F.col("full_at"), F.col("source_no")], ["cap", "w"], "levels")
+    rising = stage_table(rising, "rising")
+    whole = rising.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+    level = (F.lit(whole["size"]) - F.col("cap_before")) / (F.lit(whole["w"]) - F.col("w_before"))
+    share = rising.where(level <= F.col("full_at")).agg(F.max(level)).first()[0]
+    fair = F.col("cap") if share is None else F.lit(share) * F.col("w")
+    return rising.select("source", "source_no", "source_size", "n", F.least("cap", fair).alias("target"))
 
 
 def flight(x: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -104,10 +118,29 @@ def _units(documents: DataFrame, id_col: str, source_col: str, text_col: str, *m
     return stage_table(rows, "units")
 
 
+def _pieces(units: DataFrame) -> DataFrame:
+    """The units with ``piece``: rows of one draw, which are equal, are numbered, and each ``BLOCK`` of them is a piece.
+
+    So a row that repeats very often fills many blocks. Only draws of over ``BLOCK`` rows are numbered: within the table's parts
+    (the upper bits of a unit) and on from part to part. Equal rows may trade numbers, so the parts do not show in the result.
+    """
+    often, found = stage_counted(units.groupBy("draw").count().where(F.col("count") > BLOCK).select("draw", F.lit(True).alias("often")), "often")
+    if not found:
+        return units.withColumn("piece", F.lit(0).cast("long"))
+    told = units.join(often, "draw", "left").withColumn("part", F.shiftright("unit", 33))
+    many = told.where("often").drop("often")
+    ahead = Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = many.groupBy("draw", "part").agg(F.count("*").alias("m")).withColumn("ahead", F.coalesce(F.sum("m").over(ahead), F.lit(0))).drop("m")
+    number = F.row_number().over(Window.partitionBy("draw", "part").orderBy("unit")) - 1 + F.col("ahead")
+    many = many.join(parts, ["draw", "part"]).withColumn("piece", F.floor(number / BLOCK).cast("long"))
+    few = told.where("often IS NULL").withColumn("piece", F.lit(0).cast("long"))
+    return few.select(*units.columns, "piece").unionByName(many.select(*units.columns, "piece"))
+
+
 def _draw(units: DataFrame) -> DataFrame:
     """(unit, x) with every x settled but for at most two of a source; units carry unit, draw, source_no, size, n, x."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
-    now = units.withColumn("block", F.pmod(F.xxhash64("draw"), blocks)).withColumn("blocks", blocks).drop("n")
+    now = _pieces(units).withColumn("block", F.pmod(F.xxhash64("draw", "piece"), blocks)).withColumn("blocks", blocks).drop("n", "piece")
     most = units.agg(F.max("n")).first()[0] or 0
     most = -(-most // BLOCK)
     settled, level = None, 0

@@ -239,6 +239,26 @@ def test_nearest(spark):
     assert [(r["rank"], r["vec_id"]) for r in sorted(twice, key=lambda r: r["rank"])] == [(r.rank, r.vec_id) for r in got[got.query_id == 200].sort_values("rank").itertuples()]
 
 
+def test_nearest_exact_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 300)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((2000, 8))
+    x[1200:] = x[7]  # a vector that very many rows share
+    ids = np.where(np.arange(2000) < 1900, np.arange(2000), 50)  # and an id of a hundred rows
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # blocks and queries run over batches
+    try:
+        got = nearest.nearest(df, df.where("vec_id % 40 = 0"), share=1.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for q in range(0, 1900, 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        others = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        want += [(q, n, int(ids[i]), round(float(d[i]), 9)) for n, i in enumerate(others, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == want
+
+
 def test_nearest_recall_on_embeddings(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     frame = df.toPandas().sort_values("vec_id")
@@ -344,6 +364,34 @@ def test_mixing(spark):
     assert mixed.columns == df.columns and mixed.select(mixing.n_words(mixed["text"]).alias("n")).agg({"n": "sum"}).first()[0] == got["taken"].sum()
 
 
+def test_mixing_of_a_row_that_repeats_very_often(spark, monkeypatch):
+    """A third of all rows are one row: no block holds more of it than a piece, and the totals and the reruns stay."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    docs = [(7, "same words over and over", "en", "a", 0, "x")] * 1500 + [(i, "w " * (i % 40), "en", "ab"[i % 2], 0, "x") for i in range(3000)]
+    df = spark.createDataFrame(docs, DOCS).repartition(9, "doc_id", "n_chars")
+    units = mixing._units(df, "doc_id", "source", "text")
+    pieces = mixing._pieces(units).groupBy("draw", "piece").count().collect()
+    assert sorted(r["count"] for r in pieces if r["count"] > 1)[-24:] == [1500 - 23 * 64] + [64] * 23
+    runs = [mixing.taken(x).toPandas() for x in (df, df.repartition(4))]
+    sizes = {"a": 0, "b": 0}
+    for _, t, _, s, *_ in docs:
+        sizes[s] += len(t.split())
+    for n, want in enumerate(plain_targets(sizes).values(), 1):
+        assert abs(runs[0][runs[0].source_no == n]["taken"].sum() - want) <= 2
+    key = ["doc_id", "source_no", "size", "copies", "part"]
+    assert runs[0].sort_values(key)["taken"].tolist() == runs[1].sort_values(key)["taken"].tolist()
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"s{i:04d}": 1 + (i * 7919) % 997 for i in range(2500)}
+    sizes |= {None: 3, "": 2_000_000}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r["source"]: (r["source_no"], r["target"]) for r in mixing.source_targets(df).collect()}
+    names, want = sorted(sizes, key=lambda s: (s is None, s or "")), plain_targets(sizes)
+    assert got == {n: (i, pytest.approx(want[n])) for i, n in enumerate(names, 1)}
+    assert mixing.source_targets(df.limit(0)).count() == 0
+
+
 def test_flight_keeps_totals():
     size = np.random.default_rng(2).integers(1, 500, 1000)
     x = mixing.flight(np.full(1000, 0.3), size, np.random.default_rng(3))
