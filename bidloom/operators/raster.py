@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,19 +50,27 @@ def any_glare(gray: Column) -> Column:
     return F.exists(gray, lambda g: g > 240)
 
 
-def stencil(gray: Column, width: int, weights: dict[tuple[int, int], float]) -> Column:
-    """A weighted sum over each pixel's surroundings (row and column offsets of less than the image), mirrored at the borders without
-    repeating them; a flat array of rows in, one out."""
-    height = (F.size(gray) / width).cast("int")
+def mirrored(i: Column, n: Column) -> Column:
+    """A place within n of one that may lie outside: mirrored at the borders without repeating them, however far it is."""
+    period = F.greatest(2 * n - 2, F.lit(1))
+    k = F.pmod(i, period)
+    return F.when(k >= n, period - k).otherwise(k)
+
+
+def clamped(i: Column, n: Column) -> Column:
+    """A place within n of one that may lie outside: the nearest border."""
+    return F.greatest(F.lit(0), F.least(i, n - 1))
 
-    def mirrored(i: Column, n: Column) -> Column:
-        return F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
+
+def stencil(gray: Column, width: int | Column, weights: dict[tuple[int, int], float], border: Callable[[Column, Column], Column] = mirrored) -> Column:
+    """A weighted sum over each pixel's surroundings (row and column offsets); a flat array of rows in, one out."""
+    height = (F.size(gray) / width).cast("int")
 
     def pixel(_: Column, i: Column) -> Column:
         row, col = F.floor(i / width).cast("int"), i % width
         out = F.lit(0.0)
         for (dr, dc), weight in weights.items():
-            out = out + weight * F.get(gray, mirrored(row + dr, height) * width + mirrored(col + dc, F.lit(width)))
+            out = out + weight * F.get(gray, border(row + dr, height) * width + border(col + dc, F.lit(width)))
         return out
 
     return F.transform(gray, pixel)

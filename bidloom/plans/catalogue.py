@@ -38,7 +38,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import layout, service  # noqa: F401  register their queries
+    from . import images, layout, service  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
