@@ -274,16 +274,48 @@ def sharpened(gray: Column, width: Size, sigma: float = SIGMA) -> Column:
     return bound(gray, sharpen)
 
 
+def _window_sums(line: Column, half: int) -> Column:
+    """Sums over the ``half`` values before and behind each and itself, from running sums; mirrored at the ends, however far."""
+
+    def sums(p: Column) -> Column:
+        n = F.size(p) - 1
+        period = F.greatest(2 * n - 2, F.lit(1))
+        whole = F.get(p, n) + F.when(n > 1, F.get(p, n - 1) - F.get(p, F.lit(1))).otherwise(0.0)
+
+        def until(m: Column) -> Column:
+            q = F.pmod(m, period)
+            return F.floor(m / period) * whole + F.when(q <= n, F.get(p, q)).otherwise(whole - F.get(p, period - q + 1) + F.get(p, F.lit(1)))
+
+        return F.transform(F.slice(p, F.lit(2), n), lambda _, i: until(i + half + 1) - until(i - half))
+
+    running = F.aggregate(line, F.array(F.lit(0.0)), lambda p, x: F.concat(p, F.array(F.element_at(p, -1) + x)))
+    return bound(running, sums)
+
+
+def averaged(gray: Column, width: Size, window: int) -> Column:
+    """The mean over window × window surroundings, mirrored at the borders; its work does not grow with the window."""
+    w = F.lit(width)
+
+    def turned(lines: Column) -> Column:
+        return bound(lines, lambda a: F.transform(F.get(a, F.lit(0)), lambda _, c: F.transform(a, lambda line: F.get(line, c))))
+
+    def mean(g: Column) -> Column:
+        lines = F.transform(F.sequence(F.lit(0), _height(g, w) - 1), lambda r: F.slice(g, r * w + 1, w))
+        along = lambda a: F.transform(a, lambda line: _window_sums(line, window // 2))
+        sums = F.flatten(turned(along(turned(along(lines)))))
+        return F.when(F.size(g) > 0, F.transform(sums, lambda x: x / (2 * (window // 2) + 1) ** 2)).otherwise(g)
+
+    return bound(gray, mean)
+
+
 def binarized(gray: Column, width: Size, window: int = WINDOW, weight: float = LOCAL_WEIGHT, deviations: float = DEVIATIONS) -> Column:
     """255 where a pixel exceeds its local threshold, mean * (1 + weight * (deviation / deviations - 1)) over its surroundings, else 0."""
-    box = {d: 1 / window for d in range(-(window // 2), window // 2 + 1)}
-
     def threshold(mean: Column, square: Column) -> Column:
         deviation = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
         return mean * (1 + weight * (deviation / deviations - 1))
 
     def cut(g: Column) -> Column:
-        limits = F.zip_with(smoothed(g, width, box), smoothed(F.transform(g, lambda x: x * x), width, box), threshold)
+        limits = F.zip_with(averaged(g, width, window), averaged(F.transform(g, lambda x: x * x), width, window), threshold)
         return F.zip_with(g, limits, lambda x, t: F.when(x > t, 255.0).otherwise(0.0))
 
     return bound(gray, cut)

@@ -63,6 +63,10 @@ def test_steps_against_numpy(spark):
     assert np.allclose(np.array(hard["filled"]).reshape(img.shape), raster.remove_glare(img))
     assert pale["filled"] == pytest.approx(soft.ravel().tolist())
     assert np.array_equal(np.array(hard["cut"]).reshape(img.shape), raster.sauvola(img, 9))
+    cut = _frame(spark, (img[:, :1], 1), (img[:1], 17), (img, 17)).select(pixels.averaged(g, w, 51)).collect()
+    for got, part in zip(cut, (img[:, :1], img[:1], img), strict=True):
+        wide = np.pad(part, 25, mode="reflect")
+        assert np.allclose(np.array(got[0]).reshape(part.shape), [[wide[r : r + 51, c : c + 51].mean() for c in range(part.shape[1])] for r in range(part.shape[0])])
     assert hard["sharp"] == pytest.approx(img.ravel().tolist())
     k = np.array(list(pixels.gaussian().values()))
     padded = np.pad(soft, 9, mode="reflect")
