@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import polygons, raster, tables
-from ..sources import files, samples
-from .catalogue import _GRAY, _gray, read, register
+from ..operators.documents import ITEMS
+from ..sources import exports, files, samples
+from .catalogue import _GRAY, _LINE_ORDER_SQL, LINE_ORDER, _gray, _order_docs, read, register
 
 _CELLS = "[CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'part ' || l_partkey END, CAST(l_quantity AS BIGINT)::VARCHAR, l_returnflag || ' ' || l_linestatus]"
 
@@ -108,3 +109,30 @@ def pdf_pages(s: SparkSession, d: str) -> DataFrame:
     docs = read(s, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(x, F.lit("ế"))), "\n").alias("text"))
     found = files.pdf_pages(samples.as_pdfs(docs, "doc_id", "text", 5), "doc_id")
     return found.select(F.col("path").alias("doc_id"), "page_no", "text")
+
+
+_SHEET = "['STT', 'Mã SP', 'Tên sản phẩm / Dịch vụ', 'ĐVT', 'Số lượng', 'Đơn giá', 'Chiết khấu %', 'Thành tiền', 'Ghi chú', 'Độ tin cậy AI']"
+
+
+@register(f"""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER_SQL}) AS n FROM lineitem),
+i AS (SELECT l_orderkey AS doc_id, 'Bảng Giá' AS sheet, (n + 1)::INT AS row, [CASE WHEN l_linenumber % 4 = 0 THEN n ELSE l_linenumber END::VARCHAR, '', 'part <' || l_partkey || '> & "' || l_returnflag || '"', CASE WHEN l_linenumber % 2 = 0 THEN 'kg' ELSE '' END,
+  CAST(l_quantity AS BIGINT)::VARCHAR, CAST(floor(l_extendedprice) AS BIGINT)::VARCHAR, '', CAST(CAST(l_quantity AS BIGINT) * CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR), ' x ', CAST(l_linenumber * 10 AS VARCHAR) || '%'] AS cells FROM l),
+h AS (SELECT DISTINCT doc_id, sheet, 1::INT AS row, {_SHEET} AS cells FROM i),
+s AS (SELECT o_orderkey AS doc_id, 'Tóm Tắt' AS sheet, unnest(range(1, 4))::INT AS row, unnest([['Thông tin', 'Giá trị'], ['Nhà cung cấp', o_orderpriority], ['Số báo giá', '']]) AS cells FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
+SELECT doc_id, sheet, row, unnest(range(1, len(cells) + 1))::INT AS col, unnest(cells) AS value FROM (FROM i UNION ALL FROM h UNION ALL FROM s)""")
+def workbook_cells(s: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines as workbooks, read again: all cells of the item sheets, the first rows of the summaries."""
+    k, whole = F.col("l_linenumber"), lambda c: F.floor(c).cast("double")
+    name = F.concat(F.lit("part <"), F.col("l_partkey").cast("string"), F.lit('> & "'), F.col("l_returnflag"), F.lit('"'))
+    text, number = lambda c: c.cast("string"), lambda c: c.cast("double")
+    none = F.lit(None)
+    item = F.struct(
+        F.when(k % 4 != 0, k).cast("int").alias("stt"), text(none).alias("ma_sp"), name.alias("ten_sp"), F.when(k % 2 == 0, "kg").alias("dvt"), whole("l_quantity").alias("so_luong"), whole("l_extendedprice").alias("don_gia"),
+        (whole("l_quantity") * whole("l_extendedprice")).alias("thanh_tien"), number(none).alias("chiet_khau_pct"), F.lit(" x ").alias("ghi_chu"), (k / 10).alias("confidence"),
+    )
+    lines = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, item.alias("item")))).alias("lines"))
+    docs = _order_docs(s, d).drop("items").join(lines.select("doc_id", F.transform("lines", lambda x: x["item"]).cast(ITEMS).alias("items")), "doc_id")
+    cells = exports.workbook_cells(exports.workbooks(docs))
+    numbers = F.when((F.col("sheet") == "Bảng Giá") & F.col("col").isin(5, 6, 8) & (F.col("row") > 1), F.col("value").cast("double").cast("long").cast("string")).otherwise(F.col("value"))
+    return cells.where("sheet = 'Bảng Giá' OR row <= 3").withColumn("value", numbers)

@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from ..functions.money import format_money
 from . import storage
@@ -109,6 +109,36 @@ def workbooks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(build, StructType([docs.schema[id_col], StructField("content", BinaryType())]))
 
 
+def workbook_cells(books: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, sheet, row, col, value): the cells of workbooks (id, content) as texts, from 1; empty cells are empty texts.
+
+    Each file is read where its row lies; ids may be null or repeat.
+    """
+    import io
+    from xml.etree import ElementTree
+
+    import pyarrow as pa
+
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+    def sheets(content: bytes):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for k, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet"), 1):
+                yield sheet.get("name"), ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{main}row")
+
+    def cells(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = [(name, r, c, "".join(cell.itertext())) for name, rows in sheets(batch.column(1)[i].as_py()) for r, row in enumerate(rows, 1) for c, cell in enumerate(row, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch.column(0)[i], len(found)), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string())))],
+                    names=[id_col, "sheet", "row", "col", "value"],
+                )
+
+    schema = StructType([books.schema[id_col], StructField("sheet", StringType()), StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("value", StringType())])
+    return books.select(id_col, "content").mapInArrow(cells, schema)
+
+
 def write_json(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 

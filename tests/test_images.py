@@ -108,3 +108,18 @@ def test_cleaned_in_order(spark):
     assert sorted(r["g"] is None for r in rows) == [False, False, True]
     for r in rows:
         assert r["w"] == 16 and (r["g"] is None or np.array_equal(np.array(r["g"]), want))
+
+
+def test_workbook_cells_with_repeated_and_null_ids(spark):
+    from bidloom.sources import exports
+
+    rows = spark.range(3).select(F.when(F.col("id") < 2, 7).alias("job"), F.col("id"))
+    empty = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    text = ("nha_cung_cap", "so_bao_gia", "ngay_bao_gia", "khach_hang", "don_vi_tien", "dieu_kien_thanh_toan", "thoi_gian_giao_hang", "bao_hanh")
+    money = [F.lit(None).cast("double").alias(n) for n in ("tong_chua_vat", "thue_vat_tien", "tong_sau_vat", "thue_vat_pct")]
+    item = F.from_json(F.concat(F.lit('{"ten_sp": "a & b", "confidence": 0.5, "so_luong": '), F.col("id").cast("string"), F.lit("}")), "ma_sp string, stt int, ten_sp string, dvt string, so_luong double, don_gia double, thanh_tien double, chiet_khau_pct double, ghi_chu string, confidence double")
+    docs = rows.select("job", *empty(*text), *money, F.array(item).alias("items"))
+    cells = exports.workbook_cells(exports.workbooks(docs, "job"), "job").where("sheet = 'Bảng Giá' AND row = 2").collect()
+    found = sorted((r["job"] or 0, r["col"], r["value"]) for r in cells if r["col"] in (1, 3, 5, 10))
+    assert found == sorted((j, c, v) for j, n in ((7, "0.0"), (7, "1.0"), (0, "2.0")) for c, v in ((1, "1"), (3, "a & b"), (5, n), (10, "50%")))
+    assert exports.workbook_cells(exports.workbooks(docs.limit(0), "job"), "job").count() == 0
