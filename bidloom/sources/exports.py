@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import io
+import re
+import struct
 import zipfile
-from collections.abc import Iterable
+import zlib
+from collections.abc import Callable, Iterable, Sequence
 from typing import BinaryIO
-from xml.sax.saxutils import escape
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape, unescape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,50 +96,97 @@ def summary_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def workbooks(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, content): for every document with items a workbook of an item sheet and a summary sheet, built where its row lies; ids may
     be null or repeat."""
-    import io
-
     import pyarrow as pa
 
     rows = docs.where(F.size("items") > 0).select(id_col, "items", summary_lines().alias("summary"))
 
+    def lists(column: pa.ListArray):
+        """The columns of a list of structs by name, and where each row begins and ends in them."""
+        flat = column.flatten()
+        ends = column.value_lengths().to_numpy().cumsum().tolist()
+        return {f.name: flat.field(k).to_pylist() for k, f in enumerate(flat.type)}, zip([0, *ends], ends, strict=False)
+
     def build(batches):
         for batch in batches:
             out = []
-            for items, summary in zip(batch.column(1), batch.column(2), strict=True):
-                cells = [[i["stt"] or k, i["ma_sp"], i["ten_sp"], i["dvt"], i["so_luong"], i["don_gia"], i["chiet_khau_pct"], i["thanh_tien"], i["ghi_chu"], f"{i['confidence']:.0%}"] for k, i in enumerate(items.as_py(), 1)]
+            (i, spans), (s, lines) = lists(batch.column(1)), lists(batch.column(2))
+            confidence = [f"{x:.0%}" for x in i["confidence"]]
+            items = list(zip(i["stt"], i["ma_sp"], i["ten_sp"], i["dvt"], i["so_luong"], i["don_gia"], i["chiet_khau_pct"], i["thanh_tien"], i["ghi_chu"], confidence, strict=True))
+            summary = list(zip(s["label"], s["value"], strict=True))
+            for (a, b), (c, d) in zip(spans, lines, strict=True):
+                cells = [(x[0] or k, *x[1:]) for k, x in enumerate(items[a:b], 1)]
                 file = io.BytesIO()
-                write_xlsx(file, [("Bảng Giá", [list(SHEET_COLUMNS), *cells]), ("Tóm Tắt", [["Thông tin", "Giá trị"], *([r["label"], r["value"]] for r in summary.as_py())])])
+                write_xlsx(file, [("Bảng Giá", [SHEET_COLUMNS, *cells]), ("Tóm Tắt", [("Thông tin", "Giá trị"), *summary[c:d]])])
                 out.append(file.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "content"])
 
     return rows.mapInArrow(build, StructType([docs.schema[id_col], StructField("content", BinaryType())]))
 
 
+#: The namespace of sheets, and sheets as ``write_xlsx`` makes them: those are read without a parser of all XML.
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_ATTRIBUTES = r'(?: [A-Za-z:]+="[^"<>&\x00-\x1f]*")*'
+_TEXT = r"[^<>&\x00-\x08\x0b-\x1f\ufffd-\uffff]*(?:&(?:lt|gt|amp|quot|apos);[^<>&\x00-\x08\x0b-\x1f\ufffd-\uffff]*)*"
+_PLAIN_SHEET = re.compile(
+    rf'<\?xml version="1\.0" encoding="UTF-8"\?><worksheet xmlns="{re.escape(_MAIN)}"><cols>(?:<col{_ATTRIBUTES}/>)*</cols><sheetData>'
+    rf"(?:<row{_ATTRIBUTES}>(?:<c{_ATTRIBUTES}>(?:<v>{_TEXT}</v>|<is><t{_ATTRIBUTES}>{_TEXT}</t></is>)</c>)*</row>)*</sheetData></worksheet>"
+)
+_PLAIN_CELL = re.compile(r"<(?:v|t(?: [^>]*)?)>([^<]*)<")
+
+
+@functools.lru_cache(maxsize=64)
+def _sheet_names(workbook: bytes) -> list[str]:
+    return [sheet.get("name") for sheet in ElementTree.fromstring(workbook).iter(f"{{{_MAIN}}}sheet")]
+
+
+def _sheet_rows(sheet: bytes) -> Iterable[list[str]]:
+    """The texts of a sheet's cells, row by row."""
+    text = sheet.decode("utf-8", "replace")
+    if _PLAIN_SHEET.fullmatch(text):
+        plain = lambda x: x if "&" not in x else unescape(x, {"&quot;": '"', "&apos;": "'"})
+        return ([plain(x) for x in _PLAIN_CELL.findall(row)] for row in text.split("<row")[1:])
+    return (["".join(cell.itertext()) for cell in row] for row in ElementTree.fromstring(sheet).iter(f"{{{_MAIN}}}row"))
+
+
+#: Cells that a worker holds before it hands them on.
+CELLS_AT_ONCE = 100_000
+
+
 def workbook_cells(books: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, sheet, row, col, value): the cells of workbooks (id, content) as texts, from 1; empty cells are empty texts.
 
     Each file is read where its row lies; ids may be null or repeat.
     """
-    import io
-    from xml.etree import ElementTree
-
     import pyarrow as pa
 
-    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
     def sheets(content: bytes):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for k, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet"), 1):
-                yield sheet.get("name"), ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{main}row")
+        parts = _unzipped(content)
+        for k, name in enumerate(_sheet_names(parts("xl/workbook.xml")), 1):
+            yield name, _sheet_rows(parts(f"xl/worksheets/sheet{k}.xml"))
 
     def cells(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = [(name, r, c, "".join(cell.itertext())) for name, rows in sheets(batch.column(1)[i].as_py()) for r, row in enumerate(rows, 1) for c, cell in enumerate(row, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch.column(0)[i], len(found)), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string())))],
-                    names=[id_col, "sheet", "row", "col", "value"],
-                )
+            at, names, rows, cols, values = found = [], [], [], [], []
+
+            def told():
+                arrays = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(names, pa.string()), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(values, pa.string())]  # noqa: B023
+                for x in found:  # noqa: B023
+                    x.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=[id_col, "sheet", "row", "col", "value"])
+
+            for i, content in enumerate(batch.column(1).to_pylist()):
+                before = len(values)
+                for name, found_lines in sheets(content):
+                    for r, texts in enumerate(found_lines, 1):
+                        n = len(texts)
+                        values += texts
+                        cols += range(1, n + 1)
+                        rows += [r] * n
+                        names += [name] * n
+                at += [i] * (len(values) - before)
+                if len(values) >= CELLS_AT_ONCE:
+                    yield told()
+            yield told()
 
     schema = StructType([books.schema[id_col], StructField("sheet", StringType()), StructField("row", IntegerType()), StructField("col", IntegerType()), StructField("value", StringType())])
     return books.select(id_col, "content").mapInArrow(cells, schema)
@@ -147,29 +200,94 @@ def column_width(longest: int) -> int:
     return min(longest + 4, 50)
 
 
-def _sheet(rows: list[list], widths: list[int]) -> str:
+def _escaped(text: str) -> str:
+    return escape(text) if "&" in text or "<" in text or ">" in text else text
+
+
+def _sheet(rows: Sequence[Sequence], widths: list[int]) -> str:
     cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
     body = []
     for r, row in enumerate(rows, 1):
         style = 1 if r == 1 else 2 if r % 2 == 0 else 0
-        cells = "".join(f'<c s="{style}"><v>{v}</v></c>' if isinstance(v, int | float) else f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v or ""))}</t></is></c>' for v in row)
+        number, text = f'<c s="{style}"><v>', f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">'
+        cells = "".join([f"{text}{_escaped(v)}</t></is></c>" if type(v) is str else f"{number}{v}</v></c>" if isinstance(v, (int, float)) else f"{text}{escape(str(v or ''))}</t></is></c>" for v in row])
         body.append(f'<row r="{r}">{cells}</row>')
     return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cols>{cols}</cols><sheetData>{"".join(body)}</sheetData></worksheet>'
 
 
-def write_xlsx(path: str | BinaryIO, sheets: Iterable[tuple[str, list[list]]]) -> None:
-    """A workbook of one document: header fill, striped rows, widths by the longest text. One document's rows only."""
-    sheets = list(sheets)
-    ns = "http://schemas.openxmlformats.org"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+@functools.lru_cache(maxsize=64)
+def _frame(names: tuple[str, ...]) -> bytes:
+    """A workbook of sheets of these names, but without the sheets: what all such workbooks share."""
+    ns, numbers = "http://schemas.openxmlformats.org", range(1, len(names) + 1)
+    file = io.BytesIO()
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in numbers)
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{ns}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{kinds}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{ns}/package/2006/relationships"><Relationship Id="r1" Type="{ns}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        names = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, (n, _) in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>')
-        rels = "".join(f'<Relationship Id="r{i}" Type="{ns}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+        sheets = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1))
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{ns}/spreadsheetml/2006/main" xmlns:r="{ns}/officeDocument/2006/relationships"><sheets>{sheets}</sheets></workbook>')
+        rels = "".join(f'<Relationship Id="r{i}" Type="{ns}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers)
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{ns}/package/2006/relationships">{rels}<Relationship Id="s" Type="{ns}/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
         z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{ns}/spreadsheetml/2006/main"><fonts count="1"><font/></fonts><fills count="4"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF4472C4"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="FFF2F2F2"/></patternFill></fill></fills><borders count="1"><border/></borders><cellXfs count="3"><xf/><xf fillId="2" applyFill="1"/><xf fillId="3" applyFill="1"/></cellXfs></styleSheet>')
-        for i, (_, rows) in enumerate(sheets, 1):
-            widths = [column_width(max((len(str(r[c])) for r in rows if r[c] is not None), default=0)) for c in range(len(rows[0]))]
-            z.writestr(f"xl/worksheets/sheet{i}.xml", _sheet(rows, widths))
+    return file.getvalue()
+
+
+#: Records of a ZIP file, little-endian: a part's head, its entry in the directory, the directory's end.
+_PART, _ENTRY, _END = struct.Struct("<4s5H3L2H"), struct.Struct("<4s6H3L5H2L"), struct.Struct("<4s4H2LH")
+
+
+def _with_parts(frame: bytes, parts: dict[str, bytes]) -> bytes:
+    """The ZIP file with deflated parts put behind those it has, whose bytes and entries are taken over as they are."""
+    _, _, _, _, n, length, start, _ = _END.unpack_from(frame, len(frame) - _END.size)
+    out, entries, at = [frame[:start]], [frame[start : start + length]], start
+    for name, data in parts.items():
+        title, packer = name.encode(), zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = packer.compress(data) + packer.flush()
+        told = (20, 0, 8, 0, 33, zlib.crc32(data), len(packed), len(data), len(title), 0)  # 33: the first day of 1980
+        out += [_PART.pack(b"PK\3\4", *told), title, packed]
+        entries += [_ENTRY.pack(b"PK\1\2", 20, *told, 0, 0, 0, 0, at), title]
+        at += _PART.size + len(title) + len(packed)
+    directory = b"".join(entries)
+    return b"".join([*out, directory, _END.pack(b"PK\5\6", 0, 0, n + len(parts), n + len(parts), len(directory), at, 0)])
+
+
+def _unzipped(content: bytes) -> Callable[[str], bytes]:
+    """Reads parts of a ZIP file by name: plain ones by their entries, since opening an archive takes longer than its parts; others by the library."""
+    entries, end = {}, len(content) - _END.size
+    if end >= 0 and content[end : end + 4] == b"PK\5\6":
+        _, _, _, _, n, _, at, _ = _END.unpack_from(content, end)
+        while len(entries) < n and content[at : at + 4] == b"PK\1\2":
+            _, _, _, flags, how, _, _, crc, packed, size, name, extra, note, _, _, _, start = _ENTRY.unpack_from(content, at)
+            at += _ENTRY.size
+            plain = how == 8 and not flags & 1 and max(packed, size, start) < 0xFFFFFFFF
+            entries[content[at : at + name].decode("utf-8", "replace")] = (start, packed, crc) if plain else None
+            at += name + extra + note
+
+    def read(name: str) -> bytes:
+        if entries.get(name) is None:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                return z.read(name)
+        start, packed, crc = entries[name]
+        *_, title, extra = _PART.unpack_from(content, start)
+        start += _PART.size + title + extra
+        data = zlib.decompress(content[start : start + packed], -15)
+        if zlib.crc32(data) != crc:
+            raise zipfile.BadZipFile(f"bad checksum of {name}")
+        return data
+
+    return read
+
+
+def write_xlsx(path: str | BinaryIO, sheets: Iterable[tuple[str, Sequence[Sequence]]]) -> None:
+    """A workbook of one document: header fill, striped rows, widths by the longest text. One document's rows only."""
+    sheets = list(sheets)
+    parts = {}
+    for i, (_, rows) in enumerate(sheets, 1):
+        widths = [column_width(max([len(str(v)) for v in column if v is not None], default=0)) for column in zip(*rows, strict=True)]
+        parts[f"xl/worksheets/sheet{i}.xml"] = _sheet(rows, widths).encode()
+    content = _with_parts(_frame(tuple(n for n, _ in sheets)), parts)
+    if isinstance(path, str):
+        with open(path, "wb") as f:
+            f.write(content)
+    else:
+        path.write(content)
