@@ -77,10 +77,15 @@ def json_region(c: Column) -> Column:
 
 
 def job_id(path: Column) -> Column:
-    """Eleven hex digits that a path determines."""
+    """Eleven hex digits that a path determines, as the reference shows them; of some million paths two may share them."""
     return F.substring(F.sha2(path, 256), 1, 11)
 
 
+def job_key(path: Column) -> Column:
+    """32 hex digits that a path determines: no two paths of any collection share them."""
+    return F.substring(F.sha2(path, 256), 1, 32)
+
+
 def prompt(text: Column, filename: Column, number: Column, total: Column) -> Column:
     """User part of the request for one chunk; the chunk's number only where there is more than one."""
     note = F.when(total > 1, F.concat(F.lit(" (trang "), number.cast("string"), F.lit("/"), total.cast("string"), F.lit(")"))).otherwise("")

@@ -21,7 +21,7 @@ def intake(spark: SparkSession, folder: str, pattern: str = "*", limit_mb: int =
     within = F.col("length") <= limit_mb * 1048576
 
     def rows(chosen: DataFrame, mime: Column) -> DataFrame:
-        return chosen.select("path", name.alias("name"), "length", mime.alias("mime"), (T.allowed(name) & T.small_enough(F.col("length"), limit_mb)).alias("admitted"), T.job_id(F.col("path")).alias("job_id"))
+        return chosen.select("path", name.alias("name"), "length", mime.alias("mime"), (T.allowed(name) & T.small_enough(F.col("length"), limit_mb)).alias("admitted"), T.job_key(F.col("path")).alias("job_id"))
 
     return rows(files.where(within), T.mime_type(name, F.col("content"))).unionByName(rows(files.where(~within), T.mime_type(name)))
 

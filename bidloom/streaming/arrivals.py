@@ -36,7 +36,8 @@ def admission(filename: Column, size: Column, options: Options) -> Column:
 
 
 def upload_id(filename: Column, uploaded_at: Column) -> Column:
-    return T.job_id(F.concat_ws("|", filename, uploaded_at.cast("timestamp").cast("double").cast("string")))
+    """Names a job wherever jobs meet, so it must not be shared by two uploads."""
+    return T.job_key(F.concat_ws("|", filename, uploaded_at.cast("timestamp").cast("double").cast("string")))
 
 
 def receipts(uploads: DataFrame, options: Options, most: int = 30, seconds: float = 60.0) -> DataFrame:

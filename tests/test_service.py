@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom.operators import cascade, documents, joblog, jobs, ordered, polygons, progress, raster, tables
+from bidloom.functions import text as T
 from bidloom.options import Options
 from bidloom.plans.service import Flaky
 from bidloom.sources import providers, storage
@@ -123,6 +124,18 @@ def test_arrivals_end_once_each_after_a_restart(spark, tmp_path, monkeypatch):
     assert log.read().count() == 11
 
 
+def test_two_uploads_whose_short_ids_are_equal(spark, tmp_path):
+    """The first eleven digits of these two are the same (found among 7.6 million); each must end as a job of its own."""
+    root, keys = str(tmp_path / "service"), (2265304, 3469960)
+    pair = spark.createDataFrame([(f"quote {k}.pdf", f"item {k} | 5".encode(), k) for k in keys], "filename string, content binary, at long").select("filename", "content", F.timestamp_seconds("at").alias("uploaded_at"))
+    short = T.job_id(F.concat_ws("|", "filename", F.col("uploaded_at").cast("double").cast("string")))
+    assert pair.select(short).distinct().count() == 1
+    arrivals.save(pair, root, bundles=2)
+    arrivals.run(arrivals.landed(spark, root), root, ask).awaitTermination()
+    found = joblog.JobLog(spark, f"{root}/jobs").read().collect()
+    assert sorted((r["filename"], r["status"]) for r in found) == [(f"quote {k}.pdf", "done") for k in keys]
+
+
 def test_files_dropped_into_a_folder(spark, tmp_path):
     drop, root = tmp_path / "in", str(tmp_path / "service")
     drop.mkdir()
