@@ -26,17 +26,16 @@ WITH l AS (SELECT l_orderkey AS k, {_CELLS} AS cells, row_number() OVER (PARTITI
 SELECT k AS doc_id, 1::INT AS table_no, n::INT AS row_no, 'Item no/Qty/Flag' AS header, array_to_string(cells, '/') AS cells FROM l""")
 def tables_from_boxes(s: SparkSession, d: str) -> DataFrame:
     """Order lines drawn as words on a page, a title and a closing line around them; the cells come back, empty ones too."""
-    part = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
-    flags = F.concat_ws(" ", "l_returnflag", "l_linestatus")
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.array(part, F.col("l_quantity").cast("long").cast("string"), flags).alias("cells"))
+    part = lambda x: F.when(x["l_linenumber"] % 3 == 0, "").otherwise(F.concat(F.lit("part "), x["l_partkey"].cast("string")))
+    cells = lambda x: F.array(part(x), x["l_quantity"].cast("long").cast("string"), F.concat_ws(" ", x["l_returnflag"], x["l_linestatus"]))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
     rows = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    grid = F.concat(F.array(F.array(F.lit("Item no"), F.lit("Qty"), F.lit("Flag"))), F.transform("lines", lambda x: x["cells"]))
+    grid = F.concat(F.array(F.array(F.lit("Item no"), F.lit("Qty"), F.lit("Flag"))), F.transform("lines", cells))
     n = F.size("lines")
     boxes = F.flatten(F.flatten(F.transform(grid, lambda r, i: F.transform(r, lambda c, j: _boxed(j * 100 + 10, i * 12 + 40, c)))))
     title = _boxed(F.lit(10), F.lit(10), F.lit("Quotation of all items"))
     closing = _boxed(F.lit(10), n * 12 + 70, F.lit("Thank you"))
-    words = rows.select("doc_id", F.inline(F.concat(title, boxes, closing)))
-    found = tables.from_boxes(words, ["doc_id"])
+    found = tables.from_pages(rows.select("doc_id", F.concat(title, boxes, closing).alias("words")), ["doc_id"])
     return found.select("doc_id", "table_no", "row_no", F.array_join("header", "/").alias("header"), F.array_join("cells", "/").alias("cells"))
 
 

@@ -369,6 +369,48 @@ def test_tables_come_back_from_scattered_boxes(spark):
     assert got == [(1, 1, 1, head, ("big bolt", "", "12")), (1, 1, 2, head, ("", "7", "1 000")), (1, 1, 3, head, ("nut", "8", "")), (1, 2, 1, ("A", "B"), ("1", "2"))]
 
 
+def plain_islands(rows, start, end, gap):
+    """The rows, dealt into islands along one axis."""
+    out, reached = [], None
+    for w in sorted(rows, key=lambda w: (w[start], w[end])):
+        if reached is None or w[start] - reached >= gap:
+            out.append([])
+        out[-1].append(w)
+        reached = w[end] if reached is None else max(reached, w[end])
+    return out
+
+
+def plain_tables(words, cell_gap=8.0):
+    lines = [plain_islands(line, 0, 1, cell_gap) for line in plain_islands(words, 2, 3, 0.0)]
+    runs = [[]]
+    for line in lines:
+        runs[-1].append([w for piece in line for w in piece]) if len(line) > 1 else runs.append([])
+    found = []
+    for run in runs:
+        columns = plain_islands([w for line in run for w in line], 0, 1, cell_gap)
+        if len(run) > 1 and len(columns) > 1:
+            found.append([[" ".join(w[4] for w in sorted((w for w in line if w in c), key=lambda w: (w[0], w[4]))) for c in columns] for line in run])
+    return [(t, r, rows[0], row) for t, rows in enumerate(found, 1) for r, row in enumerate(rows[1:], 1)]
+
+
+def test_tables_of_random_pages_equal_plain_python(spark):
+    """Pages lie in a row each: their plan has no window, and no exchange beside that of the words."""
+    r = random.Random(9)
+    pages = {}
+    for doc in range(60):
+        word = lambda: (float(x := r.randrange(0, 300, 6)), x + r.choice((5.0, 20.0)), float(y := r.randrange(0, 200, 11)), y + r.choice((9.0, 9.0, 9.0, 13.0)), f"w{r.randrange(1000)}")  # noqa: B023, E731
+        pages[doc] = [word() for _ in range(r.randrange(0, 60))]
+    schema = "doc int, words array<struct<x0:double,x1:double,y0:double,y1:double,text:string>>"
+    whole = spark.createDataFrame([*pages.items(), (None, None)], schema)
+    want = sorted((d, *t) for d, ws in pages.items() for t in plain_tables(ws))
+    boxes = tables.from_boxes(whole.select("doc", F.inline("words")), ["doc"])
+    for found in (tables.from_pages(whole, ["doc"]), boxes):
+        assert sorted((x["doc"], x["table_no"], x["row_no"], x["header"], x["cells"]) for x in found.collect()) == want
+    plan = boxes.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    assert len(want) > 50
+
+
 @pytest.mark.parametrize("rows", [[["a", "bb"], ["ccc", ""], ["", "d"]], [["x"], ["yy"]], [["Tên", "Giá"], ["Ống thép", "12.000"]]])
 def test_aligned_text_equals_a_frames_text(spark, rows):
     got = spark.createDataFrame([(rows,)], "r array<array<string>>").select(tables.aligned(F.col("r"))).first()[0]
