@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: all Unicode white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_ws(c: Column) -> Column:
-    """Unicode white space off both ends (Spark's trim takes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Unicode white space off both ends (Spark's trim takes spaces only); what lies between is not searched."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def safe_money(c: Column) -> Column:

@@ -19,32 +19,31 @@ ITEMS = f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def _once(df: DataFrame, keep: str, *columns: Column) -> DataFrame:
-    """The columns beside those kept, from a generator of one row: filters above it do not copy what it computes."""
-    return df.select(keep, F.inline(F.array(F.struct(*columns))))
+    """The columns beside those kept, handed on by a generator of one row: filters above it do not copy what was computed below it.
 
-
-def _field(v: Column, name: str) -> Column:
-    """A field as ``v``, its value, ``j``, its JSON (whose first character tells its kind; null where it is missing), and ``t``, its text."""
-    path = f"$.{name}"
-    value = F.variant_get(v, path, "variant")
-    return F.struct(value.alias("v"), F.to_json(value).alias("j"), F.try_variant_get(v, path, "string").alias("t"))
+    They are computed below it, as a generator's own expressions are interpreted.
+    """
+    made = df.select(keep, *columns)
+    if keep == "*":
+        return made.select("*")
+    return made.select(keep, F.inline(F.array(F.struct(*[c for c in made.columns if c != keep]))))
 
 
-def _too_large(field: Column) -> Column:
-    """Whether it is a number beyond all doubles, which JSON gives in quotes like a text."""
-    return field["j"].isin('"Infinity"', '"-Infinity"') & (F.schema_of_variant(field["v"]) != "STRING")
+def _field(v: Column) -> Column:
+    """A field's value as ``k``, its kind (null where it is missing), and ``t``, its text; both are taken from the value once."""
+    return F.struct(F.schema_of_variant(v).alias("k"), F.try_variant_get(v, "$", "string").alias("t"))
 
 
 def _is_text(field: Column) -> Column:
-    return field["j"].startswith('"') & ~_too_large(field)
+    return field["k"] == "STRING"
 
 
 def _is_number(field: Column) -> Column:
-    return field["j"].rlike("^[-0-9]") | _too_large(field)
+    return (field["k"] == "BIGINT") | (field["k"] == "DOUBLE") | field["k"].startswith("DECIMAL")
 
 
 def _text_or_none(field: Column) -> Column:
-    return F.coalesce(_is_text(field) | (field["j"] == "null"), F.lit(True))
+    return F.coalesce(_is_text(field) | (field["k"] == "VOID"), F.lit(True))
 
 
 def _money(field: Column) -> Column:
@@ -54,15 +53,15 @@ def _money(field: Column) -> Column:
 
 def _stt(field: Column) -> Column:
     whole = F.regexp_replace(field["t"], "[.]0+$", "").try_cast("int")
-    return F.when(_is_number(field) | _is_text(field), whole).when(field["j"] == "true", 1).when(field["j"] == "false", 0)
+    return F.when(_is_number(field) | _is_text(field), whole).when(field["k"] == "BOOLEAN", F.when(field["t"] == "true", 1).otherwise(0))
 
 
 def _confidence(field: Column) -> Column:
-    return F.when(field["j"].isNull(), 0.8).when(_is_number(field) | _is_text(field), field["t"].try_cast("double"))
+    return F.when(field["k"].isNull(), 0.8).when(_is_number(field) | _is_text(field), field["t"].try_cast("double"))
 
 
 def _good_item(i: Column) -> Column:
-    stt_ok = F.coalesce(i["stt"]["j"] == "null", F.lit(True)) | _stt(i["stt"]).isNotNull()
+    stt_ok = F.coalesce(i["stt"]["k"] == "VOID", F.lit(True)) | _stt(i["stt"]).isNotNull()
     named = _is_text(i["ten_sp"]) & (i["ten_sp"]["t"] != "")
     good = named & stt_ok & _confidence(i["confidence"]).between(0, 1)
     for f in ("ma_sp", "dvt", "ghi_chu"):
@@ -87,22 +86,25 @@ def parse_replies(replies: DataFrame, id_col: str = "doc_id", reply_col: str = "
     field, gives an empty document in VND; a bad item is left out alone, and so is one with an empty name. Each reply is read within
     its own row, so ids may be null or repeat and nothing is shuffled."""
     region = _once(replies, id_col, json_region(F.col(reply_col)).alias("_j"))
-    # both wraps parse only where nothing trails the value
-    value = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"d":'), "_j", F.lit("}"))), "$.d", "variant")
-    alone = F.try_parse_json(F.concat(F.lit("["), "_j", F.lit("]"))).isNotNull()
-    strict = _once(region, id_col, F.when(alone & F.col("_j").rlike(r"^\s*\{"), value).alias("_v"))
-    v = F.col("_v")
-    heads = [_field(v, f).alias(f) for f in (*TEXT_FIELDS, *MONEY_FIELDS, "don_vi_tien")]
-    has_items = F.variant_get(v, "$.items", "variant").isNotNull().alias("_has_items")
-    fields = _once(strict, id_col, v.isNotNull().alias("_ok"), *heads, has_items, F.try_variant_get(v, "$.items", "array<variant>").alias("_items"))
-    good = F.col("_ok") & (~F.col("_has_items") | F.col("_items").isNotNull()) & F.coalesce(_is_text(F.col("don_vi_tien")), F.lit(True))
+    # both wraps parse only where nothing trails the value; the second one is only gone through
+    value = F.try_parse_json(F.concat(F.lit('{"d":'), "_j", F.lit("}")))
+    alone = F.json_array_length(F.concat(F.lit("["), "_j", F.lit("]"))) == 1
+    strict = _once(region, id_col, F.when(F.col("_j").rlike(r"^\s*\{") & alone, value).alias("_v"))
+    heads = (*TEXT_FIELDS, *MONEY_FIELDS, "don_vi_tien")
+    # one walk over the value, whose fields stay what they are; what is no object in the list of items is null
+    parts = ", ".join([*(f"{f}: variant" for f in heads), f"items: array<struct<{', '.join(f'{f}: variant' for f in ITEM_FIELDS)}>>"])
+    read = _once(strict, id_col, "_v", F.try_variant_get("_v", "$.d", f"struct<{parts}>").alias("_d"))
+    d = F.col("_d")
+    no_items = F.variant_get("_v", "$.d.items", "variant").isNull()
+    fields = _once(read, id_col, d.isNotNull().alias("_ok"), *[_field(d[f]).alias(f) for f in heads], (d["items"].isNotNull() | no_items).alias("_items_ok"), d["items"].alias("_items"))
+    good = F.col("_ok") & F.col("_items_ok") & F.coalesce(_is_text(F.col("don_vi_tien")), F.lit(True))
     for f in TEXT_FIELDS:
         good = good & _text_or_none(F.col(f))
     checked = _once(fields, "*", good.alias("_good"))
     ok = lambda c: F.when(F.col("_good"), c)
-    raw = F.transform(ok(F.col("_items")), lambda i: F.struct(*[_field(i, f).alias(f) for f in ITEM_FIELDS]))
-    read = F.transform(F.transform(F.filter(raw, _good_item), _item), _with_money)
-    repaired = F.transform(read, lambda i: i.withField("thanh_tien", repaired_total(i["so_luong"], i["don_gia"], i["thanh_tien"])))
+    raw = F.transform(ok(F.col("_items")), lambda i: F.struct(*[_field(i[f]).alias(f) for f in ITEM_FIELDS]))
+    items = F.transform(F.transform(F.filter(raw, _good_item), _item), _with_money)
+    repaired = F.transform(items, lambda i: i.withField("thanh_tien", repaired_total(i["so_luong"], i["don_gia"], i["thanh_tien"])))
     return _once(
         checked,
         id_col,
