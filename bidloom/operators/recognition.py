@@ -88,6 +88,25 @@ def page_words(words: DataFrame, page: str, order: str, word: str, confidence: s
     return kept.groupBy(page).agg(F.count("*").alias("n_words"), (F.sum(confidence).cast("double") / F.count("*") / 100).alias("confidence"), text.alias("text"))
 
 
+def page_word_lists(pages: DataFrame, page: str, words: str, order: str = "i", word: str = "w", confidence: str = "c") -> DataFrame:
+    """The same from pages with an array of words: each row's words are sifted and summed where they lie, and only a page's row is
+    shuffled, not its words. Rows of one page are put together; a page without a word that counts gives no row."""
+    kept = pages.select(page, F.filter(words, lambda x: word_kept(x[word], x[confidence])).alias("_kept")).where(F.size("_kept") > 0)
+    total = F.aggregate("_kept", F.lit(0).cast("double"), lambda n, x: n + x[confidence])
+    placed = F.sort_array(F.transform("_kept", lambda x: F.struct(x[order].alias(order), x[word].alias(word))))
+    part = kept.select(page, F.size("_kept").cast("long").alias("_n"), total.alias("_sum"), placed.alias("_words"))
+    # words travel as one text, with marks between them that no word holds unmasked, and their places beside it
+    masked = lambda w: F.replace(F.replace(w, F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    unmasked = lambda w: F.replace(F.replace(w, F.lit("\x01\x01"), F.lit("\x00")), F.lit("\x01\x02"), F.lit("\x01"))
+    text = F.array_join(F.transform("_words", lambda x: masked(x[word])), "\x00")
+    part = part.select(page, "_n", "_sum", F.struct(F.transform("_words", lambda x: x[order]).alias("at"), text.alias("text")).alias("_part"))
+    whole = part.groupBy(page).agg(F.sum("_n").alias("n_words"), F.sum("_sum").alias("_sum"), F.collect_list("_part").alias("_parts"))
+    apart = lambda p: F.arrays_zip(p["at"].alias("i"), F.split(p["text"], "\\x00", -1).alias("w"))
+    merged = F.array_join(F.transform(F.sort_array(F.flatten(F.transform("_parts", apart))), lambda x: unmasked(x["w"])), " ")
+    joined = F.when(F.size("_parts") == 1, unmasked(F.replace(F.get("_parts", F.lit(0))["text"], F.lit("\x00"), F.lit(" ")))).otherwise(merged)
+    return whole.select(page, "n_words", (F.col("_sum") / F.col("n_words") / 100).alias("confidence"), joined.alias("text"))
+
+
 def vision_confidence(text: Column) -> Column:
     return F.when(F.char_length(text) > 20, 0.85).otherwise(0.3)
 

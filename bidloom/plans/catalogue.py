@@ -574,8 +574,9 @@ def page_text(s, d):
 @register("""SELECT doc_id, count(*) AS n_words, sum(c)::DOUBLE / count(*) / 100 AS confidence, string_agg(w, ' ' ORDER BY i) AS text FROM
 (SELECT doc_id, i, w, (doc_id + i * 7) % 100 AS c FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents))) WHERE c > 0 AND trim(w) <> '' GROUP BY 1""")
 def ocr_words(s, d):
-    words = read(s, d, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", "\n", " "), " ", -1)).alias("i", "w")).withColumn("i", F.col("i") + 1)
-    return recognition.page_words(words.withColumn("c", (F.col("doc_id") + F.col("i") * 7) % 100), "doc_id", "i", "w", "c")
+    words = F.split(F.translate("text", "\n", " "), " ", -1)
+    seen = F.transform(words, lambda w, i: F.struct((i + 1).alias("i"), w.alias("w"), ((F.col("doc_id") + (i + 1) * 7) % 100).alias("c")))
+    return recognition.page_word_lists(read(s, d, "documents").select("doc_id", seen.alias("words")), "doc_id", "words")
 
 
 _ENGINE = "CASE event_type WHEN 'view' THEN 'paddleocr' WHEN 'click' THEN 'easyocr' WHEN 'purchase' THEN 'tesseract' WHEN 'signup' THEN 'gemini_vision' END"
