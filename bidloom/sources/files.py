@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -73,6 +74,12 @@ def _objects(content: bytes) -> dict[int, bytes]:
     return found
 
 
+@functools.lru_cache(maxsize=256)
+def _font(wide: bool, table: bytes) -> _Font:
+    """Fonts are not changed once they are made, and many files share one."""
+    return _Font(wide, table)
+
+
 class _Font:
     """How a font's codes read: two bytes each or one, by its table of Unicode texts, else as Latin-1."""
 
@@ -88,6 +95,8 @@ class _Font:
                     self.chars |= {int(a, 16) + i: text(h) for i, h in enumerate(re.findall(rb"<([0-9A-Fa-f]*)>", many))}
                 else:
                     self.ranges.append((int(a, 16), int(b, 16), bytes.fromhex(to.decode())))
+        # two-byte codes that all stand for themselves are read at once
+        self.as_is = wide and not self.chars and all(len(to) == 2 and int.from_bytes(to, "big") == a for a, _, to in self.ranges)
 
     def _char(self, code: int) -> bytes:
         if code in self.chars:
@@ -95,9 +104,12 @@ class _Font:
         for a, b, to in self.ranges:
             if a <= code <= b:
                 return to[:-2] + (int.from_bytes(to[-2:], "big") + code - a & 0xFFFF).to_bytes(2, "big")
+
         return (code & 0xFFFF).to_bytes(2, "big")
 
     def read(self, raw: bytes) -> str:
+        if self.as_is and len(raw) % 2 == 0:
+            return raw.decode("utf-16-be", "replace")
         step = 2 if self.wide else 1
         codes = (int.from_bytes(raw[i : i + step], "big") for i in range(0, len(raw), step))
         # code units are put together before they are read, as a pair of them may be one character
@@ -112,7 +124,7 @@ def _fonts(objects: dict[int, bytes]) -> dict[bytes, _Font]:
             font = objects.get(int(n), b"")
             if name not in out and re.search(rb"/Type\s*/Font\b", font):
                 table = re.search(rb"/ToUnicode\s+(\d+)", font)
-                out[name] = _Font(b"/Type0" in font, _body(objects.get(int(table.group(1)), b"")) if table else b"")
+                out[name] = _font(b"/Type0" in font, _body(objects.get(int(table.group(1)), b"")) if table else b"")
     return out
 
 
