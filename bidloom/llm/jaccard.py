@@ -16,7 +16,7 @@ sequence where there are fewer words). Documents link when 100 * |intersection|
    into cells of about ``CELL`` groups. In each later round a group outside a run's largest component asks some further cells,
    ``GROWTH`` times as many as in the round before; what it meets there within both reaches are the group pairs.
    They are expanded to pairs of classes, each asked once: parity sketches, whose differing bits bound the sets' difference from
-   below, then whole sets. Links merge into components. A group waits no more when it lies in the largest component of its run or
+   below, then whole sets. Links merge into components, each task's links to stars first. A group waits no more when it lies in the largest component of its run or
    has asked all cells; when none waits, no link between different components can be missed. So a group of thousands of near
    copies costs a star and a few questions for each member that the star leaves out, not all its pairs.
 
@@ -42,6 +42,8 @@ HEAVY_LEAST, HEAVY_MOST, BUFFER = 6, 200_000, 3_000_000
 CELL, FIRST_CELLS, GROWTH = 8, 1, 8
 #: Candidate ids that are broadcast at most (8 bytes each); beyond this they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Links that a task merges, on average (16 bytes each).
+LINKS = 200_000
 
 
 def shingles(text: str) -> np.ndarray:
@@ -238,8 +240,60 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def components(links: DataFrame, files: int) -> tuple[DataFrame, int]:
-    """(cid, comp), the least id reachable by links, for every id that has a link, and their number; minimum labels with pointer jumping."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer pairs with the same components: each end with the least of its component."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ends))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        # a label's own label falls too, so that whole trees move at once
+        for x in (i, j, label[i], label[j]):
+            np.minimum.at(new, x, low)
+        while (label := new[new]).tolist() != new.tolist():
+            new = label
+        if (label[i] == label[j]).all():
+            break
+    kept = label != np.arange(len(ends))
+    return ends[label[kept]], ends[kept]
+
+
+def _stars(links: DataFrame, tasks: int) -> DataFrame:
+    """(cid, comp): each end of a task's links with the least of its component there."""
+
+    def rows(batches):
+        a = b = np.empty(0, np.int64)
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in (0, 1)])
+            size += batch.num_rows
+            if size > LINKS:
+                a, b = forest(*map(np.concatenate, zip((a, b), *held, strict=True)))
+                held, size = [], 0
+        a, b = forest(*map(np.concatenate, zip((a, b), *held, strict=True)))
+        roots = np.unique(a)
+        yield {"cid": np.concatenate([roots, b]), "comp": np.concatenate([roots, a])}
+
+    return map_arrow(links.select("a", "b").coalesce(tasks), rows, "cid long, comp long")
+
+
+def as_links(labels: DataFrame) -> DataFrame:
+    """Links with the components that the labels tell."""
+    return labels.where("cid <> comp").select(F.col("comp").alias("a"), F.col("cid").alias("b"))
+
+
+def components(links: DataFrame, n_links: int, files: int) -> tuple[DataFrame, int]:
+    """(cid, comp), the least id reachable by links, for every id that has a link, and their number.
+
+    Each task merges its links, ``LINKS`` on average, to stars. Where one task holds them all, these are the components; where there
+    are more, the stars are merged by minimum labels with pointer jumping.
+    """
+    tasks = n_links // LINKS + 1
+    labels, rows = stage_counted(_stars(links, tasks), "labels")
+    if tasks == 1:
+        return labels, rows
+    links = as_links(labels)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels, rows = stage_counted(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("comp")).coalesce(files), "labels")
     while True:
@@ -333,7 +387,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     units = grouped.select(F.col("gid").alias("unit"), "cid").unionByName(grouped.where("classes > 1").select(F.col("cid").alias("unit"), "cid"))
     units = stage_table(units.join(runs.select("unit").distinct(), "unit", "left_semi"), "units")
 
-    labels, links, sets, asked, labelled = None, None, None, None, 0
+    labels, sets, asked, labelled, n_sets = None, None, None, 0, 0
     state, cells, met = runs.withColumn("done", F.lit(0)), FIRST_CELLS, _led(runs)
     while True:
         pairs = _expanded(met, units)
@@ -341,16 +395,18 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         asked = pairs if asked is None else asked.unionByName(pairs)
         near, n_near = stage_counted(_near(pairs, classes).coalesce(files), "near") if n_pairs else (pairs, 0)
         if n_near:
-            wanted = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
-            wanted = wanted if sets is None else wanted.join(sets.select("cid"), "cid", "left_anti")
-            wanted, n_wanted = stage_counted(classes.join(wanted, "cid").select(F.col("rep").alias("doc_id"), "v1", "v2", "cid").coalesce(files), "wanted")
+            ends = near.select(F.explode(F.array("a", "b")).alias("cid"))
+            wanted = classes.join(_small(ends, 2 * n_near), "cid", "left_semi")
+            wanted = wanted if sets is None else wanted.join(_small(sets.select("cid"), n_sets), "cid", "left_anti")
+            wanted, n_wanted = stage_counted(wanted.select(F.col("rep").alias("doc_id"), "v1", "v2", "cid").coalesce(files), "wanted")
             if n_wanted:
                 more = _sets(docs, wanted, n_wanted)
-                sets = more if sets is None else sets.unionByName(more)
+                sets, n_sets = more if sets is None else sets.unionByName(more), n_sets + n_wanted
             found, n_found = stage_counted(_verified(near, sets).coalesce(files), "found")
             if n_found:
-                links = found if links is None else links.unionByName(found)
-                labels, labelled = components(links, files)
+                # the labels so far stand for all links before
+                links = found if labels is None else found.unionByName(as_links(labels))
+                labels, labelled = components(links, n_found + labelled, files)
         now, n_now = stage_counted(_waiting(state, units, None if labels is None else _small(labels, labelled), min(cells, 1 << 30)).coalesce(files), "round")
         if not n_now:
             break
@@ -366,7 +422,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """(cid, set) of the classes asked for, from the text of their first documents."""
-    ids = _small(wanted.select("doc_id").distinct(), n_wanted)
+    ids = _small(wanted.select("doc_id"), n_wanted)
 
     def rows(batches):
         for batch in batches:

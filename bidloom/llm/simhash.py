@@ -15,7 +15,7 @@ where it is set in over half of the hashes. A text without words has the fingerp
    reached them. A fingerprint has at most 2,080 others within two bits, so pairs are linear in the distinct fingerprints; of
    those found a task keeps a spanning forest. A set that vantage points cannot split has a small diameter; if it is large all the
    same, the 2,080 neighbours of each resident are looked up instead.
-4. Components of the forests' edges by minimum labels with pointer jumping; a component's name is its least document id.
+4. Components of the forests' edges by forests of theirs, then minimum labels with pointer jumping; a component's name is its least document id.
 
 Null and empty texts have the fingerprint zero. Ids may be null or repeat: each row gives a row, a component whose rows have no id
 but null has a null component_id. Equal rows and equal texts are one class. Ties do not arise: the least id names a component.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept_in_worker, map_arrow, scalars, stage_counted, stage_table, table
-from .jaccard import components
+from .jaccard import components, forest
 
 WORDS, SEED, BITS = 3, 42, 2
 #: Fingerprints a shard holds on average; the sample has ``PER_SHARD`` a shard and at most ``SAMPLE`` (8 bytes each) in all.
@@ -170,25 +170,6 @@ def _compared(f: np.ndarray, resident: np.ndarray) -> tuple[np.ndarray, np.ndarr
 _MASKS = _masks()
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer pairs with the same components: each end with the least of its component."""
-    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ends))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        # a label's own label falls too, so that whole trees move at once
-        for x in (i, j, label[i], label[j]):
-            np.minimum.at(new, x, low)
-        while (label := new[new]).tolist() != new.tolist():
-            new = label
-        if (label[i] == label[j]).all():
-            break
-    kept = label != np.arange(len(ends))
-    return ends[label[kept]], ends[kept]
-
-
 def linked(f: np.ndarray, resident: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between the residents of a shard and all that reached it."""
     a, b, waiting = [], [], 0
@@ -255,7 +236,7 @@ def simhash_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     classes, n = stage_counted(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     edges, n_edges = stage_counted(links(classes.select("fp"), n), "links")
     if n_edges:
-        labels, _ = components(edges, 6 + n // 200_000)
+        labels, _ = components(edges, n_edges, 6 + n // 200_000)
         classes = classes.join(labels.withColumnRenamed("cid", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     else:
         classes = classes.withColumn("comp", F.col("fp"))

@@ -453,6 +453,23 @@ def test_jaccard_awkward(spark, awkward):
     assert jaccard.jaccard_components(awkward.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 100])
+def test_components_of_links(spark, monkeypatch, most):
+    """Links that one task merges take one write; more of them, in several tasks, give the same labels by minimum labels."""
+    r = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in r.integers(0, 700, (450, 2)) if a != b] + [(i, i + 1) for i in range(1000, 1060)]
+    comp = {x: x for ab in links for x in ab}
+    for a, b in links:
+        low, high = sorted((comp[a], comp[b]))
+        comp = {x: low if c == high else c for x, c in comp.items()}
+    writes, stage = [], jaccard.stage_counted
+    monkeypatch.setattr(jaccard, "LINKS", most)
+    monkeypatch.setattr(jaccard, "stage_counted", lambda *a: writes.append(a[1]) or stage(*a))
+    labels, n = jaccard.components(spark.createDataFrame(links, "a long, b long").repartition(6), len(links), 2)
+    assert {x["cid"]: x["comp"] for x in labels.collect()} == comp and n == len(comp)
+    assert (len(writes) == 1) == (most > len(links))
+
+
 def test_sketch_bounds_difference():
     r = np.random.default_rng(5)
     for _ in range(200):
