@@ -1,8 +1,7 @@
 """Image steps as Spark expressions: each image is a row with a flat array of gray values (0 to 255), row by row, and its width.
 
-Everything stays in the JVM. All steps but one are Column expressions on a row, so images spread over tasks as they lie; local
-contrast counts its histograms by partial aggregates over exploded pixels and joins a table of at most tiles² × 256 values an image
-back. The published algorithms; exact parity with a particular imaging library is not claimed. A null image gives null, an empty one
+Everything stays in the JVM. All steps are Column expressions on a row, so images spread over tasks as they lie; ``cleaned``, whose work
+is large for few bytes, deals them evenly first. The published algorithms; exact parity with a particular imaging library is not claimed. A null image gives null, an empty one
 an empty one; ids may be null or repeat, as no step asks for them. Widths may be numbers or columns.
 """
 
@@ -11,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .raster import any_glare, blur_variance, clamped, mirrored
@@ -156,61 +155,69 @@ def _bin(value: Column) -> Column:
     return F.floor(_byte(value) + 0.5).cast("int")
 
 
-def _curve(bins: Column, area: Column, excess: Column) -> Column:
-    """New values of the 256 gray values of a tile from the (bin, held) of those that it has: each gets its clipped running count and
-    its part of the excess, which is spread evenly, as a share of the tile."""
-    until = lambda i: F.coalesce(F.get(bins, i + 1)["bin"], F.lit(BINS))
-    held = F.flatten(F.transform(bins, lambda x, i: F.array_repeat(x["held"], until(i) - x["bin"])))
-    whole = F.concat(F.array_repeat(F.lit(0).cast("long"), F.get(bins, F.lit(0))["bin"]), held)
-    return F.transform(whole, lambda x, b: F.floor((x + F.floor((b + 1) * excess / BINS)) * 255 / area + 0.5).cast("int"))
+def _curves(g: Column, w: Column, height: Column, tiles: int, clip: float) -> Column:
+    """For each tile the clipped running count of its 256 gray values, its pixels and the excess to spread; null for a tile without
+    pixels. Pixels are sorted by tile and value once, so each tile is a slice."""
+    part = lambda k, n: F.floor(k * tiles / n).cast("int")
+    codes = F.sort_array(F.transform(g, lambda x, i: (part(F.floor(i / w), height) * tiles + part(i % w, w)) * BINS + _bin(x)))
+    begin = lambda k, n: F.ceil(k * n / F.lit(tiles)).cast("int")
 
+    def running(kept: Column, area: Column) -> Column:
+        first = F.filter(F.transform(kept, lambda x, i: F.when((i == 0) | (F.get(kept, i - 1) != x), F.struct(x.alias("bin"), i.alias("at")))), lambda x: x.isNotNull())
 
-def local_contrast(images: DataFrame, gray_col: str, width: Size, out_col: str, tiles: int = TILES, clip: float = CLIP) -> DataFrame:
-    """Adds ``out_col``: contrast-limited histogram equalisation over tiles × tiles parts, interpolated between their middles.
+        def counted(first: Column) -> Column:
+            of = lambda x, i: F.array_repeat(F.coalesce(F.get(first, i + 1)["at"], F.size(kept)), F.coalesce(F.get(first, i + 1)["bin"], F.lit(BINS)) - x["bin"])
+            held = F.concat(F.array_repeat(F.lit(0), F.get(first, F.lit(0))["bin"]), F.flatten(F.transform(first, of)))
+            return F.struct(held.alias("held"), area.alias("area"), (area - F.size(kept)).alias("excess"))
+
+        return bound(first, counted)
+
+    def clipped(bins: Column) -> Column:
+        most = F.greatest(F.lit(1), F.floor(clip * F.size(bins) / BINS).cast("int"))
+        # among sorted values one is past the limit if the value so many places before is the same
+        return bound(F.filter(bins, lambda x, i: (i < most) | (F.get(bins, i - most) != x)), lambda kept: running(kept, F.size(bins)))
+
+    def tile(codes: Column, t: Column) -> Column:
+        r, c = F.floor(t / tiles).cast("int"), t % tiles
+        r0, c0, rows, cols = begin(r, height), begin(c, w), begin(r + 1, height) - begin(r, height), begin(c + 1, w) - begin(c, w)
+        return F.when(rows * cols > 0, bound(F.transform(F.slice(codes, r0 * w + rows * c0 + 1, rows * cols), lambda x: x % BINS), clipped))
+
+    return bound(codes, lambda codes: F.transform(F.sequence(F.lit(0), F.lit(tiles * tiles - 1)), lambda t: tile(codes, t)))
 
-    Histograms are counted over all pixels by partial aggregates and named by 128 bits of the image's values, so equal images share
-    one. Images are shuffled once, to meet their curves.
-    """
-    w, gray = F.lit(width), F.col(gray_col)
-    named = images.withColumns({"_w": w.cast("int"), "_h": _height(gray, w)})
-    named = named.withColumns({"_k1": F.xxhash64(gray_col, "_w"), "_k2": F.xxhash64(F.lit(7), gray_col, "_w")})
-    pixels = named.select("_k1", "_k2", "_w", "_h", F.posexplode(gray_col).alias("i", "x"))
-    # the tile of a row or column, and whether it is the first one there: so equal images, counted together, are told apart
-    row, col = F.floor(F.col("i") / F.col("_w")), F.col("i") % F.col("_w")
-    part = lambda k, n: F.floor(k * tiles / F.col(n)).cast("int")
-    first = lambda k, n: (k == 0) | (part(k - 1, n) != part(k, n))
-    tile = part(row, "_h") * tiles + part(col, "_w")
-    counts = pixels.groupBy("_k1", "_k2", tile.alias("tile"), _bin(F.col("x")).alias("bin")).agg(F.count("*").alias("n"), F.count_if(first(row, "_h") & first(col, "_w")).alias("copies"))
-    of_tile = Window.partitionBy("_k1", "_k2", "tile")  # at most 256 rows
-    n = counts.withColumn("copies", F.sum("copies").over(of_tile)).withColumn("n", (F.col("n") / F.col("copies")).cast("long")).withColumn("area", F.sum("n").over(of_tile))
-    n = n.withColumn("kept", F.least("n", F.greatest(F.lit(1).cast("long"), F.floor(clip * F.col("area") / BINS))))
-    n = n.withColumns({"excess": F.sum(F.col("n") - F.col("kept")).over(of_tile), "held": F.sum("kept").over(of_tile.orderBy("bin"))})
-    by_tile = n.groupBy("_k1", "_k2", "tile").agg(F.sort_array(F.collect_list(F.struct("bin", "held"))).alias("bins"), F.max("area").alias("area"), F.max("excess").alias("excess"))
-    curved = by_tile.select("_k1", "_k2", "tile", _curve(F.col("bins"), F.col("area"), F.col("excess")).alias("curve"))
-    by_image = curved.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list(F.struct("tile", "curve"))).alias("m"))
-    # small images have no pixel in some tiles: those leave the values as they are
-    tables = by_image.select("_k1", "_k2", F.transform(F.sequence(F.lit(0), F.lit(tiles * tiles - 1)), lambda t: F.try_element_at("m", t)).alias("_curves"))
+
+def evened(gray: Column, width: Size, tiles: int = TILES, clip: float = CLIP) -> Column:
+    """Contrast-limited histogram equalisation over tiles × tiles parts, interpolated between their middles. A gray value's new one is its
+    clipped running count and its part of the excess, which is spread evenly, as a share of the tile."""
+    w = F.lit(width).cast("int")
 
     def equalised(g: Column, curves: Column) -> Column:
+        height = _height(g, w)
+
         def mix(p: Column) -> Column:
-            r, c, down, right = p["r"], p["c"], p["y"] - p["r"], p["x"] - p["c"]
+            r, c, down, right, b = p["r"], p["c"], p["y"] - p["r"], p["x"] - p["c"], p["bin"]
 
             def at(row: Column, col: Column) -> Column:
-                curve = F.get(curves, clamped(row, F.lit(tiles)) * tiles + clamped(col, F.lit(tiles)))
-                return F.coalesce(F.get(curve, p["bin"]), p["bin"])
+                new = lambda k: F.floor((F.get(k["held"], b) + F.floor((b + 1) * k["excess"] / BINS)) * 255 / k["area"] + 0.5).cast("int")
+                # small images have no pixel in some tiles: those leave the values as they are
+                return F.coalesce(bound(F.get(curves, clamped(row, F.lit(tiles)) * tiles + clamped(col, F.lit(tiles))), new), b)
 
             top = at(r, c) * (1 - right) + at(r, c + 1) * right
             return top * (1 - down) + (at(r + 1, c) * (1 - right) + at(r + 1, c + 1) * right) * down
 
         def pixel(x: Column, i: Column) -> Column:
-            y, z = (F.floor(i / F.col("_w")) + 0.5) * tiles / F.col("_h") - 0.5, (i % F.col("_w") + 0.5) * tiles / F.col("_w") - 0.5
-            return bound(F.struct(y.alias("y"), z.alias("x"), F.floor(y).cast("int").alias("r"), F.floor(z).cast("int").alias("c"), _bin(x).alias("bin")), mix)
+            y, z = (F.floor(i / w) + 0.5) * tiles / height - 0.5, (i % w + 0.5) * tiles / w - 0.5
+            place = F.struct(y.alias("y"), z.alias("x"), _bin(x).alias("bin"))
+            whole = lambda p: F.struct(p["y"], p["x"], F.floor(p["y"]).cast("int").alias("r"), F.floor(p["x"]).cast("int").alias("c"), p["bin"])
+            return bound(bound(place, whole), mix)
 
         return F.transform(g, pixel)
 
-    joined = named.join(tables, ["_k1", "_k2"], "left")
-    made = F.when(F.size(gray_col) > 0, equalised(gray, F.col("_curves"))).otherwise(gray)
-    return joined.select(*[f"`{c}`" for c in images.columns if c != out_col], made.alias(out_col))
+    return bound(gray, lambda g: F.when(F.size(g) > 0, bound(_curves(g, w, _height(g, w), tiles, clip), lambda k: equalised(g, k))).otherwise(g))
+
+
+def local_contrast(images: DataFrame, gray_col: str, width: Size, out_col: str, tiles: int = TILES, clip: float = CLIP) -> DataFrame:
+    """Adds ``out_col``, the image ``evened``."""
+    return images.select(*[f"`{c}`" for c in images.columns if c != out_col], evened(F.col(gray_col), width, tiles, clip).alias(out_col))
 
 
 def glare_filled(gray: Column, width: Size, most: float = GLARE, steps: int = 60) -> Column:
@@ -324,11 +331,12 @@ def binarized(gray: Column, width: Size, window: int = WINDOW, weight: float = L
 def cleaned(images: DataFrame, gray_col: str, width_col: str, angle_col: str | None = None, corners_col: str | None = None, least_width: int = LEAST_WIDTH) -> DataFrame:
     """All steps in their order: size, glare (local contrast and filling, where there is any), skew, page, edges, black and white.
 
-    The image and its width change in place. Where an angle or corners are null, or a step has no result, the image goes on as it was.
+    Images are dealt evenly to tasks, however few files hold them. The image and its width change in place. Where an angle or corners are null, or a step has no result, the image goes on as it was.
     """
     gray, width = F.col(gray_col), F.col(width_col)
-    own = images.columns
-    sized = images.withColumn("_sized", upscaled(gray.cast("array<double>"), width, least_width)).withColumns({gray_col: F.col("_sized.gray"), width_col: F.col("_sized.width")})
+    own, spark = images.columns, images.sparkSession
+    dealt = images.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sized = dealt.withColumn("_sized", upscaled(gray.cast("array<double>"), width, least_width)).withColumns({gray_col: F.col("_sized.gray"), width_col: F.col("_sized.width")})
     even = local_contrast(sized, gray_col, width, "_even")
     out = even.withColumn(gray_col, F.when(any_glare(gray), glare_filled(F.transform("_even", lambda x: x.cast("double")), width)).otherwise(gray))
     if angle_col:

@@ -110,6 +110,14 @@ def test_cleaned_in_order(spark):
         assert r["w"] == 16 and (r["g"] is None or np.array_equal(np.array(r["g"]), want))
 
 
+def test_cleaned_deals_images_once(spark):
+    """One shuffle, which deals the images of a single file to all tasks; local contrast adds none."""
+    frame = spark.createDataFrame([(i, [float(x) for x in range(64)], 8) for i in range(20)], "id long, g array<double>, w int").coalesce(1)
+    assert "Exchange" not in pixels.local_contrast(frame, "g", 8, "e")._jdf.queryExecution().executedPlan().toString()
+    plan = pixels.cleaned(frame, "g", "w", least_width=10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "RoundRobinPartitioning" in plan
+
+
 def test_workbook_cells_with_repeated_and_null_ids(spark):
     from bidloom.sources import exports
 
