@@ -24,7 +24,8 @@ def orphans(listing: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession, orphaned: DataFrame) -> int:
-    """Deletes the orphans, a job's folder as a whole; how many deletions took effect. Only paths reach the driver, one by one."""
+    """Deletes the orphans, a job's folder as a whole; how many deletions took effect. Tasks delete in mounted folders; in other stores
+    the driver does, where only paths reach it."""
     folder = F.regexp_extract("path", r"^(.*/(?:uploads|results)/[^/]+)/", 1)
     at = F.when(folder == "", F.col("path")).otherwise(folder)
-    return storage.remove(spark, (r["at"] for r in orphaned.select(at.alias("at")).distinct().toLocalIterator()))
+    return storage.remove_all(orphaned.select(at.alias("at")))

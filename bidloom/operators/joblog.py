@@ -94,7 +94,7 @@ class JobLog:
         """The live jobs as they are now."""
         upto, tail = max(self.snapshots(), default=None), self.tail()
         schema = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
-        base = self.spark.createDataFrame([], schema) if upto is None else self.spark.read.schema(schema).parquet(self._snapshot(upto))
+        base = self.spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()]) if upto is None else self.spark.read.schema(schema).parquet(self._snapshot(upto))
         if not tail:
             return base
         change = ", ".join(f"{c} {t}" for c, t in CHANGE.items())

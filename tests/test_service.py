@@ -340,6 +340,45 @@ def test_sweep_takes_files_of_deleted_jobs_alone(spark, tmp_path):
     assert cascade.sweep(spark, cascade.orphans(storage.listing(spark, str(tmp_path)), live)) == 0
 
 
+def test_files_are_written_listed_and_swept_by_tasks(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "a b")
+    rows = [(f"{kind}/{i}{rest}", str(i).encode()) for i in range(20) for kind, rest in (("uploads", "/x/quote 1.txt"), ("results", ".json"), ("exports", ".csv"))]
+    assert storage.write_files(spark.createDataFrame(rows, "name string, content binary"), root) == 60
+    assert (tmp_path / "a b/uploads/7/x/quote 1.txt").read_bytes() == b"7"
+    (tmp_path / "a b/uploads/.hidden").write_bytes(b"1")
+    (tmp_path / "a b/_SUCCESS").write_bytes(b"1")
+    (tmp_path / "a b/uploads/linked").symlink_to(tmp_path / "a b/exports")
+    found = storage.below(spark, root).where("path NOT LIKE '%/linked'")
+    paths = sorted(r["path"] for r in found.collect())
+    assert paths == sorted(f"file:{root}/{name}" for name, _ in rows)
+    assert found.exceptAll(storage.listing(spark, root).where("path NOT LIKE '%/linked%'")).count() == 0
+    asked = []
+    monkeypatch.setattr(storage, "remove", lambda _, paths: asked.extend(p for p in paths if "/uploads/" in p or "/results/" in p) or 0)
+    live = spark.range(1, 20).selectExpr("string(id) AS job_id").unionByName(spark.createDataFrame([("linked",)], "job_id string"))
+    assert cascade.sweep(spark, cascade.orphans(storage.below(spark, root), live)) == 2
+    assert asked == []  # the driver deletes none of them itself
+    assert storage.below(spark, root).where("path NOT LIKE '%/linked'").count() == 58
+    assert cascade.sweep(spark, cascade.orphans(storage.below(spark, root), live)) == 0
+    assert not (tmp_path / "a b/uploads/0").exists() and (tmp_path / "a b/exports/0.csv").exists()
+
+
+def test_files_in_a_store_that_is_not_mounted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "_mounted", lambda *_: None)
+    rows = [(f"uploads/{i}/q.txt", b"1") for i in range(5)]
+    assert storage.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path)) == 5
+    assert storage.below(spark, str(tmp_path)).count() == 5
+    # a path without a scheme belongs to the default store, so the driver deletes it
+    gone = spark.createDataFrame([(f"{tmp_path}/uploads/{i}",) for i in (1, 2, 2, 9)], "at string")
+    assert storage.remove_all(gone) == 2
+    assert sorted(p.name for p in (tmp_path / "uploads").iterdir()) == ["0", "3", "4"]
+
+
+@pytest.mark.parametrize("name", ["/etc/x", "a/../../x", ""])
+def test_names_of_files_keep_below_their_folder(spark, tmp_path, name):
+    with pytest.raises(Exception, match="no name below"):
+        storage.write_files(spark.createDataFrame([(name, b"1")], "name string, content binary"), str(tmp_path))
+
+
 # ------------------------------------------------------------------ layout
 
 
