@@ -164,14 +164,17 @@ def extract_documents(
     text = F.coalesce(F.col(text_col), F.lit(""))
     name = F.lit("") if filename is None else F.coalesce(filename, F.lit(""))
     doc = F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), name.alias("name"))
-    cut = texts.select(doc.alias("doc"), (F.char_length(text) > budget).alias("long"), chunk_lines(text, budget).alias("chunks"))
-    chunks = cut.select("doc", "long", F.size("chunks").alias("total"), F.posexplode("chunks").alias("no", "chunk"))
+    # each chunk brings the number of chunks with it, so that no row of a chunk holds the others; outer, as there is always one: the
+    # filter that stands before other generators would cut the texts again
+    counted = F.transform(F.array(chunk_lines(text, budget)), lambda all: F.transform(all, lambda c, i: F.struct(F.size(all).alias("total"), i.alias("no"), c.alias("chunk"))))
+    cut = texts.select(doc.alias("doc"), (F.char_length(text) > budget).alias("long"), counted[0].alias("chunks"))
+    chunks = cut.select("doc", "long", F.inline_outer("chunks"))
     asked = ask(chunks.withColumn("prompt", prompt(F.col("chunk"), F.col("doc.name"), F.col("no") + 1, F.col("total"))))
     told = {c: (F.col(c) if c in asked.columns else F.lit(None)).cast(t).alias(c) for c, t in (("attempts", "int"), ("error", "string"))}
     replies = asked.select(F.struct("doc", "no", "long", "total", *told.values()).alias("key"), "reply")
     parsed = parse_replies(replies, "key")
     heads = [c for c in parsed.columns if c not in ("key", "items")]
-    part = F.struct("key.no", F.struct(*heads).alias("head"), "items", "key.attempts", "key.error")
+    part = F.struct("key.no", F.when(F.col("key.no") == 0, F.struct(*heads)).alias("head"), "items", "key.attempts", "key.error")
     whole = parsed.groupBy("key.doc", "key.long", "key.total").agg(F.array_sort(F.collect_list(part)).alias("p"))
     # equal rows bring each chunk several times
     whole = whole.withColumn("copies", F.size("p") / F.col("total")).withColumn("p", F.filter("p", lambda x, i: i % F.col("copies") == 0))

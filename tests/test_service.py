@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from collections import Counter, deque
 
 import numpy as np
@@ -288,6 +289,24 @@ def test_chunks_that_fail_are_listed_and_the_others_go_on(spark):
         assert r["error"] == (f"attempt 3 of a text of {r['i']}" if fails >= 3 else None)
 
 
+def test_a_chunk_row_holds_no_other_chunk(spark):
+    texts = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(3000))), (2, None), (3, "")], "doc_id long, text string")
+    seen = []
+
+    def ask(chunks):
+        seen.append(providers.extract(chunks, lambda text: '{"items": []}'))
+        return seen[0]
+
+    docs = documents.extract_documents(texts, ask, budget=50)
+    plan = docs._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    carried = re.findall(r"\(\d+\) ArrowEvalPython\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert len(carried) == 1 and "chunks#" not in carried[0]
+    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 2, 3]
+    rows = seen[0].groupBy("doc.id").agg(F.count("*").alias("n"), F.min("total").alias("least"), F.max("total").alias("most"), F.max("no").alias("last")).collect()
+    assert all(r["n"] == r["least"] == r["most"] == r["last"] + 1 for r in rows)
+    assert {r["id"]: r["n"] > 1 for r in rows} == {1: True, 2: False, 3: False}
+
+
 def test_extract_documents_with_repeated_and_null_ids(spark):
     rows = [(1, "a | 1"), (1, "b | 2\nc | 3"), (1, "a | 1"), (None, "d | 4"), (2, None), (2, ""), (3, "a | 1\n" * 30 + "A  | 2\n | 3")]
     reply = lambda chunks: chunks.withColumn("reply", providers.lines_reply(F.col("chunk")))
