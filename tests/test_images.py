@@ -131,3 +131,41 @@ def test_workbook_cells_with_repeated_and_null_ids(spark):
     found = sorted((r["job"] or 0, r["col"], r["value"]) for r in cells if r["col"] in (1, 3, 5, 10))
     assert found == sorted((j, c, v) for j, n in ((7, "0.0"), (7, "1.0"), (0, "2.0")) for c, v in ((1, "1"), (3, "a & b"), (5, n), (10, "50%")))
     assert exports.workbook_cells(exports.workbooks(docs.limit(0), "job"), "job").count() == 0
+
+
+def test_sheets_made_and_read_for_many_documents_at_once():
+    import io
+    import zipfile
+    from xml.etree.ElementTree import ParseError
+
+    import pyarrow as pa
+
+    from bidloom.sources import exports
+
+    names = ("stt", "ma_sp", "ten_sp", "dvt", "so_luong", "don_gia", "chiet_khau_pct", "thanh_tien", "ghi_chu", "confidence")
+    kinds = (pa.int32(), *[pa.string()] * 3, *[pa.float64()] * 4, pa.string(), pa.float64())
+    items = [
+        (None, None, "a <b> & \"c\"", "", 1.0, 1e16, None, 0.1, " x ", 0.125), (0, "Mã", "x" * 80, "kg", None, None, None, None, "&lt;", 1.0),
+        (7, "", "dòng 1\ndòng 2 😀", None, -0.0, 1e-7, 2.5, float("inf"), None, 0.0), (3, "m", "]]>", "cái", 12345678.25, 2.0, 1.0, float("nan"), "'", 0.995),
+    ]
+    starts = np.array([0, 1, 4, 6])
+    items += [items[1], items[3]]
+    fields = {n: pa.array([x[k] for x in items], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))}
+    lines = [("Nhà cung cấp", None), ("Thuế VAT (10%)", "<&>"), ("x", "")] * 3
+    told = {"label": pa.array([a for a, _ in lines]), "value": pa.array([b for _, b in lines], pa.string())}
+    made = list(zip(exports._item_sheets(fields, starts), exports._summary_sheets(told, np.array([0, 3, 6, 9])), strict=True))
+    for (a, b), pair in zip(zip(starts, starts[1:], strict=False), made, strict=True):
+        cells = [(x[0] or k, *x[1:9], f"{x[9]:.0%}") for k, x in enumerate(items[a:b], 1)]
+        file = io.BytesIO()
+        exports.write_xlsx(file, [("1", [exports.SHEET_COLUMNS, *cells]), ("2", [("Thông tin", "Giá trị"), *lines[:3]])])
+        with zipfile.ZipFile(file) as z:
+            assert [z.read(f"xl/worksheets/sheet{i}.xml") for i in (1, 2)] == list(pair)
+        texts, lengths = exports._plain_cells(pair[0])
+        assert lengths == [10] * (1 + b - a) and texts[10:] == ["" if v is None else str(v) for row in cells for v in row]
+        parsed = pair[0].replace(b"<cols>", b"<cols><!-- not plain -->")
+        assert exports._plain_cells(parsed) is None and exports._sheet_cells(parsed) == (texts, lengths)
+    sheet = made[0][0]
+    for was, now in ((b"</v>", b"</t></is>"), (b"</row>", b""), (b"</c>", b"</c>\0"), (b"Th", b"<Th"), (b"<v>", b"<v><b>")):
+        assert was in sheet and exports._plain_cells(sheet.replace(was, now, 1)) is None
+        with pytest.raises(ParseError):
+            exports._sheet_cells(sheet.replace(was, now, 1))
